@@ -39,3 +39,12 @@ def word_count(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """The rows dealt to ranges of ``order``, with the number of their range as ``bucket``.
+
+    Windows by bucket and key hold one range at most, however many rows a key has; what
+    lies before a range is carried in from one row per key and bucket.
+    """
+    return checkpointed(df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("bucket", F.spark_partition_id()))

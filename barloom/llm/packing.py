@@ -238,13 +238,15 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int =
         best = evolve(sizes, capacity, hash((int(key[0]), int(key[1]), epoch)), guests)
         return pd.DataFrame({"block": [int(key[0])], "island": [int(key[1])], "n_bins": [len(best)], "fit": [fitness(sizes, best, capacity)[1]], "labels": [_labels(best, len(sizes)).tobytes()]})
 
+    def later(epoch: int):
+        return lambda key, items, elites: solve(key, items, elites, epoch)
+
     found = lean.groupBy("block", "island").applyInPandas(lambda key, items: solve(key, items, None, 0), _SOLUTION)
     for epoch in range(1, epochs):
         # Each island's elite goes to every island of its block.
         found = checkpointed(found)
         visits = found.withColumn("to", F.explode(F.array(*map(F.lit, range(islands)))))
-        step = lambda key, items, elites, epoch=epoch: solve(key, items, elites, epoch)
-        found = lean.groupBy("block", "island").cogroup(visits.groupBy("block", "to")).applyInPandas(step, _SOLUTION)
+        found = lean.groupBy("block", "island").cogroup(visits.groupBy("block", "to")).applyInPandas(later(epoch), _SOLUTION)
     best = found.groupBy("block").agg(F.min_by("labels", F.struct("n_bins", -F.col("fit"), "island")).alias("labels"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 

@@ -6,6 +6,9 @@ normalised (white space as one space, trimmed, lower case) and hashed.  Unquoted
 and each of their lines, are what can be quoted; a quoted passage links to the latest
 earlier message of its conversation with that hash, or else its lines do.  Replies are
 ordered by the messages they quote, and bodies keep unquoted lines only.
+
+A conversation may hold any share of all rows: what has to be in order within one stands in
+ranges (``ranged``), never in one window by conversation.
 """
 
 from __future__ import annotations
@@ -13,72 +16,104 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import SPACE_CLASS, checkpointed
+from barloom.llm.common import SPACE_CLASS, checkpointed, ranged
 
 QUOTE = r"^(?:\x20*>)+\x20?"
+_KEY = ["conv_id", "turn", "message"]
+_BEFORE = (Window.unboundedPreceding, -1)
 
 
 def normal(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, SPACE_CLASS + "+", " ")))
 
 
-def passages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, passage, level, text, lines: the passages of every message.
+def distinct_messages(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, message: rows that are equal in all of these are one.
 
-    Turns that a conversation repeats are merged in text order; null turns and null
-    conversations are left out, since nothing can be placed by them.
+    Null turns and null conversations are left out, since nothing can be placed by them.
     """
-    rows = messages.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).where("conv_id is not null and turn is not null")
-    lines = rows.select("conv_id", "turn", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
+    rows = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).where("conv_id is not null and turn is not null")
+    return rows.withColumn("message", F.xxhash64("role", "text")).dropDuplicates(_KEY)
+
+
+def passages(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, message, passage, level, text, lines: the passages of every message."""
+    lines = rows.select(*_KEY, F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
     mark = F.regexp_extract("line", QUOTE, 0)
     lines = lines.withColumn("level", F.length(F.regexp_replace(mark, "[^>]", ""))).withColumn("said", F.expr("substring(line, length(regexp_extract(line, r'^(?:\\x20*>)+\\x20?', 0)) + 1)"))
     # One message is the unit here: a message is one row of the table.
-    order = Window.partitionBy("conv_id", "turn", "row").orderBy("line_no")
+    order = Window.partitionBy(*_KEY).orderBy("line_no")
     new = (F.col("level") != F.coalesce(F.lag("level").over(order), F.lit(-1))).cast("int")
     lines = lines.withColumn("new", new).withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    got = lines.groupBy("conv_id", "turn", "row", "passage").agg(F.first("level").alias("level"), F.transform(F.sort_array(F.collect_list(F.struct("line_no", "said"))), lambda s: s["said"]).alias("lines"))
+    got = lines.groupBy(*_KEY, "passage").agg(F.first("level").alias("level"), F.transform(F.sort_array(F.collect_list(F.struct("line_no", "said"))), lambda s: s["said"]).alias("lines"))
     return got.withColumn("text", F.array_join("lines", "\n"))
 
 
+def _carried(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """Per key and bucket the largest value of the buckets before."""
+    per = rows.groupBy("bucket", *keys).agg(F.max(value).alias("top"))
+    return per.select("bucket", *keys, F.max("top").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(*_BEFORE)).alias(name))
+
+
+def latest_source(sources: DataFrame, quoted: DataFrame) -> DataFrame:
+    """conv_id, hash, turn, source_turn: of every distinct quote the latest earlier turn
+    with its hash."""
+    asks = quoted.select("conv_id", "hash", "turn").distinct()
+    known = sources.join(asks.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
+    # At one turn the quote stands before the source: a message does not quote itself.
+    events = asks.withColumn("source", F.lit(None).cast("long")).withColumn("kind", F.lit(0)).unionByName(known.select("conv_id", "hash", F.col("source_turn").alias("turn"), F.col("source_turn").alias("source"), F.lit(1).alias("kind")))
+    events = ranged(events, "conv_id", "hash", "turn")
+    own = Window.partitionBy("bucket", "conv_id", "hash").orderBy("turn", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    carried = _carried(events, ["conv_id", "hash"], F.col("source"), "carried")
+    got = events.withColumn("near", F.max("source").over(own)).where("kind = 0").join(carried, ["bucket", "conv_id", "hash"], "left")
+    return got.select("conv_id", "hash", "turn", F.coalesce("near", "carried").alias("source_turn")).where("source_turn is not null")
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
-    """One row per message: conv_id, turn, body, n_quotes, max_level, n_linked, parent_turn, thread_path, reply_order.
+    """One row per message: conv_id, turn, role, message, body, n_quotes, max_level, n_linked, parent_turn, thread_path, reply_order.
 
+    ``message`` is a hash of role and text and tells messages of one turn apart.
     ``parent_turn`` is the latest message quoted at level 1, else the preceding turn, null
     for the first.  ``thread_path`` is the chain of turns that leads there by quotes, and
     ``reply_order`` numbers a conversation's messages along these paths.  A message whose
-    quotes match nothing keeps its place; empty and null texts have an empty body.
+    quotes match nothing keeps its place; empty and null texts have an empty body; equal
+    rows count once; other columns are ignored; an empty table gives no rows.
     """
-    all_passages = checkpointed(passages(messages))
-    own = all_passages.where("level = 0")
+    rows = checkpointed(distinct_messages(messages))
+    parts = checkpointed(passages(rows))
+    own = parts.where("level = 0")
     piece = F.array_union(F.array("text"), F.col("lines"))
     sources = own.select("conv_id", F.col("turn").alias("source_turn"), F.explode(piece).alias("piece"))
     sources = sources.select("conv_id", "source_turn", F.sha2(normal(F.col("piece")), 256).alias("hash")).where(F.col("hash") != F.sha2(F.lit(""), 256)).distinct()
-    quoted = all_passages.where("level > 0").select("conv_id", "turn", "row", "passage", "level", F.explode(piece).alias("piece"))
-    quoted = quoted.select("conv_id", "turn", "row", "passage", "level", F.sha2(normal(F.col("piece")), 256).alias("hash"))
-    links = quoted.join(sources, ["conv_id", "hash"]).where("source_turn < turn")
-    links = links.groupBy("conv_id", "turn", "row", "passage", "level").agg(F.max("source_turn").alias("source_turn"))
-    quotes = all_passages.where("level > 0").join(links.drop("level"), ["conv_id", "turn", "row", "passage"], "left")
-    per = quotes.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"), F.max("level").alias("max_level"), F.count("source_turn").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("source_turn"))).alias("quoted_turn"))
-    bodies = own.groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "passage", "text"))), lambda s: s["text"]), "\n").alias("body"))
-    turns = all_passages.select("conv_id", "turn").distinct().join(bodies, ["conv_id", "turn"], "left").join(per, ["conv_id", "turn"], "left")
-    before = Window.partitionBy("conv_id").orderBy("turn")
-    turns = turns.withColumn("parent_turn", F.coalesce("quoted_turn", F.lag("turn").over(before)))
-    turns = checkpointed(turns)
-    paths = thread_paths(turns.select("conv_id", "turn", "parent_turn", F.col("quoted_turn").isNotNull().alias("by_quote")))
-    out = turns.join(paths, ["conv_id", "turn"]).withColumn("reply_order", F.row_number().over(Window.partitionBy("conv_id").orderBy("thread_path")).cast("long"))
+    quoted = parts.where("level > 0").select(*_KEY, "passage", "level", F.explode(piece).alias("piece"))
+    quoted = quoted.select(*_KEY, "passage", "level", F.sha2(normal(F.col("piece")), 256).alias("hash"))
+    links = quoted.join(latest_source(sources, quoted), ["conv_id", "hash", "turn"], "left")
+    links = links.groupBy(*_KEY, "passage", "level").agg(F.max("source_turn").alias("source_turn"))
+    per = links.groupBy(*_KEY).agg(F.count("*").alias("n_quotes"), F.max("level").alias("max_level"), F.count("source_turn").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("source_turn"))).alias("quoted_turn"))
+    bodies = own.groupBy(*_KEY).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("passage", "text"))), lambda s: s["text"]), "\n").alias("body"))
+    said = checkpointed(rows.select(*_KEY, "role").join(bodies, _KEY, "left").join(per, _KEY, "left"))
+    turns = ranged(said.groupBy("conv_id", "turn").agg(F.max("quoted_turn").alias("turn_quoted")), "conv_id", "turn")
+    before = F.lag("turn").over(Window.partitionBy("bucket", "conv_id").orderBy("turn"))
+    turns = turns.withColumn("near", before).join(_carried(turns, ["conv_id"], F.col("turn"), "carried"), ["bucket", "conv_id"])
+    turns = checkpointed(turns.select("conv_id", "turn", "turn_quoted", F.coalesce("near", "carried").alias("previous")))
+    placed = said.join(turns.join(thread_paths(turns), ["conv_id", "turn"]), ["conv_id", "turn"])
+    placed = ranged(placed, "conv_id", "thread_path", "message")
+    counts = placed.groupBy("conv_id", "bucket").agg(F.count("*").alias("rows_here"))
+    offsets = counts.select("conv_id", "bucket", F.coalesce(F.sum("rows_here").over(Window.partitionBy("conv_id").orderBy("bucket").rowsBetween(*_BEFORE)), F.lit(0)).alias("rows_before"))
+    rank = F.row_number().over(Window.partitionBy("bucket", "conv_id").orderBy("thread_path", "message"))
+    out = placed.withColumn("rank", rank).join(offsets, ["conv_id", "bucket"])
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("conv_id", "turn", F.coalesce("body", F.lit("")).alias("body"), zero("n_quotes"), zero("max_level"), zero("n_linked"), "parent_turn", "thread_path", "reply_order")
+    return out.select(*_KEY[:2], "role", "message", F.coalesce("body", F.lit("")).alias("body"), zero("n_quotes"), zero("max_level"), zero("n_linked"), F.coalesce("quoted_turn", "previous").alias("parent_turn"), "thread_path", (F.col("rank") + F.col("rows_before")).cast("long").alias("reply_order"))
 
 
 def thread_paths(turns: DataFrame) -> DataFrame:
-    """The path of every message: turns from where its thread leaves the main line.
+    """The path of every turn: turns from where its thread leaves the main line.
 
-    A message that quotes none continues the main line, so its path is its own turn.
-    Chains are resolved by doubling: each round a path takes over its start's path, so
-    a chain of n quotes needs log2(n) rounds.
+    A turn that quotes none continues the main line, so its path is its own number.
+    Chains are resolved by doubling: each round a path takes over its start's path, so a
+    chain of n quotes needs log2(n) rounds.  Quotes point to earlier turns, so it ends.
     """
-    start = F.when(F.col("by_quote"), F.col("parent_turn"))
-    paths = checkpointed(turns.select("conv_id", "turn", F.array("turn").alias("thread_path"), start.alias("next")))
+    paths = checkpointed(turns.select("conv_id", "turn", F.array("turn").alias("thread_path"), F.col("turn_quoted").alias("next")))
     while paths.where("next is not null").take(1):
         up = paths.select(F.col("conv_id").alias("c2"), F.col("turn").alias("u"), F.col("thread_path").alias("up_path"), F.col("next").alias("up_next"))
         both = paths.join(up, (F.col("conv_id") == F.col("c2")) & (F.col("next") == F.col("u")), "left")

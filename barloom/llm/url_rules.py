@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKEN = r"[a-z0-9]+"
+#: Up to so many rules the index goes to every task; a larger one is shuffled by token.
+BROADCAST_RULES = 20_000
 
 
 @dataclass(frozen=True)
@@ -91,6 +93,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES + PATTERNS, def
     """
     spark: SparkSession = pages.sparkSession
     index = spark.createDataFrame(index_rules(rules) or [("", "", "", "(?!)", True)], "token string, name string, verdict string, pattern string, is_pattern boolean")
+    if len(rules) <= BROADCAST_RULES:
+        index = F.broadcast(index)
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     subject = F.concat("host", F.lit("\n"), "path")
     # The distinct pairs of host and path are judged, so repeated URLs run once.
