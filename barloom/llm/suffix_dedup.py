@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import checkpointed, partitions
-from barloom.llm.textarrays import _powers, buffer_of, mix, prefix_sums, slices, span_hashes
+from barloom.llm.textarrays import _powers, buffer_of, mix, pieces, prefix_sums, slices, span_hashes
 
 LENGTH = 100
 GRAM = 32
@@ -140,7 +140,7 @@ def _known(n_parts: int, rows, owner, start, stop) -> list[tuple[int, bytes, byt
 
 def _ship_samples(n_parts: int, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (piece for batch in batches for piece in pieces(batch)):
             ids, rows = _identity(b)
             buf, offsets = buffer_of(b.column("text"))
             parts = []
@@ -212,7 +212,7 @@ def _ship_suffixes(n_parts: int, length: int):
     """The asked windows of each text, as leading bytes and the rank of the whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (piece for batch in batches for piece in pieces(batch)):
             ids, rows = _identity(b)
             buf, offsets = buffer_of(b.column("text"))
             parts = []

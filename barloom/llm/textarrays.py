@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -21,6 +22,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 #: Texts are worked through in slices of about this many bytes.
 SLICE_BYTES = 1 << 20
+#: What a task holds of texts at once, as far as it keeps what it makes of them.
+PIECE_BYTES = 1 << 23
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +70,13 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES):
         i = j
 
 
+def pieces(batch: pa.RecordBatch, name: str = "text", most: int = PIECE_BYTES):
+    """Slices of whole rows of a batch whose texts hold about ``most`` bytes."""
+    length = pc.binary_length(batch.column(name)).fill_null(0).to_numpy(zero_copy_only=False)
+    for i, j in slices(np.r_[0, np.cumsum(length, dtype=np.int64)], most):
+        yield batch.slice(i, j - i)
+
+
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of every word; words end where their text ends."""
     inside = ~IS_SPACE[buf]
