@@ -152,7 +152,8 @@ def _ship_samples(n_parts: int, length: int, gram: int):
             if not parts:
                 continue
             owner, sample, context, start, more = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield from _shipped(n_parts, ids, rows, owner, sample, context, start, more, sample, length)
+            # Samples are least hashes, so they are spread anew over the parts.
+            yield from _shipped(n_parts, ids, rows, owner, sample, context, start, more, mix(sample), length)
 
     return run
 
