@@ -35,11 +35,28 @@ from barloom.llm.textarrays import _powers, buffer_of, mix, pieces, prefix_sums,
 LENGTH = 100
 GRAM = 32
 
-_ROW = np.dtype([("null", "u1"), ("id", "<i8"), ("row", "<i8"), ("count", "<u4")])
-_REC = np.dtype([("high", "<u8"), ("low", "<u8"), ("start", "<u4"), ("more", "u1")])
 _SPAN = np.dtype([("start", "<u4"), ("stop", "<u4")])
 _SHIPPED = "part int, rows binary, recs binary"
-_FOUND = "row long, covered binary, asked binary"
+_FOUND = "part int, covered binary, asked binary"
+_HEAD = ("u1", "<i8", "<i8", "<u4")  # null, doc_id, row, number of records
+_SAMPLE = ("<u8", "<u8", "<u4", "u1")  # sample, context, first window, further windows
+_SUFFIX = ("<u4", "<u8", "<u4", "u1")  # leading bytes, rank, start, nothing
+
+
+def _packed(columns, kinds: tuple[str, ...]) -> bytes:
+    """Columns one after another, numbers over 8 bits as differences: shuffles compress it."""
+    n = len(columns[0])
+    return b"".join((n.to_bytes(8, "little"), *(np.diff(np.asarray(c).astype(k), prepend=np.zeros(1, k)).astype(k).tobytes() for c, k in zip(columns, kinds, strict=True))))
+
+
+def _unpacked(blobs: list[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
+    parts: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
+    for blob in blobs:
+        n, at = int.from_bytes(blob[:8], "little"), 8
+        for own, k in zip(parts, kinds, strict=True):
+            own.append(np.cumsum(np.frombuffer(blob, k, n, at), dtype=k))
+            at += n * np.dtype(k).itemsize
+    return [np.concatenate(x) for x in parts]
 
 
 def cover(part: np.ndarray, off: np.ndarray, length: int, gram: int):
@@ -103,7 +120,7 @@ def _batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], names=["part", "rows", "recs"])
 
 
-def _deal(ids, rows, owner, high, low, start, more, by, n_parts: int) -> Iterator[tuple[int, bytes, bytes]]:
+def _deal(ids, rows, owner, high, low, start, more, by, n_parts: int, kinds) -> Iterator[tuple[int, bytes, bytes]]:
     """What a batch ships, the first of each tie to the part of its class; and, to parts
     from ``n_parts`` on, the spans of all others, which are known to go."""
     null, ident = ids
@@ -118,10 +135,7 @@ def _deal(ids, rows, owner, high, low, start, more, by, n_parts: int) -> Iterato
         if not len(own):
             continue
         who, count = np.unique(owner[own], return_counts=True)
-        head, recs = np.zeros(len(who), _ROW), np.zeros(len(own), _REC)
-        head["null"], head["id"], head["row"], head["count"] = null[who], ident[who], rows[who], count
-        recs["high"], recs["low"], recs["start"], recs["more"] = high[own], low[own], start[own], more[own]
-        yield p, head.tobytes(), recs.tobytes()
+        yield p, _packed((null[who], ident[who], rows[who], count), _HEAD), _packed((high[own], low[own], start[own], more[own]), kinds)
     yield -1, owner[again], again
 
 
@@ -130,12 +144,32 @@ def _identity(b: pa.RecordBatch):
     return (np.asarray(ids.is_null()).astype(np.uint8), ids.fill_null(0).to_numpy()), b.column("row").to_numpy()
 
 
-def _known(n_parts: int, rows, owner, start, stop) -> list[tuple[int, bytes, bytes]]:
-    """Spans that a batch has found by itself, as rows of their own (no recs)."""
+def _by_home(spans: dict[int, bytes], n_parts: int) -> dict[int, bytes]:
+    """Spans by the part that gathers those of a row: row, number of spans, spans."""
     out: dict[int, list[bytes]] = {}
-    for row, spans in _merged(rows[owner], start, stop).items():
-        out.setdefault(row % n_parts, []).append(np.array([row, len(spans) // 8], "<i8").tobytes() + spans)
-    return [(p, b"".join(x), b"") for p, x in out.items()]
+    for row, own in spans.items():
+        out.setdefault(row % n_parts, []).append(np.array([row, len(own) // 8], "<i8").tobytes() + own)
+    return {p: b"".join(x) for p, x in out.items()}
+
+
+def _from_home(blobs: list[bytes | None]) -> dict[int, bytes]:
+    """The joined spans of every row."""
+    rows, spans = [], [np.zeros(0, _SPAN)]
+    for blob in blobs:
+        at = 0
+        while blob and at < len(blob):
+            row, n = np.frombuffer(blob, "<i8", 2, at).tolist()
+            spans.append(np.frombuffer(blob, _SPAN, n, at + 16))
+            rows += [row] * n
+            at += 16 + 8 * n
+    every = np.concatenate(spans)
+    return _merged(np.array(rows, np.int64), every["start"], every["stop"])
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    covered, asked = (_from_home(table.column(c).to_pylist()) for c in ("covered", "asked"))
+    rows = sorted({*covered, *asked})
+    return pa.table({"row": pa.array(rows, pa.int64()), "covered": pa.array([covered.get(r) for r in rows], pa.binary()), "asked": pa.array([asked.get(r) for r in rows], pa.binary())})
 
 
 def _ship_samples(n_parts: int, length: int, gram: int):
@@ -153,58 +187,46 @@ def _ship_samples(n_parts: int, length: int, gram: int):
                 continue
             owner, sample, context, start, more = (np.concatenate(x) for x in zip(*parts, strict=True))
             # Samples are least hashes, so they are spread anew over the parts.
-            yield from _shipped(n_parts, ids, rows, owner, sample, context, start, more, mix(sample), length)
+            yield from _shipped(n_parts, ids, rows, owner, sample, context, start, more, mix(sample), length, _SAMPLE)
 
     return run
 
 
-def _shipped(n_parts, ids, rows, owner, high, low, start, more, by, length):
+def _shipped(n_parts, ids, rows, owner, high, low, start, more, by, length, kinds):
     out = []
-    for p, head, recs in _deal(ids, rows, owner, high, low, start, more, by, n_parts):
+    for p, head, recs in _deal(ids, rows, owner, high, low, start, more, by, n_parts, kinds):
         if p >= 0:
             out.append((p, head, recs))
-        elif len(recs):
-            out += _known(n_parts, rows, head, start[recs], start[recs] + more[recs] + length)
+        elif len(recs):  # what a batch has found by itself: rows without recs
+            out += [(q, x, b"") for q, x in _by_home(_merged(rows[head], start[recs], start[recs] + more[recs] + length), n_parts).items()]
     if out:
         yield _batch(out)
 
 
-def _sorted_bucket(length: int, ask: bool):
+def _sorted_bucket(length: int, kinds: tuple[str, ...], n_parts: int, ask: bool):
     """Sorts a bucket.  All but the first of a tie are covered; with ``ask``, firsts whose
     sample has other contexts as well are named for the next round."""
 
     def run(table: pa.Table) -> pa.Table:
-        heads, recs, covered, asked = [np.zeros(0, _ROW)], [np.zeros(0, _REC)], [], []
-        for h, r in zip(table.column("rows").to_pylist(), table.column("recs").to_pylist(), strict=True):
-            if r:
-                heads.append(np.frombuffer(h, _ROW))
-                recs.append(np.frombuffer(r, _REC))
-                continue
-            at = 0
-            while at < len(h):
-                row, n = np.frombuffer(h, "<i8", 2, at)
-                covered.append((int(row), h[at + 16 : at + 16 + 8 * int(n)]))
-                at += 16 + 8 * int(n)
-        head, rec = np.concatenate(heads), np.concatenate(recs)
-        of = np.repeat(np.arange(len(head)), head["count"])
-        order, first = _first(head["null"][of], head["id"][of], head["row"][of], rec["high"], rec["low"], rec["start"])
-        again = order[~first]
-        start = rec["start"].astype(np.int64)
-        stop = start + rec["more"] + length
-        covered += _merged(head["row"][of][again], start[again], stop[again]).items()
-        if ask and len(order):
-            firsts = order[first]
-            high = rec["high"][firsts]
-            same = np.r_[False, high[1:] == high[:-1]]
-            several = firsts[same | np.r_[same[1:], False]]
-            row = head["row"][of][several]
-            turn = np.argsort(row, kind="stable")
-            several, row = several[turn], row[turn]
-            spans = np.zeros(len(several), _SPAN)
-            spans["start"], spans["stop"] = start[several], start[several] + rec["more"][several] + 1
-            asked = [(int(row[s]), spans[s:e].tobytes()) for s, e in _runs(row)]
-        rows = [r for r, _ in covered] + [r for r, _ in asked]
-        return pa.table({"row": pa.array(rows, pa.int64()), "covered": pa.array([x for _, x in covered] + [None] * len(asked), pa.binary()), "asked": pa.array([None] * len(covered) + [x for _, x in asked], pa.binary())})
+        heads, recs = table.column("rows").to_pylist(), table.column("recs").to_pylist()
+        null, ident, row, count = _unpacked([h for h, r in zip(heads, recs, strict=True) if r], _HEAD)
+        high, low, start, more = _unpacked([r for r in recs if r], kinds)
+        of = np.repeat(np.arange(len(row)), count)
+        row, start = row[of], start.astype(np.int64)
+        order, first = _first(null[of], ident[of], row, high, low, start)
+        again, firsts = order[~first], order[first]
+        covered = _by_home(_merged(row[again], start[again], start[again] + more[again] + length), n_parts)
+        asked: dict[int, bytes] = {}
+        if ask and len(firsts):
+            same = np.r_[False, high[firsts][1:] == high[firsts][:-1], False]
+            several = firsts[same[1:] | same[:-1]]
+            asked = _by_home(_merged(row[several], start[several], start[several] + more[several] + 1), n_parts)
+        known = [(h, table.column("part")[k].as_py()) for k, (h, r) in enumerate(zip(heads, recs, strict=True)) if not r]
+        homes = sorted({*covered, *asked})
+        return pa.table({
+            "part": pa.array([p for _, p in known] + homes, pa.int32()), "covered": pa.array([h for h, _ in known] + [covered.get(p) for p in homes], pa.binary()),
+            "asked": pa.array([None] * len(known) + [asked.get(p) for p in homes], pa.binary()),
+        })
 
     return run
 
@@ -217,19 +239,18 @@ def _ship_suffixes(n_parts: int, length: int):
             ids, rows = _identity(b)
             buf, offsets = buffer_of(b.column("text"))
             parts = []
-            for k, blobs in enumerate(b.column("asked").to_pylist()):
-                part = buf[offsets[k] : offsets[k + 1]]
-                spans = np.concatenate([np.frombuffer(x, _SPAN) for x in blobs])
+            for k, blob in enumerate(b.column("asked").to_pylist()):
+                part, spans = buf[offsets[k] : offsets[k + 1]], np.frombuffer(blob, _SPAN)
                 many = spans["stop"].astype(np.int64) - spans["start"]
                 at = np.repeat(spans["start"] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
                 lead = np.zeros(len(at), np.uint64)
-                for i in range(min(8, length)):
+                for i in range(min(4, length)):
                     lead = lead << np.uint64(8) | part[at + i].astype(np.uint64)
                 parts.append((np.full(len(at), k), lead, span_hashes(prefix_sums(part), at, at + length), at))
             if not parts:
                 continue
             owner, lead, rank, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield from _shipped(n_parts, ids, rows, owner, lead, rank, start, np.zeros(len(start), np.int64), mix(rank ^ lead), length)
+            yield from _shipped(n_parts, ids, rows, owner, lead, rank, start, np.zeros(len(start), np.int64), mix(rank ^ lead), length, _SUFFIX)
 
     return run
 
@@ -272,10 +293,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     gram = min(gram, length)
     n_parts = partitions(docs.sparkSession)
     texts = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    row_spans = "row long, covered binary, asked binary"
     samples = texts.mapInArrow(_ship_samples(n_parts, length, gram), _SHIPPED)
-    found = checkpointed(samples.groupBy("part").applyInArrow(_sorted_bucket(length, True), _FOUND))
-    asked = found.where("asked is not null").groupBy("row").agg(F.collect_list("asked").alias("asked"))
+    ranked = samples.groupBy("part").applyInArrow(_sorted_bucket(length, _SAMPLE, n_parts, True), _FOUND)
+    found = checkpointed(ranked.groupBy("part").applyInArrow(_gathered, row_spans))
+    asked = found.where("asked is not null").select("row", "asked")
     suffixes = texts.join(asked, "row").mapInArrow(_ship_suffixes(n_parts, length), _SHIPPED)
-    more = suffixes.groupBy("part").applyInArrow(_sorted_bucket(length, False), _FOUND)
-    covered = found.select("row", "covered").where("covered is not null").unionByName(more.select("row", "covered")).groupBy("row").agg(F.collect_list("covered").alias("covered"))
+    more = suffixes.groupBy("part").applyInArrow(_sorted_bucket(length, _SUFFIX, n_parts, False), _FOUND)
+    more = more.groupBy("part").applyInArrow(_gathered, row_spans)
+    both = found.select("row", "covered").unionByName(more.select("row", "covered")).where("covered is not null")
+    covered = both.groupBy("row").agg(F.collect_list("covered").alias("covered"))
     return texts.join(covered, "row", "left").select("doc_id", "text", "covered").mapInArrow(_remove, _RESULT)
