@@ -17,18 +17,21 @@ def components(edges: DataFrame) -> DataFrame:
     folder.
     """
     both = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct()
-    current, state = checkpointed(both), None
-    while True:
+    current = checkpointed(both)
+    while not _stars(current):
         # Large star: a node's larger neighbours move to its smallest neighbour.
         twice = current.select(F.col("lo").alias("v"), F.col("hi").alias("u")).unionByName(current.select(F.col("hi").alias("v"), F.col("lo").alias("u")))
         least = twice.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
-        large = twice.where("u > v").join(least, "v").select(F.col("m").alias("lo"), F.col("u").alias("hi")).where("lo < hi").distinct()
+        large = checkpointed(twice.where("u > v").join(least, "v").select(F.col("m").alias("lo"), F.col("u").alias("hi")).where("lo < hi"))
         # Small star: a node and its smaller neighbours move to the smallest of them.
         first = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(first, "hi").select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("hi").alias("hi")), F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")))).alias("e"))
         current = checkpointed(small.select("e.*").where("lo < hi").distinct())
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi") % 1_000_000_007)).first()
-        if now == state:
-            break
-        state = now
-    return current.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(current.select("lo").distinct().select(F.col("lo").alias("node"), F.col("lo").alias("root")))
+    return checkpointed(current.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(current.select("lo").distinct().select(F.col("lo").alias("node"), F.col("lo").alias("root"))))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is either a root or has one edge, to a root."""
+    ends = edges.select(F.col("hi").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("lo").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    counts = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not counts.where("up > 1 OR (up = 1 AND down = 1)").take(1)

@@ -135,10 +135,9 @@ def exact_duplicates(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, members_pe
     # Left: a chunk that the first text does not have is a difference.
     compared = theirs.join(firsts, [F.col(c) == F.col(f"g_{c}") for c in (*key, "salt", "chunk_no")], "left")
     verdict = compared.groupBy("m_id", "m_sha", *key).agg(F.min(F.coalesce(F.col("chunk") == F.col("g_chunk"), F.lit(False))).alias("same"))
-    verdict = checkpointed(verdict)
     v = verdict.select("m_id", F.col("m_sha"), *named, "same")
     judged = members.join(v, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_sha256") == F.col("m_sha")) & (F.col("h1") == F.col("g_h1")) & (F.col("h2") == F.col("g_h2")), "left")
-    judged = judged.select("doc_id", "text_sha256", *key, "copies", "first_id", F.coalesce("same", F.lit(True)).alias("same"))
+    judged = checkpointed(judged.select("doc_id", "text_sha256", *key, "copies", "first_id", F.coalesce("same", F.lit(True)).alias("same")))
     sizes = judged.where("same").groupBy(*key, "first_id").agg(F.sum("copies").alias("group_size"))
     same = judged.where("same").join(sizes.select(*named, "group_size"), [F.col(c) == F.col(f"g_{c}") for c in key])
     same = same.select("doc_id", F.col("first_id").alias("keep_id"), "group_size", "text_sha256", "n_bytes", "copies")
