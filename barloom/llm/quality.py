@@ -4,7 +4,7 @@ Features are indicators of hashed n-grams: byte trigrams of the text, and trigra
 shapes (letters, capitals, digits and other characters in their order, and whether a word
 repeats the one before).  Each indicator is scaled by the log ratio of its smoothed counts
 in the two classes; rows are scaled to length one; a linear hinge-loss model is fitted by
-dual coordinate descent; a sigmoid fitted on rows held back turns margins into scores.
+dual coordinate descent; a sigmoid fitted on cross-validated margins gives scores.
 
 The model is fitted on at most ``train_rows`` labelled rows, those with the smallest hash
 of their doc_id, in one task.  It has a fixed size (two numbers a feature), so scoring is
@@ -31,6 +31,8 @@ THRESHOLD = 0.3
 SMOOTHING = 1.0
 COST = 4.0
 EPOCHS = 12
+FIT_FOLDS = 4
+#: One in so many doc_ids is held out, by a checksum.
 FOLDS = 5
 
 _KIND = np.full(256, 3, np.uint8)  # other characters
@@ -158,25 +160,36 @@ def sigmoid(margins: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[floa
     return max(float(a), 0.0), float(b)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, cost: float = COST, epochs: int = EPOCHS) -> Model:
-    """Every fifth row is held back for the sigmoid.  Without rows of both classes the
-    score is the smoothed share of class 1, and 1 without any rows."""
-    n = 1 << bits
-    part = np.arange(len(rows)) % FOLDS != 0
-    if len(set(y[part].tolist())) < 2:
-        share = (y.sum() + 1) / (len(y) + 1)
-        return Model(np.zeros(n, np.float32), np.zeros(n, np.float32), 0.0, math.log(share / (1 - share)) if share < 1 else 700.0)
-    own = [r for r, p in zip(rows, part, strict=True) if p]
-    ratio = log_ratios(own, y[part], n)
+def _linear(rows: list[np.ndarray], y: np.ndarray, n: int, cost: float, epochs: int) -> Model:
+    ratio = log_ratios(rows, y, n)
     values = []
-    for r in own:
+    for r in rows:
         v = ratio[r]
         norm = math.sqrt(float((v * v).sum()))
         values.append(v / norm if norm else v)
-    w = dual_descent(own, values, y[part], n, cost, epochs)
-    model = Model((w * ratio).astype(np.float32), (ratio * ratio).astype(np.float32), 1.0, 0.0)
-    held = [k for k in range(len(rows)) if not part[k]]
-    slope, offset = sigmoid(np.array([model.margin(rows[k]) for k in held]), y[held])
+    w = dual_descent(rows, values, y, n, cost, epochs)
+    return Model((w * ratio).astype(np.float32), (ratio * ratio).astype(np.float32), 1.0, 0.0)
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, cost: float = COST, epochs: int = EPOCHS, folds: int = FIT_FOLDS) -> Model:
+    """The model of all rows; the sigmoid is fitted on margins that each row gets from a
+    model of the other folds.  Without rows of both classes the score is the smoothed share
+    of class 1, and 1 without any rows."""
+    n = 1 << bits
+    fold = np.empty(len(y), int)
+    for c in (0, 1):  # each fold has its share of either class
+        own = np.flatnonzero(y == c)
+        fold[own] = np.arange(len(own)) % folds
+    if min((y == 1).sum(), (y == 0).sum()) < 2:
+        share = (y.sum() + 1) / (len(y) + 1)
+        return Model(np.zeros(n, np.float32), np.zeros(n, np.float32), 0.0, math.log(share / (1 - share)) if share < 1 else 700.0)
+    margins = np.empty(len(y))
+    for k in range(folds):
+        other = _linear([r for r, f in zip(rows, fold, strict=True) if f != k], y[fold != k], n, cost, epochs)
+        for i in np.flatnonzero(fold == k):
+            margins[i] = other.margin(rows[i])
+    slope, offset = sigmoid(margins, y)
+    model = _linear(rows, y, n, cost, epochs)
     return Model(model.weights, model.squares, slope, offset)
 
 
