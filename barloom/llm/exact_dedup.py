@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import SPACE_CLASS, checkpointed, partitions, text_or_empty
+from barloom.llm.common import SPACE_CLASS, partitions, text_or_empty, written
 from barloom.llm.textarrays import buffer_of
 
 PRIMES = (2147483647, 2147483629)
@@ -112,7 +112,7 @@ def exact_duplicates(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, members_pe
     its first text is copied once for every ``members_per_copy`` members.
     """
     spark = docs.sparkSession
-    prints = checkpointed(fingerprints(docs, chunk_chars, primes, bases))
+    prints = written(fingerprints(docs, chunk_chars, primes, bases))
     key = ["n_bytes", "h1", "h2"]
     # Rows that repeat a doc_id and its text are one entry with a count.
     entries = prints.groupBy("doc_id", *key, "text_sha256").agg(F.count("*").alias("copies"))
@@ -120,11 +120,11 @@ def exact_duplicates(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, members_pe
     groups = entries.groupBy(*key).agg(first.alias("first"), F.count("*").alias("entries"), F.sum("copies").alias("size"))
     multi = groups.where("entries > 1").select(*key, F.col("first.doc_id").alias("first_id"), F.col("first.text_sha256").alias("first_sha"), "size", F.ceil(F.col("entries") / members_per_copy).cast("int").alias("n_salts"))
     single = groups.where("entries = 1").select(F.col("first.doc_id").alias("doc_id"), F.col("first.doc_id").alias("keep_id"), F.col("size").alias("group_size"), F.col("first.text_sha256").alias("text_sha256"), "n_bytes", F.col("size").alias("copies"))
-    multi = checkpointed(multi)
+    multi = written(multi)
 
     named = [F.col(c).alias(f"g_{c}") for c in key]
     members = entries.join(multi.select(*named, "first_id", "first_sha", "n_salts"), [F.col(c) == F.col(f"g_{c}") for c in key]).select("doc_id", "text_sha256", *key, "copies", "first_id", "first_sha", F.pmod(F.xxhash64("doc_id", "text_sha256"), "n_salts").cast("int").alias("salt"), "n_salts")
-    members = checkpointed(members)
+    members = written(members)
     texts = normalised(docs).withColumn("sha", F.sha2(F.encode("norm", "UTF-8"), 256))
     wanted = members.select(F.col("doc_id").alias("m_id"), F.col("text_sha256").alias("m_sha"), *key, "salt", "n_salts", (F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_sha256") == F.col("first_sha"))).alias("is_first"))
     text_of = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["m_id"]) & (texts["sha"] == wanted["m_sha"]))
@@ -135,10 +135,10 @@ def exact_duplicates(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, members_pe
     # Left: a chunk that the first text does not have is a difference.
     compared = theirs.join(firsts, [F.col(c) == F.col(f"g_{c}") for c in (*key, "salt", "chunk_no")], "left")
     verdict = compared.groupBy("m_id", "m_sha", *key).agg(F.min(F.coalesce(F.col("chunk") == F.col("g_chunk"), F.lit(False))).alias("same"))
-    verdict = checkpointed(verdict)
+    verdict = written(verdict)
     v = verdict.select("m_id", F.col("m_sha"), *named, "same")
     judged = members.join(v, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_sha256") == F.col("m_sha")) & (F.col("h1") == F.col("g_h1")) & (F.col("h2") == F.col("g_h2")), "left")
-    judged = checkpointed(judged.select("doc_id", "text_sha256", *key, "copies", "first_id", F.coalesce("same", F.lit(True)).alias("same")))
+    judged = written(judged.select("doc_id", "text_sha256", *key, "copies", "first_id", F.coalesce("same", F.lit(True)).alias("same")))
     sizes = judged.where("same").groupBy(*key, "first_id").agg(F.sum("copies").alias("group_size"))
     same = judged.where("same").join(sizes.select(*named, "group_size"), [F.col(c) == F.col(f"g_{c}") for c in key])
     same = same.select("doc_id", F.col("first_id").alias("keep_id"), "group_size", "text_sha256", "n_bytes", "copies")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import checkpointed, partitions
+from barloom.llm.common import partitions, written
 from barloom.llm.components import components
 from barloom.llm.textarrays import LOWER, buffer_of, mix, prefix_sums, shingle_hashes, slices, span_hashes, words
 
@@ -380,15 +380,15 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, heavy: int = HEAVY, block:
     n_parts = partitions(spark)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     shipped = texts.mapInArrow(_ship(n_parts, n), _SHIPPED)
-    counted = checkpointed(shipped.groupBy("part").applyInArrow(_count(heavy), _COUNTED))
+    counted = written(shipped.groupBy("part").applyInArrow(_count(heavy), _COUNTED))
     rows = counted.where("found is null").select("doc_id", "text_hash", "n", "k1", "k2")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     classes = rows.where("n > 0").groupBy("k1", "k2", "n").agg(best.alias("first"), F.count("*").alias("copies"))
-    classes = checkpointed(classes.select("k1", "k2", "n", "copies", "first", F.monotonically_increasing_id().alias("cid")))
+    classes = written(classes.select("k1", "k2", "n", "copies", "first", F.monotonically_increasing_id().alias("cid")))
     active = counted.where("found is not null").groupBy("k1", "n").agg(F.sum("found").alias("found"), F.collect_list("heavy").alias("heavy")).where("4 * found >= 3 * n").drop("found")
     wanted = classes.join(active, ["k1", "n"]).select("cid", "k1", "n", "copies", "heavy", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
     chosen = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["first_id"]) & (texts["text_hash"] == wanted["first_hash"])).drop("doc_id", "text_hash", "first_id", "first_hash")
-    sets = checkpointed(chosen.mapInArrow(_ordered_sets(n_parts, n), _SET).dropDuplicates(["cid"]))
+    sets = written(chosen.mapInArrow(_ordered_sets(n_parts, n), _SET).dropDuplicates(["cid"]))
     near = components(sets.mapInArrow(_ship_prefixes(n_parts), _SHIPPED).groupBy("part").applyInArrow(_edges, "a long, b long"))
     sizes = near.groupBy("root").agg(F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / block).cast("int")
@@ -397,13 +397,13 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, heavy: int = HEAVY, block:
     pair = lambda x: F.struct(F.least(mine, x).alias("i"), F.greatest(mine, x).alias("j"), (mine > x).cast("int").alias("side"))
     dealt = near.join(sizes, "root").select("node", "root", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), pair)).alias("p"))
     dealt = dealt.join(sets, dealt["node"] == sets["cid"]).select("root", "p.i", "p.j", "p.side", "cid", "copies", "shingles")
-    walked = checkpointed(dealt.groupBy("root", "i", "j").applyInArrow(_walk_group, "cid long, root long, links long"))
+    walked = written(dealt.groupBy("root", "i", "j").applyInArrow(_walk_group, "cid long, root long, links long"))
     linked = components(walked.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = walked.groupBy("cid").agg(F.sum("links").alias("links"))
     full = classes.join(linked.withColumnRenamed("node", "cid"), "cid", "left").join(links, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    full = checkpointed(full.select("k1", "k2", "n", "copies", "root", "first", F.coalesce("links", F.lit(0)).alias("links")))
+    full = written(full.select("k1", "k2", "n", "copies", "root", "first", F.coalesce("links", F.lit(0)).alias("links")))
     per = full.groupBy("root").agg(F.min("first").alias("least"), F.sum("copies").alias("group_size"))
-    full = checkpointed(full.join(per, "root").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("n").alias("cn"), "least", "group_size", (F.col("links") + F.col("copies") - 1).alias("n_links")))
+    full = written(full.join(per, "root").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("n").alias("cn"), "least", "group_size", (F.col("links") + F.col("copies") - 1).alias("n_links")))
     out = rows.where("n > 0").join(full, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n") == F.col("cn")))
     stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), "n_links", "group_size", "text_hash", stays.alias("stays"))
