@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import SPACE_CLASS, WORD_CLASS, checkpointed, text_or_empty, word_count
+from barloom.llm.common import SPACE_CLASS, WORD_CLASS, text_or_empty, word_count, written
 
 #: Documents that one key range of a source holds on average.
 BUCKET_ROWS = 4096
@@ -64,8 +64,8 @@ def mix_sources(docs: DataFrame, seed: int = 7, weights=WEIGHTS, max_epochs: flo
     ignored.
     """
     rows = docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"))
-    rows = checkpointed(rows.withColumn("key", random_key(F.col("doc_id"), seed)))
-    targets = checkpointed(source_targets(rows, weights, max_epochs, share))
+    rows = written(rows.withColumn("key", random_key(F.col("doc_id"), seed)))
+    targets = written(source_targets(rows, weights, max_epochs, share))
     budget = F.round("target").cast("long")
     targets = targets.select(
         F.col("source").alias("s"), "source_size", "target",
