@@ -62,8 +62,9 @@ RULES = (
 )
 #: What the method itself blocks where no domain rule fits.
 PATTERNS = (
-    pattern_rule("block", "pattern:adserver", r"(^|\.)ad(s|server)?[0-9]*\.[^\n]*\n", "adserver"),
-    pattern_rule("block", "pattern:casino", r"(^|[.-])(online-)?casino[.-]", "casino"),
+    # No literal is in all its matches (ad, ads7, adserver), so it has no token.
+    pattern_rule("block", "pattern:adserver", r"^([^\n]*\.)?ad(s|server)?[0-9]*\.[^\n]*\n"),
+    pattern_rule("block", "pattern:casino", r"^([^\n]*[.-])?(online-)?casino[.-][^\n]*\n", "casino"),
     pattern_rule("block", "pattern:wp-login", r"\n(/[^/]*)*/wp-login\.php$", "wp", "login", "php"),
     pattern_rule("block", "pattern:tracking-pixel", r"\n(.*/)?pixel\.gif$", "pixel", "gif"),
 )
@@ -93,15 +94,19 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES + PATTERNS, def
     """
     spark: SparkSession = pages.sparkSession
     index = spark.createDataFrame(index_rules(rules) or [("", "", "", "(?!)", True)], "token string, name string, verdict string, pattern string, is_pattern boolean")
-    if len(rules) <= BROADCAST_RULES:
-        index = F.broadcast(index)
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     subject = F.concat("host", F.lit("\n"), "path")
     # The distinct pairs of host and path are judged, so repeated URLs run once.
     subjects = rows.select("host", "path").distinct().withColumn("subject", subject)
     lowered = F.translate(F.col("subject"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(lowered, F.lit(TOKEN), F.lit(0))))
-    candidates = subjects.withColumn("token", F.explode(tokens)).join(index, "token")
+    asked = subjects.withColumn("token", F.explode(tokens))
+    if len(rules) <= BROADCAST_RULES:
+        candidates = asked.join(F.broadcast(index), "token")
+    else:
+        # Every URL has the empty token: in a shuffle it would be one task for all.
+        candidates = asked.where("token != ''").join(index.where("token != ''"), "token")
+        candidates = candidates.unionByName(subjects.crossJoin(F.broadcast(index.where("token = ''"))))
     fits = candidates.where(F.expr("subject rlike pattern"))
     best = fits.groupBy("host", "path").agg(F.max(F.struct((~F.col("is_pattern")).alias("domain"), F.length("name").alias("n"), "name", "verdict")).alias("best"))
     judged = rows.join(best, ["host", "path"], "left")

@@ -167,6 +167,16 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(df.limit(0)).count() == 0 and url_rules.judge_urls(df, rules=()).count() == 13
 
 
+def test_url_patterns_without_a_common_token(spark, monkeypatch):
+    block = ["http://ads.example.org/", "http://ad.x.org/", "http://x.ad2.y.org/a", "http://adserver2.x.org", "http://adserver.x.org/", "http://my-casino.org/p", "http://online-casino-x.org"]
+    allow = ["http://bad.x.org/", "http://x.org/ad.y/", "http://adx.x.org/", "http://x.org/the-casino-story", "http://x.org/a.casino.b", "http://x.org/a\n.ad.\n"]
+    df = spark.createDataFrame(list(enumerate(block + allow)), "page_id long, url string")
+    for most in (url_rules.BROADCAST_RULES, 0):
+        monkeypatch.setattr(url_rules, "BROADCAST_RULES", most)
+        got = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(df).collect()}
+        assert [got[k] for k in range(len(got))] == ["block"] * len(block) + ["allow"] * len(allow)
+
+
 # classifier
 
 
