@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and a randomness test battery for everything else.
 
-Candidate tokens are runs of at least 20 letters, digits and ``+/_=-`` with a digit in
-them.  For each the encoding is inferred (the smallest alphabet that holds its symbols),
+Candidate tokens are runs of at least 20 letters, digits and ``+/_-``; ``=`` ends a run, and
+up to two at its end belong to it.  For each the encoding is inferred (the smallest alphabet that holds its symbols),
 and three statistics are taken: chi-squared of the symbol counts against a uniform
 alphabet, a runs test of symbols above and below the alphabet's middle, and the lag-one
-serial correlation.  Their p-values under "random" are combined by Bonferroni.
+serial correlation.  Without digits, names in one case look much like random letters, so
+there the share of upper case is a fourth.  Their p-values under "random" are combined by Bonferroni.
 
 Words and identifiers are far from random, and long ones more visibly so.  Within each
 length class (a power of two) Benjamini-Hochberg decides which tokens are non-random at
@@ -37,7 +38,7 @@ def _either(word: str) -> str:
 ASSIGN = re.compile("(?:" + "|".join(_either(w) for w in ("password", "passwd", "secret", "token")) + "|" + _either("api") + "_?" + _either("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")  # maximal runs
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 
 #: name, alphabet, and the least length at which the battery has power.
 ALPHABETS = (
@@ -92,7 +93,10 @@ def battery(token: str) -> tuple[str, float, bool] | None:
     d = x - x.mean()
     ss = float((d * d).sum())
     p.append(_normal_tail(float((d[1:] * d[:-1]).sum()) / ss * math.sqrt(n)) if ss else 2.0 ** (1 - n))
-    return name, max(1e-20, min(1.0, 3 * min(p))), n >= least and len(set(token)) >= min(10, a // 2)
+    if a >= 62 and not any(c.isdigit() for c in token):
+        share = 26 / (a - 10)
+        p.append(_normal_tail((sum(c.isupper() for c in token) - n * share) / math.sqrt(n * share * (1 - share))))
+    return name, max(1e-20, min(1.0, len(p) * min(p))), n >= least and len(set(token)) >= min(10, a // 2)
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -124,7 +128,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = []
             for m in RUN.finditer(text):
                 s, e = m.span()
-                if any(c.isdigit() for c in m[0]) and not any(s < y and x < e for x, _, y in spans) and (got := battery(m[0])):
+                if not any(s < y and x < e for x, _, y in spans) and (got := battery(m[0])):
                     found.append({"start": s, "stop": e, "encoding": got[0], "length_class": (e - s).bit_length(), "bin": min(BINS - 1, int(-math.log10(got[1]) / BIN)), "power": got[2]})
             n = [sum(k == kind for _, k, _ in spans) for kind in KINDS[:3]]
             base = _join(spans)

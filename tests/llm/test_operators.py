@@ -228,6 +228,26 @@ def test_secrets_base_and_random(spark):
     assert secret_scan.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_secrets_after_an_equals_sign_and_without_digits(spark):
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    forms = ["AWS_ACCESS_KEY_LONG_NAME={}", "sig={}", "http://x.org/?sig={}&a=1", "export K={}==", "x {} y", "{}=1"]
+    rows, at = [], {}
+    for k in range(120):
+        form = forms[k % len(forms)]
+        token = "".join(rng.choice(letters if k % 2 else letters + "0123456789") for _ in range(24))
+        rows.append((k, form.format(token)))
+        s = form.index("{}")
+        at[k] = f"random:{s}:{s + 24 + 2 * form.endswith('=='):d}"
+    names = ["getElementsByClassName", "AWS_SECRET_ACCESS_KEY=x", "updateUserAccountPreferences", "SPRING_DATASOURCE_DRIVER_NAME=", "spark_sql_shuffle_partitions", "TransactionAwarePersistenceManager"]
+    rows += [(1000 + k, f"use {names[k % len(names)]}") for k in range(600)]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in range(6):
+        own = [k for k in range(120) if k % 6 == kind]
+        assert sum(at[k] in got[k].split(",") for k in own) >= len(own) - 3, forms[kind]
+    assert sum(got[1000 + k] != "" for k in range(600)) == 0
+
+
 def test_arrays_of_pyarrow_slices():
     from barloom.llm.textarrays import buffer_of
 
