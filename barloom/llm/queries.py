@@ -27,7 +27,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quote_links.link_quotes(table(spark, sf_dir, "conversations"))
+    return quote_links.link_quotes(table(spark, sf_dir, "conversations"), unplaced=True)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

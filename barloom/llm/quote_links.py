@@ -4,7 +4,8 @@ A message is cut into lines.  A line's quote level is the number of leading ``>`
 between them allowed); consecutive lines of one level are a passage.  Passages are
 normalised (white space as one space, trimmed, lower case) and hashed.  Unquoted passages,
 and each of their lines, are what can be quoted; a quoted passage links to the latest
-earlier message of its conversation with that hash, or else its lines do.  Replies are
+earlier message of its conversation with that hash, or else the latest that one of its
+lines has.  Replies are
 ordered by the messages they quote, and bodies keep unquoted lines only.
 
 A conversation may hold any share of all rows: what has to be in order within one stands in
@@ -69,7 +70,20 @@ def latest_source(sources: DataFrame, quoted: DataFrame) -> DataFrame:
     return got.select("conv_id", "hash", "turn", F.coalesce("near", "carried").alias("source_turn")).where("source_turn is not null")
 
 
-def link_quotes(messages: DataFrame) -> DataFrame:
+def unplaced_messages(messages: DataFrame) -> DataFrame:
+    """Rows as of ``link_quotes`` for messages without a conversation or turn: no links."""
+    rows = messages.where("conv_id is null or turn is null").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("message", F.xxhash64("role", "text")).dropDuplicates(_KEY)
+    split = F.split("text", "\r?\n")
+    levels = F.transform(split, lambda line: F.length(F.regexp_replace(F.regexp_extract(line, QUOTE, 0), "[^>]", "")))
+    rows = rows.withColumn("lines", split).withColumn("levels", levels)
+    body = F.array_join(F.filter("lines", lambda line, k: F.get("levels", k) == 0), "\n")
+    starts = F.filter("levels", lambda level, k: (level > 0) & ((k == 0) | (level != F.get("levels", k - 1))))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return rows.select(*_KEY[:2], "role", "message", body.alias("body"), F.size(starts).cast("long").alias("n_quotes"), F.array_max("levels").cast("long").alias("max_level"), F.lit(0).cast("long").alias("n_linked"), none("long", "parent_turn"), none("array<bigint>", "thread_path"), none("long", "reply_order"))
+
+
+def link_quotes(messages: DataFrame, unplaced: bool = False) -> DataFrame:
     """One row per message: conv_id, turn, role, message, body, n_quotes, max_level, n_linked, parent_turn, thread_path, reply_order.
 
     ``message`` is a hash of role and text and tells messages of one turn apart.
@@ -78,6 +92,9 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     ``reply_order`` numbers a conversation's messages along these paths.  A message whose
     quotes match nothing keeps its place; empty and null texts have an empty body; equal
     rows count once; other columns are ignored; an empty table gives no rows.
+
+    Messages without a conversation or turn can be placed nowhere.  They are left out, or
+    with ``unplaced`` are rows without parent, path and order.
     """
     rows = checkpointed(distinct_messages(messages))
     parts = checkpointed(passages(rows))
@@ -85,10 +102,11 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     piece = F.array_union(F.array("text"), F.col("lines"))
     sources = own.select("conv_id", F.col("turn").alias("source_turn"), F.explode(piece).alias("piece"))
     sources = sources.select("conv_id", "source_turn", F.sha2(normal(F.col("piece")), 256).alias("hash")).where(F.col("hash") != F.sha2(F.lit(""), 256)).distinct()
-    quoted = parts.where("level > 0").select(*_KEY, "passage", "level", F.explode(piece).alias("piece"))
-    quoted = quoted.select(*_KEY, "passage", "level", F.sha2(normal(F.col("piece")), 256).alias("hash"))
+    quoted = parts.where("level > 0").select(*_KEY, "passage", "level", F.posexplode(piece).alias("k", "piece"))
+    # The first piece is the whole passage.
+    quoted = quoted.select(*_KEY, "passage", "level", (F.col("k") == 0).alias("is_whole"), F.sha2(normal(F.col("piece")), 256).alias("hash"))
     links = quoted.join(latest_source(sources, quoted), ["conv_id", "hash", "turn"], "left")
-    links = links.groupBy(*_KEY, "passage", "level").agg(F.max("source_turn").alias("source_turn"))
+    links = links.groupBy(*_KEY, "passage", "level").agg(F.coalesce(F.max(F.when(F.col("is_whole"), F.col("source_turn"))), F.max("source_turn")).alias("source_turn"))
     per = links.groupBy(*_KEY).agg(F.count("*").alias("n_quotes"), F.max("level").alias("max_level"), F.count("source_turn").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("source_turn"))).alias("quoted_turn"))
     bodies = own.groupBy(*_KEY).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("passage", "text"))), lambda s: s["text"]), "\n").alias("body"))
     said = checkpointed(rows.select(*_KEY, "role").join(bodies, _KEY, "left").join(per, _KEY, "left"))
@@ -103,7 +121,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("bucket", "conv_id").orderBy("thread_path", "message"))
     out = placed.withColumn("rank", rank).join(offsets, ["conv_id", "bucket"])
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select(*_KEY[:2], "role", "message", F.coalesce("body", F.lit("")).alias("body"), zero("n_quotes"), zero("max_level"), zero("n_linked"), F.coalesce("quoted_turn", "previous").alias("parent_turn"), "thread_path", (F.col("rank") + F.col("rows_before")).cast("long").alias("reply_order"))
+    linked = out.select(*_KEY[:2], "role", "message", F.coalesce("body", F.lit("")).alias("body"), zero("n_quotes"), zero("max_level"), zero("n_linked"), F.coalesce("quoted_turn", "previous").alias("parent_turn"), "thread_path", (F.col("rank") + F.col("rows_before")).cast("long").alias("reply_order"))
+    return linked.unionByName(unplaced_messages(messages)) if unplaced else linked
 
 
 def thread_paths(turns: DataFrame) -> DataFrame:

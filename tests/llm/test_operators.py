@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from barloom.llm import exact_dedup, mixing, mpeg_audio, quality, quote_links, secret_scan, url_rules
+from barloom.llm import queries as llm_queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -100,6 +101,25 @@ def test_quotes_link_and_order(spark):
     assert quote_links.link_quotes(df.limit(0)).count() == 0
 
 
+def test_whole_passage_comes_before_its_lines(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(1, 0, "u", "Thanks\nSee A"), (1, 1, "u", "Thanks"), (1, 2, "u", "> Thanks\n> See A\nok"), (1, 3, "u", "> Thanks\n> See B"), (1, 4, "u", ">> Thanks\n>>  see a")]
+    got = {r["turn"]: r for r in quote_links.link_quotes(spark.createDataFrame(rows, schema)).collect()}
+    assert [got[t]["parent_turn"] for t in range(5)] == [None, 0, 0, 1, 3]
+    assert [got[t]["n_linked"] for t in range(5)] == [0, 0, 1, 1, 1] and got[2]["thread_path"] == [0, 2]
+
+
+def test_messages_without_a_key_are_rows(spark, tmp_path):
+    text = "a\r\n> b\n>> c\nd\n> e\n> f"
+    rows = [(1, 0, "u", text), (None, 1, "u", text), (None, 1, "u", text), (2, None, "u", None), (None, None, "u", "> x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): r for r in llm_queries.op5_quote_links(spark, str(tmp_path)).collect()}
+    assert len(got) == 4
+    facts = lambda r: (r["message"], r["body"], r["n_quotes"], r["max_level"], r["n_linked"])
+    assert facts(got[None, 1]) == facts(got[1, 0]) and got[None, 1]["n_quotes"] == 3
+    assert [got[2, None][c] for c in ("body", "n_quotes", "parent_turn", "thread_path", "reply_order")] == ["", 0, None, None, None] and got[None, None]["max_level"] == 1
+
+
 def test_long_conversation_equals_a_loop(spark):
     rng = random.Random(3)
     said, rows = [], []
