@@ -111,6 +111,7 @@ class Scan:
     bad_crc: int = 0
     resyncs: int = 0
     payload: bytes = b""
+    missing: int = 0  # bytes that the tag promises and the frames do not hold
 
 
 def parse_header(data: bytes, at: int) -> tuple[int, int, int, int, bool] | None:
@@ -131,7 +132,8 @@ def parse_header(data: bytes, at: int) -> tuple[int, int, int, int, bool] | None
 
 
 def parse_tags(data: bytes) -> tuple[dict[str, str], int, int]:
-    """ID3v2 text frames and an ID3v1 title; where audio starts and ends."""
+    """ID3v2 text frames; where audio starts, and where it ends if "TAG" 128 bytes before
+    the end is an ID3v1 tag and not data, which the frames tell (``scan``)."""
     tags, start, end = {}, 0, len(data)
     if data[:3] == b"ID3" and len(data) >= 10 and max(data[6:10]) < 128:
         n = data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]
@@ -151,7 +153,6 @@ def parse_tags(data: bytes) -> tuple[dict[str, str], int, int]:
             at += 10 + size
     if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
-        tags.setdefault("TIT2", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
     return tags, start, end
 
 
@@ -177,9 +178,33 @@ def _table(data: bytes, at: int, body: int, length: int) -> dict | None:
 
 def scan(data: bytes) -> Scan:
     """Reads a stream.  Frames with a wrong checksum count as bad and still give data;
-    bytes between frames are skipped, and each such gap is one resynchronisation."""
-    out = Scan()
-    out.tags, at, end = parse_tags(data)
+    bytes between frames are skipped, and each such gap is one resynchronisation.
+
+    "TAG" 128 bytes before the end is data where unbroken frames run over it to the very
+    end, and else an ID3v1 tag.
+    """
+    tags, start, end = parse_tags(data)
+    if end < len(data):
+        whole, unbroken = _walk(data, start, len(data))
+        if unbroken < end:
+            whole.tags = tags
+            return _trimmed(whole)
+    out, _ = _walk(data, start, end)
+    out.tags = tags if end == len(data) else {"TIT2": data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")} | tags
+    return _trimmed(out)
+
+
+def _trimmed(out: Scan) -> Scan:
+    n = out.tags.get("payload_bytes", "")
+    if n.isdigit():
+        out.missing = max(0, int(n) - len(out.payload))
+        out.payload = out.payload[: int(n)]
+    return out
+
+
+def _walk(data: bytes, at: int, end: int) -> tuple[Scan, int]:
+    """The frames between two places, and from where on they run unbroken to ``end``."""
+    out, since = Scan(), end
     parts, sure, seen = [], False, {}
     crc_rows: dict[int, tuple[list[int], list[int]]] = {}
     while at + HEAD <= end:
@@ -195,11 +220,13 @@ def scan(data: bytes) -> Scan:
             if sure or not out.offsets:
                 out.resyncs += 1
             sure = False
+            since = end
             if m is None:
                 break
             at = m.start()
             continue
         length, samples, rate, side, crc = got
+        since = min(since, at)
         body = at + HEAD + 2 * crc + side
         if crc:
             starts, wanted = crc_rows.setdefault(side, ([], []))
@@ -221,10 +248,7 @@ def scan(data: bytes) -> Scan:
         out.checked += len(starts)
         out.bad_crc += int((checksums(rows) != np.array(wanted, np.uint16)).sum())
     out.payload = b"".join(parts)
-    n = out.tags.get("payload_bytes", "")
-    if n.isdigit():
-        out.payload = out.payload[: int(n)]
-    return out
+    return out, since if at == end else end
 
 
 def payload_of(data: bytes) -> bytes:
@@ -242,7 +266,8 @@ def _columns(media: bytes) -> tuple:
 
 
 def store_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
-    """A media row per document: its text's bytes as an MPEG stream, read back.
+    """A media row per document: its text's bytes as an MPEG stream, read back.  A stream
+    that does not give them back is an error.
 
     Null and empty texts give 64 zero bytes.  doc_id may be null or repeat; other columns
     are ignored; an empty table gives no rows.  With ``keep_media`` the stream itself is
@@ -257,9 +282,12 @@ def store_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                 buf, off = buffer_of(b.column("text"))
                 rows = []
                 for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-                    media = encode(payload_of(buf[s:e].tobytes()))
+                    payload = payload_of(buf[s:e].tobytes())
+                    media = encode(payload)
                     got, feature = _columns(media)
                     back = got.payload
+                    if back != payload:
+                        raise ValueError(f"{got.missing} of {len(payload)} bytes are missing, or others differ, in the stream read back")
                     rows.append((e - s, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, got.samples, got.rate, got.offsets, media))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
                 cols = [pa.array([r[k] for r in rows], kinds[k]) for k in range(10 + keep_media)]

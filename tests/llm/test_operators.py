@@ -82,6 +82,31 @@ def test_media_round_trip_and_damage(spark):
     assert mpeg_audio.store_texts(df.limit(0)).count() == 0
 
 
+def test_media_with_the_letters_of_a_tag_in_the_payload(spark):
+    rows = [(n, ("x" * at + "TAG").ljust(n, "y")) for n in (64, 640, 960, 1984, 12672) for at in range(n - 3) if at % 64 < 2] + [(64 * k, "TAG" * (64 * k // 3)) for k in range(1, 200)]
+    got = mpeg_audio.store_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = sorted((n, hashlib.sha256(mpeg_audio.payload_of(t.encode())).hexdigest()) for n, t in rows)
+    assert sorted((r["doc_id"], r["payload_sha256"]) for r in got) == want
+
+
+def test_media_tag_at_the_end():
+    payload = bytes(range(256)) * 20
+    media, v1 = mpeg_audio.encode(payload), b"TAG" + b"a title".ljust(30, b"\0") + b"\xff" * 95
+    # "TAG" exactly 128 bytes before the end of the stream, in the last frame.
+    data = bytearray(64 * 30)
+    at = len(mpeg_audio.encode(bytes(data)))
+    inside = next(k for k in range(len(data)) if mpeg_audio.encode(bytes(k) + b"TAG" + bytes(len(data) - k - 3))[at - 128 : at - 125] == b"TAG")
+    data[inside : inside + 3] = b"TAG"
+    got = mpeg_audio.scan(mpeg_audio.encode(bytes(data)))
+    assert got.payload == data and got.missing == 0 and "TIT2" not in got.tags
+    first = got.offsets[0]
+    hurt = mpeg_audio.encode(bytes(data))
+    assert mpeg_audio.scan(hurt[:first] + b"junk" + hurt[first:]).payload == data
+    tagged = mpeg_audio.scan(media + v1)
+    assert tagged.payload == payload and tagged.tags["TIT2"] == "a title" and tagged.resyncs == 0
+    assert mpeg_audio.scan(media[: mpeg_audio.scan(media).offsets[-1]] + v1).missing > 0
+
+
 # quotation linking
 
 
