@@ -32,7 +32,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str | None = None) -> DataFrame:
     """The rows of ``df``, computed once and kept as a table in the shared checkpoint folder.
 
     Unlike a checkpoint, which Spark takes for endlessly large, a table has a known size:
@@ -40,7 +40,7 @@ def written(df: DataFrame) -> DataFrame:
     read together.
     """
     path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.parquet(path)
 
 

@@ -17,7 +17,8 @@ order just as far as that:
     rank of what follows.
 
 Every task first sorts what it has itself and ships only the first suffix of each tie, so
-a passage in a third of all documents is one row per batch.  Text moves once, to its spans.
+a passage in a third of all documents is one row per batch.  Text is written once with the
+numbers of its rows, and moves once, to its spans.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import checkpointed, partitions
+from barloom.llm.common import checkpointed, partitions, written
 from barloom.llm.textarrays import _powers, buffer_of, mix, pieces, prefix_sums, slices, span_hashes
 
 LENGTH = 100
@@ -292,7 +293,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """
     gram = min(gram, length)
     n_parts = partitions(docs.sparkSession)
-    texts = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    # Another scan may be split otherwise and number the rows anew: all passes read this one.
+    texts = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "zstd")
     row_spans = "row long, covered binary, asked binary"
     samples = texts.mapInArrow(_ship_samples(n_parts, length, gram), _SHIPPED)
     ranked = samples.groupBy("part").applyInArrow(_sorted_bucket(length, _SAMPLE, n_parts, True), _FOUND)

@@ -67,3 +67,20 @@ def test_nulls_repeats_clashes_and_empty(spark):
     got = sorted((r["doc_id"] or -1, len(r["kept"])) for r in remove_repeats(df).collect())
     assert got == [(-1, 0), (4, 0), (4, 120)]
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_rows_keep_their_numbers_when_splits_change(spark, tmp_path):
+    rng = random.Random(6)
+    own = ["".join(rng.choices("abcdefgh ", k=300)) for _ in range(60)]
+    rows = [(k, own[k] + (own[k - 1][:150] if k % 3 else "")) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(12, "doc_id").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    want = {r["doc_id"]: bytes(r["kept"]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        later = remove_repeats(docs)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+        got = {r["doc_id"]: bytes(r["kept"]) for r in later.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == want and any(len(got[k]) < len(rows[k][1]) for k in got)
