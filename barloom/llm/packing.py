@@ -31,7 +31,7 @@ ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 8
 POPULATION = 4
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 class Encoder:
@@ -39,14 +39,17 @@ class Encoder:
 
     ``path`` is a tokenizer file (.json); the file of its ranks beside it (.tiktoken) gives
     the same ids by a faster program.  A text on which that program gives up (its regular
-    expression has a depth limit) is encoded from the first file.
+    expression has a depth limit) is encoded from the first file.  With ``special`` a
+    special token's literal in a text is that token, as the file has it by itself, else
+    ordinary text; the first file encodes such texts too.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.fast = None
         ranks = Path(path).with_suffix(".tiktoken")
         if ranks.exists():
@@ -57,7 +60,7 @@ class Encoder:
             self.fast = tiktoken.Encoding(ranks.stem, pat_str=PATTERN, mergeable_ranks={base64.b64decode(t): int(k) for t, k in pairs}, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if self.fast is not None:
+        if self.fast is not None and not any(x in text for x in self.literals):
             try:
                 return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
             except BaseException as gave_up:
@@ -66,15 +69,15 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, special: bool = False) -> Encoder:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    path = str(path)
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = str(path), special
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -93,7 +96,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer)
+        ids_of = encoder(tokenizer, special=True)
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             rows: list[tuple] = []

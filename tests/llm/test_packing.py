@@ -66,3 +66,12 @@ def test_few_sequences(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = pack(docs).selectExpr("count(distinct sequence_id) as n", "sum(length) as total").first()
     assert got["n"] <= 1.002 * -(-got["total"] // CAPACITY) + 1
+
+
+def test_special_tokens_in_texts_are_their_ids(spark):
+    t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = ["a <|endoftext|>", "<|endoftext|>" * 3, "<|endoftext| > x", "x <|endoftext|>y  <|endoftext|>\n", "plain"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0][-1] == 50256
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in pack(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert got == {k: (len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes())) for k, ids in enumerate(want)}
