@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.sources.strategy import StrategyConfig
@@ -26,11 +26,24 @@ def selection_log(selections: DataFrame, method: str) -> DataFrame:
     return selections.select(F.date_format("bar_ts", "yyyy-MM-dd").alias("date"), "ticker", F.lit(method).alias("method"), F.format_string("%.2f", "close").alias("close"))
 
 
+def _line() -> Column:
+    return F.format_string("%s (%s) close=%.0f", "name", "ticker", "close").alias("line")
+
+
+def _section_text(title: str, cfg: StrategyConfig) -> Column:
+    head = f"[{title}] {cfg.entry_set}\nentry={cfg.entry} stop={cfg.stop_pct} hold={cfg.max_hold} vol={cfg.vol_mult}\n\n"
+    return F.concat(F.lit(head), F.when(F.size("lines") > 0, F.array_join("lines", "\n")).otherwise("No signal today.")).alias("text")
+
+
 def section(title: str, cfg: StrategyConfig, selections: DataFrame) -> DataFrame:
     """One row ``text``: header, parameters, and the selections' lines in order."""
-    head = f"[{title}] {cfg.entry_set}\nentry={cfg.entry} stop={cfg.stop_pct} hold={cfg.max_hold} vol={cfg.vol_mult}\n\n"
-    lines = selections.select(F.format_string("%s (%s) close=%.0f", "name", "ticker", "close").alias("line")).agg(F.array_sort(F.collect_list("line")).alias("lines"))
-    return lines.select(F.concat(F.lit(head), F.when(F.size("lines") > 0, F.array_join("lines", "\n")).otherwise("No signal today.")).alias("text"))
+    return selections.select(_line()).agg(F.array_sort(F.collect_list("line")).alias("lines")).select(_section_text(title, cfg))
+
+
+def daily_sections(title: str, cfg: StrategyConfig, selections: DataFrame, days: DataFrame) -> DataFrame:
+    """date, text: a section for every date of ``days``, from that day's selections."""
+    lines = selections.select("date", _line()).groupBy("date").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    return days.select("date").distinct().join(lines, "date", "left").select("date", _section_text(title, cfg))
 
 
 def pick_messages(picks: DataFrame) -> DataFrame:

@@ -164,11 +164,12 @@ def _lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _strategy_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reports.named(trades.live_signals(_frame(spark, sf_dir), QUANT, last_only=False), None)
-    return reports.section("Quant", QUANT, found)
+    days = event_bars(spark, sf_dir).select(F.date_format("bar_ts", "yyyy-MM-dd").alias("date"))
+    return reports.daily_sections("Quant", QUANT, found, days)
 
 
 def _message_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.message_chunks(_strategy_section(spark, sf_dir).select(F.lit("quant").alias("ident"), "text"))
+    return reports.message_chunks(_strategy_section(spark, sf_dir).select(F.concat(F.lit("quant "), "date").alias("ident"), "text"))
 
 
 def _pick_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,3 +92,13 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_a_section_for_every_day(spark):
+    rows = spark.createDataFrame([("000001", "2020-01-02", 5.0), ("000002", "2020-01-02", 6.0), ("000001", "2020-01-03", 7.0)], "ticker string, date string, close double")
+    days = spark.createDataFrame([("2020-01-02",), ("2020-01-03",), ("2020-01-03",), ("2020-01-04",)], "date string")
+    got = {r["date"]: r["text"].split("\n\n")[1] for r in reports.daily_sections("T", QUANT, reports.named(rows, None), days).collect()}
+    assert got == {"2020-01-02": "000001 (000001) close=5\n000002 (000002) close=6", "2020-01-03": "000001 (000001) close=7", "2020-01-04": "No signal today."}
+    queries = __spark_entry__.queries()
+    n = queries["strategy_section"](spark, SF).count()
+    assert n > 1 and queries["message_chunks"](spark, SF).select("ident").distinct().count() == n
