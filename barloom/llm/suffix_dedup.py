@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import checkpointed, partitions, written
-from barloom.llm.textarrays import _powers, buffer_of, mix, pieces, prefix_sums, slices, span_hashes
+from barloom.llm.textarrays import buffer_of, gram_hashes, mix, pieces, prefix_sums, slices, span_hashes
 
 LENGTH = 100
 GRAM = 32
@@ -67,8 +67,7 @@ def cover(part: np.ndarray, off: np.ndarray, length: int, gram: int):
     if n < length:
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
     sums = prefix_sums(part)
-    _, down = _powers(n + 1)
-    grams = mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+    grams = gram_hashes(sums, gram)
     least = grams >> np.uint64(32) << np.uint64(32) | np.arange(len(grams), dtype=np.uint64)
     wide, size = length - gram + 1, 1
     while size * 2 <= wide:
@@ -87,7 +86,7 @@ def cover(part: np.ndarray, off: np.ndarray, length: int, gram: int):
     lo, hi = at[new], at[np.r_[np.flatnonzero(new)[1:] - 1, len(at) - 1]]
     sample = sample[new]
     shape = (sample - lo).astype(np.uint64) << np.uint64(32) | (hi - lo).astype(np.uint64)
-    return lo, hi, grams[sample], mix(span_hashes(sums, lo, hi + length) ^ shape)
+    return lo, hi, span_hashes(sums, sample, sample + gram), mix(span_hashes(sums, lo, hi + length) ^ shape)
 
 
 def _first(null, ident, row, high, low, start) -> tuple[np.ndarray, np.ndarray]:

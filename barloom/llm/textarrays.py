@@ -1,8 +1,9 @@
 """Numpy kernels over the byte buffer of an Arrow string column.
 
 A batch of texts is one ``uint8`` array and the offsets of its texts, so words, word
-hashes and window hashes of all texts come from a few array operations.  Hashes are
-polynomials modulo 2**64, followed by a mixing step.
+hashes and window hashes of all texts come from a few array operations.  A span's hash is
+a pair of polynomials modulo two 31-bit primes, followed by a mixing step.  (Modulo a power
+of two, any base gives the Thue-Morse word and its complement one hash.)
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_tables: dict[str, np.ndarray] = {}
+_SALT = 0x9E3779B97F4A7C15
+_PRIMES = (2147483647, 2147483629)
+_BASES = (1103515245, 69069069)
+_tables: dict[tuple[int, bool], np.ndarray] = {}
+#: Values of a sum whose terms are below 2**39.
+_UNREDUCED = 1 << 24
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -26,15 +29,20 @@ SLICE_BYTES = 1 << 20
 PIECE_BYTES = 1 << 23
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**k and BASE**-k for k < n, kept and extended as longer texts come."""
-    if len(_tables.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for name, b in (("up", _BASE), ("down", _INVERSE)):
-            t = np.full(size, b, np.uint64)
-            t[0] = 1
-            _tables[name] = np.multiply.accumulate(t)
-    return _tables["up"], _tables["down"]
+def _powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
+    """base**k (or base**-k) modulo a prime for k < n, kept and extended as longer texts come."""
+    t = _tables.get((which, inverse))
+    if t is None or len(t) < n:
+        prime = _PRIMES[which]
+        base = pow(_BASES[which], -1, prime) if inverse else _BASES[which]
+        t = np.ones(max(n, SLICE_BYTES + 1), np.uint64)
+        have = 1
+        while have < len(t):  # base**(have + k) = base**have * base**k
+            more = min(have, len(t) - have)
+            t[have : have + more] = t[:more] * np.uint64(pow(base, have, prime)) % np.uint64(prime)
+            have += more
+        _tables[which, inverse] = t
+    return t
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -94,18 +102,34 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """P with P[e] - P[s] = sum of values[k] * BASE**k for s <= k < e."""
-    up, _ = _powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=out[1:])
-    return out
+def prefix_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per prime P with P[e] - P[s] = sum of (values[k] + 1) * base**k for s <= k < e, not
+    reduced: the differences fit into 64 bits."""
+    out = []
+    for which, prime in enumerate(_PRIMES):
+        terms = (values.astype(np.uint64) + np.uint64(1)) * _powers(which, len(values))[: len(values)]
+        if len(values) > _UNREDUCED:
+            terms %= np.uint64(prime)
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(terms, out=sums[1:])
+        out.append(sums)
+    return tuple(out)
 
 
-def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def gram_hashes(sums: tuple[np.ndarray, np.ndarray], gram: int) -> np.ndarray:
+    """A cheaper hash, of one polynomial, of the ``gram`` bytes at every place: enough to
+    choose places by."""
+    p, n = np.uint64(_PRIMES[0]), len(sums[0])
+    return mix((sums[0][gram:] - sums[0][:-gram]) % p * _powers(0, n, True)[: n - gram] % p + np.uint64(_SALT))
+
+
+def span_hashes(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of each span, the same wherever the span stands."""
-    _, down = _powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    parts = []
+    for which, prime in enumerate(_PRIMES):
+        p = np.uint64(prime)
+        parts.append((sums[which][end] - sums[which][start]) % p * _powers(which, len(sums[which]), True)[start] % p)
+    return mix((parts[0] << np.uint64(32) | parts[1]) + np.uint64(_SALT) * (end - start).astype(np.uint64))
 
 
 def shingle_hashes(word: np.ndarray, doc: np.ndarray, n_docs: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +141,7 @@ def shingle_hashes(word: np.ndarray, doc: np.ndarray, n_docs: int, n: int) -> tu
     counts = np.bincount(doc, minlength=n_docs)
     firsts = np.cumsum(counts) - counts
     total = len(word)
-    salt = [np.uint64(pow(_BASE, 3 + 2 * k, 1 << 64)) for k in range(n)]
+    salt = [np.uint64(pow(_SALT, 3 + 2 * k, 1 << 64)) for k in range(n)]
     if total >= n:
         h = np.zeros(total - n + 1, np.uint64)
         for k in range(n):

@@ -80,3 +80,15 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(500)] + [(900, 901), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert got == {**dict.fromkeys(range(501), 0), 900: 900, 901: 900}
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_a_power_of_two_cannot_tell_apart(spark, n):
+    swap = str.maketrans("ab", "ba")
+    rows = [(1, thue_morse(n)), (2, thue_morse(n).translate(swap)), (3, " ".join([thue_morse(n)] * 9)), (4, " ".join([thue_morse(n).translate(swap)] * 9))]
+    got = jaccard_classes(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA))
+    assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in got.collect()) == [(k, k, 0) for k in (1, 2, 3, 4)]
