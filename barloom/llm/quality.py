@@ -73,9 +73,10 @@ def _shapes(part: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     maybe = np.flatnonzero((length[1:] == length[:-1]) & (doc[1:] == doc[:-1])) + 1
     for n in np.unique(length[maybe]):
         own = maybe[length[maybe] == n]
-        for lo in range(0, len(own), 4096):
-            few_own = own[lo : lo + 4096]
-            span = np.arange(min(n, 64))
+        many = max(1, (1 << 18) // int(n))
+        for lo in range(0, len(own), many):
+            few_own = own[lo : lo + many]
+            span = np.arange(n)
             same[few_own] = (part[start[few_own][:, None] + span] == part[start[few_own - 1][:, None] + span]).all(axis=1)
     return code * np.uint64(2) + same, doc
 

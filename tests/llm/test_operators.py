@@ -298,3 +298,11 @@ def test_arrays_of_pyarrow_slices():
 
     buf, off = buffer_of(pa.array(["ab", None, "é", ""]).slice(1))
     assert bytes(buf) == "é".encode() and off.tolist() == [0, 0, 2, 2]
+
+
+def test_word_shapes_compare_whole_words():
+    code = lambda text: quality._shapes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0].tolist()
+    same, other = code("x" * 65 + " " + "x" * 65), code("x" * 65 + " " + "x" * 64 + "y")
+    assert same[1] & 1 and not other[1] & 1
+    long = code("x" * 300000 + " " + "x" * 300000 + " " + "x" * 299999 + "y")
+    assert [c & 1 for c in long] == [0, 1, 0]
