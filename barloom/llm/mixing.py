@@ -49,22 +49,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EP
     return per.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def random_key(ident: Column, seed: int) -> Column:
-    """A hash-random key as 32 hexadecimal digits; a null identifier has a key too."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit(""))))
+def random_key(ident: Column, text: Column, seed: int) -> Column:
+    """A hash-random key as 32 hexadecimal digits; rows without an identifier have one by
+    their text, so that they are dealt to all buckets as well."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.md5(F.encode(text, "UTF-8")))))
 
 
-def mix_sources(docs: DataFrame, seed: int = 7, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, share: float = 1.0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken.
-
-    ``taken`` is the number of words that the mix takes of the document, repeats
-    counted: a whole number of epochs, and of the document at the cut a part.  The sum of
-    a source is its target rounded to a word.  Null text has size 0; a null source is a
-    source; repeated rows each count; an empty table gives no rows.  Other columns are
-    ignored.
-    """
-    rows = docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"))
-    rows = written(rows.withColumn("key", random_key(F.col("doc_id"), seed)))
+def _taken(rows: DataFrame, weights, max_epochs: float, share: float, bucket_rows: int) -> DataFrame:
+    """``rows(source, size, key, ...)`` with source_size, target and ``taken``."""
     targets = written(source_targets(rows, weights, max_epochs, share))
     budget = F.round("target").cast("long")
     targets = targets.select(
@@ -79,31 +71,47 @@ def mix_sources(docs: DataFrame, seed: int = 7, weights=WEIGHTS, max_epochs: flo
     earlier = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("s").alias("s2"), F.col("bucket").alias("b2"), F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("bucket_start"))
     placed = keyed.join(sums, keyed["s"].eqNullSafe(sums["s2"]) & (keyed["bucket"] == sums["b2"]))
-    inside = Window.partitionBy("s", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ties = [c for c in ("text_hash", "row") if c in rows.columns]
+    inside = Window.partitionBy("s", "bucket").orderBy("key", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("bucket_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))
-    return placed.withColumn("part", part).select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))
+    return placed.withColumn("part", part).select(*rows.columns, "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))
+
+
+def mix_sources(docs: DataFrame, seed: int = 7, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, share: float = 1.0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken.
+
+    ``taken`` is the number of words that the mix takes of the document, repeats
+    counted: a whole number of epochs, and of the document at the cut a part.  The sum of
+    a source is its target rounded to a word.  Null text has size 0; a null source is a
+    source; repeated rows each count; an empty table gives no rows.  Other columns are
+    ignored, texts may be of any length.
+    """
+    rows = docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"), random_key(F.col("doc_id"), text_or_empty(), seed).alias("key"))
+    return _taken(written(rows), weights, max_epochs, share, bucket_rows).drop("key")
 
 
-def apply_mix(docs: DataFrame, **how) -> DataFrame:
+def apply_mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, share: float = 1.0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The mixed documents: each as often as the mix takes it, the one at a cut shortened.
 
     Rows keep their columns; ``n_chars`` follows the text.  Documents without words are
-    not part of any budget and stay once.
+    not part of any budget and stay once.  Rows are numbered in a written copy, so that
+    each of several equal ones gets what the mix takes of it and no more.
     """
     columns = docs.columns
-    taken = mix_sources(docs, **how).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("mix_taken")).select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "mix_taken")
-    sized = docs.withColumn("own_size", word_count(text_or_empty()))
-    both = sized.join(taken, sized["doc_id"].eqNullSafe(taken["mix_id"]) & sized["source"].eqNullSafe(taken["mix_source"]) & (sized["own_size"] == taken["mix_size"]))
-    whole = F.when(F.col("own_size") > 0, F.floor(F.col("mix_taken") / F.col("own_size"))).otherwise(F.lit(1)).cast("int")
-    part = F.when(F.col("own_size") > 0, F.col("mix_taken") % F.col("own_size")).otherwise(F.lit(0)).cast("int")
+    numbered = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    text = F.coalesce("doc.text", F.lit(""))
+    rows = numbered.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), word_count(text).alias("size"), random_key(F.col("doc.doc_id"), text, seed).alias("key"), F.xxhash64(text).alias("text_hash"))
+    taken = _taken(written(rows), weights, max_epochs, share, bucket_rows).where("taken > 0 or size = 0").select("row", "size", "taken")
+    both = numbered.join(taken, "row")
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
+    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
     both = both.withColumn("mix_words", F.explode(copies))
-    pieces = F.regexp_extract_all("text", F.lit(f"{SPACE_CLASS}*{WORD_CLASS}+"), F.lit(0))
+    pieces = F.regexp_extract_all("doc.text", F.lit(f"{SPACE_CLASS}*{WORD_CLASS}+"), F.lit(0))
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("mix_words")), "")
-    both = both.withColumn("text", F.when(F.col("mix_words") > 0, cut).otherwise(F.col("text")))
+    is_cut = F.col("mix_words") > 0
+    changed = {"text": F.when(is_cut, cut).otherwise(F.col("doc.text"))}
     if "n_chars" in columns:
-        both = both.withColumn("n_chars", F.when(F.col("mix_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return both.select(*columns)
-
-
+        changed["n_chars"] = F.when(is_cut, F.length(cut).cast("long")).otherwise(F.col("doc.n_chars"))
+    return both.select(*(changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in columns))
