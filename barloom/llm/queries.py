@@ -68,7 +68,7 @@ FROM n
 """
 
 OP6 = rf"""
-WITH d AS (SELECT doc_id, source, CAST({_WORDS} AS BIGINT) AS size, md5(concat('7:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, CAST({_WORDS} AS BIGINT) AS size, md5(concat('7:', coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))))) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
 r AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place FROM w),
@@ -93,7 +93,7 @@ rules(h, p, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', '
 best AS (SELECT host, path, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict
          FROM (SELECT DISTINCT host, path FROM u) d JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY host, path)
 SELECT page_id, u.host, u.path, rule, coalesce(best.verdict, CASE
-         WHEN regexp_matches(u.host, '(^|\.)ad(s|server)?[0-9]*\.') AND regexp_matches(u.host, '(^|[^a-z0-9])adserver([^a-z0-9]|$)') THEN 'block'
+         WHEN regexp_matches(u.host, '(^|\.)ad(s|server)?[0-9]*\.') THEN 'block'
          WHEN regexp_matches(u.host, '(^|[.-])(online-)?casino[.-]') THEN 'block'
          WHEN regexp_matches(u.path, '^(/[^/]*)*/wp-login\.php$') OR regexp_matches(u.path, '(^|/)pixel\.gif$') THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN best ON u.host = best.host AND u.path = best.path

@@ -306,3 +306,77 @@ def test_word_shapes_compare_whole_words():
     assert same[1] & 1 and not other[1] & 1
     long = code("x" * 300000 + " " + "x" * 300000 + " " + "x" * 299999 + "y")
     assert [c & 1 for c in long] == [0, 1, 0]
+
+
+def test_hosts_and_paths_with_line_feeds(spark):
+    urls = ["http://a\nb.com/x", "http://q\n.net/es/", "http://com\n/x", "http://x.net/\n/es/", "http://x.net/es/\n", "s://a\nb.example.com/en/\nq"]
+    df = spark.createDataFrame(list(enumerate(urls)) + [(None, urls[0]), (0, urls[0])], "page_id long, url string")
+    got = [(r["page_id"], r["rule"], r["verdict"]) for r in url_rules.judge_urls(df).collect()]
+    want = [(0, "com/", "allow"), (1, "net/es/", "block"), (2, None, "allow"), (3, None, "allow"), (4, "net/es/", "block"), (5, "example.com/en/", "block"), (None, "com/", "allow"), (0, "com/", "allow")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+FILTERS = ["! a comment", "[Header 2.0]", "", "example.org##.banner", "||ads.example.org^", "/banner/*/img^", "|track.", "pixel.gif|", "@@||good.ads.example.org^", "/adv[0-9]+/", "||x.io/a.b*c|", "swf|", "foo*bar"]
+
+
+def plain_filter(line, host, path):
+    """The syntax in words, by a walk over the pattern."""
+    body = line[2:] if line.startswith("@@") else line
+    s = (host + path).lower()
+    if body[0] == body[-1] == "/" and len(body) > 2:
+        return re.search(body[1:-1], s) is not None
+    core = body.strip("|").lower()
+
+    def at(i, k):
+        if k == len(core):
+            return i == len(s) or not body.endswith("|")
+        if core[k] == "*":
+            return any(at(j, k + 1) for j in range(i, len(s) + 1))
+        if core[k] == "^":
+            return (i == len(s) and at(i, k + 1)) or (i < len(s) and not re.match(r"[a-z0-9_.%-]", s[i]) and at(i + 1, k + 1))
+        return i < len(s) and s[i] == core[k] and at(i + 1, k + 1)
+
+    starts = range(len(s) + 1)
+    if body.startswith("||"):
+        starts = [0] + [i + 1 for i, c in enumerate(host) if c == "."]
+    elif body.startswith("|"):
+        starts = [0]
+    return any(at(i, 0) for i in starts)
+
+
+def test_filter_lines_fit_where_their_syntax_says(spark):
+    rng = random.Random(11)
+    bits = ["ads", "example", "org", "good", "track", "banner", "img", "pixel", "gif", "x", "io", "a", "b", "c", "adv12", "swf", "foo", "bar", "FOO"]
+    urls = ["http://" + ".".join(rng.choices(bits, k=rng.randrange(1, 5))) + "".join(rng.choice("/./_-") + rng.choice(bits) for _ in range(rng.randrange(0, 6))).replace(".", "/", 1) for _ in range(400)]
+    urls += ["http://ads.example.org", "http://a.good.ads.example.org/x", "http://track.x/", "http://x.io/a.b/c", "http://b/banner/q/img", "http://q/foo/xbar", "http://q/pixel.gif", "http://q/adv7"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = tuple(r for r in map(url_rules.parse_filter, FILTERS) if r)
+    assert len(rules) == 9 and {t for r in rules for t in r.tokens} >= {"ads", "example", "banner"} and "bar" not in {t for r in rules for t in r.tokens}
+    got = {r["page_id"]: (r["host"], r["path"], r["verdict"]) for r in url_rules.judge_urls(df, rules).collect()}
+    for k in range(len(urls)):
+        host, path, verdict = got[k]
+        fits = [line for line in FILTERS[4:] if plain_filter(line, host, path)]
+        assert verdict == ("block" if fits and not any(f.startswith("@@") for f in fits) else "allow"), (urls[k], fits)
+    assert {v for _, _, v in got.values()} == {"block", "allow"}
+    try:
+        url_rules.parse_filter("||x.org^$third-party")
+    except ValueError:
+        return
+    raise AssertionError("options were taken")
+
+
+def test_mix_of_repeated_rows(spark):
+    rows = [(1, "a b c d e f g", "s1")] * 6 + [(None, "x y", "s1")] * 5 + [(2, None, "s1"), (2, "", None)] + [(k, "w " * 50, "s2") for k in range(9)]
+    df = docs_of(spark, rows).selectExpr("*", "1 as row", "2 as taken", "3 as size", "4 as doc")
+    got = mixing.mix_sources(df).collect()
+    assert len(got) == len(rows)
+    want = Counter()
+    for r in got:
+        want[r["source"]] += r["taken"]
+    mixed = mixing.apply_mix(df)
+    assert mixed.columns == df.columns
+    have = Counter()
+    for r in mixed.collect():
+        have[r["source"]] += len((r["text"] or "").split())
+    assert have == want and all(v for v in want.values() if v) and mixing.apply_mix(df.limit(0)).count() == 0
+    assert sum(r["text"] is None or r["text"] == "" for r in mixed.collect()) == 2
