@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,18 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; only where the session names
-    none (tests, a laptop) a temporary one is set."""
+    """The shared folder that ``spark.checkpoint.dir`` names.  Only a session in one process
+    (tests, a laptop) may name none; a temporary folder is set there."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="barloom-"))
     return context.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and kept in the shared checkpoint folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+_scratch: list[list[str]] = []
 
 
 def written(df: DataFrame, compression: str | None = None) -> DataFrame:
@@ -40,10 +42,49 @@ def written(df: DataFrame, compression: str | None = None) -> DataFrame:
     read together.
     """
     path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    for open_block in _scratch:
+        open_block.append(path)
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that ``written`` made inside the block when it ends.
+
+    A result has to be stored before that: its plan reads them.
+    """
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            delete_table(spark, path)
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: A key with more than this share of all rows is a hub.
+HUB_SHARE = 1e-3
+
+
+def join_hubs(rows: DataFrame, per: DataFrame, key: str | list[str], count: str) -> DataFrame:
+    """``rows`` joined with ``per``, which has one row per ``key`` and their ``count``.
+
+    Rows of hubs are joined where they are: there are at most 1 / HUB_SHARE hubs, so these
+    are broadcast whatever the input.  All other keys are shuffled, and none of them has
+    more than that share.  Both sides are read twice and should be written tables.
+    """
+    total = per.agg(F.sum(count)).first()[0] or 0
+    key = [key] if isinstance(key, str) else key
+    hubs = F.broadcast(per.where(F.col(count) > total * HUB_SHARE))
+    far = rows.join(F.broadcast(hubs.select(*key)), key, "left_anti").join(per.where(F.col(count) <= total * HUB_SHARE), key)
+    return rows.join(hubs, key).unionByName(far)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -62,4 +103,4 @@ def ranged(df: DataFrame, *order: str) -> DataFrame:
     Windows by bucket and key hold one range at most, however many rows a key has; what
     lies before a range is carried in from one row per key and bucket.
     """
-    return checkpointed(df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("bucket", F.spark_partition_id()))
+    return written(df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("bucket", F.spark_partition_id()))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import checkpointed
+from barloom.llm.common import written
 
 CAPACITY = 2048
 END_ID = 0
@@ -222,7 +222,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     gaps.  Null and empty texts are their end id; rows may repeat or lack a doc_id; other
     columns are ignored; an empty table gives no rows.
     """
-    pieces = checkpointed(token_pieces(docs, capacity, tokenizer))
+    pieces = written(token_pieces(docs, capacity, tokenizer))
     return pack_pieces(pieces, capacity, block_pieces, islands, epochs)
 
 
@@ -246,7 +246,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int =
     found = lean.groupBy("block", "island").applyInPandas(lambda key, items: solve(key, items, None, 0), _SOLUTION)
     for epoch in range(1, epochs):
         # Each island's elite goes to every island of its block.
-        found = checkpointed(found)
+        found = written(found)
         visits = found.withColumn("to", F.explode(F.array(*map(F.lit, range(islands)))))
         found = lean.groupBy("block", "island").cogroup(visits.groupBy("block", "to")).applyInPandas(later(epoch), _SOLUTION)
     best = found.groupBy("block").agg(F.min_by("labels", F.struct("n_bins", -F.col("fit"), "island")).alias("labels"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import SPACE_CLASS, checkpointed, ranged
+from barloom.llm.common import SPACE_CLASS, ranged, written
 
 QUOTE = r"^(?:\x20*>)+\x20?"
 _KEY = ["conv_id", "turn", "message"]
@@ -96,8 +96,8 @@ def link_quotes(messages: DataFrame, unplaced: bool = False) -> DataFrame:
     Messages without a conversation or turn can be placed nowhere.  They are left out, or
     with ``unplaced`` are rows without parent, path and order.
     """
-    rows = checkpointed(distinct_messages(messages))
-    parts = checkpointed(passages(rows))
+    rows = written(distinct_messages(messages))
+    parts = written(passages(rows))
     own = parts.where("level = 0")
     piece = F.array_union(F.array("text"), F.col("lines"))
     sources = own.select("conv_id", F.col("turn").alias("source_turn"), F.explode(piece).alias("piece"))
@@ -109,11 +109,11 @@ def link_quotes(messages: DataFrame, unplaced: bool = False) -> DataFrame:
     links = links.groupBy(*_KEY, "passage", "level").agg(F.coalesce(F.max(F.when(F.col("is_whole"), F.col("source_turn"))), F.max("source_turn")).alias("source_turn"))
     per = links.groupBy(*_KEY).agg(F.count("*").alias("n_quotes"), F.max("level").alias("max_level"), F.count("source_turn").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("source_turn"))).alias("quoted_turn"))
     bodies = own.groupBy(*_KEY).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("passage", "text"))), lambda s: s["text"]), "\n").alias("body"))
-    said = checkpointed(rows.select(*_KEY, "role").join(bodies, _KEY, "left").join(per, _KEY, "left"))
+    said = written(rows.select(*_KEY, "role").join(bodies, _KEY, "left").join(per, _KEY, "left"))
     turns = ranged(said.groupBy("conv_id", "turn").agg(F.max("quoted_turn").alias("turn_quoted")), "conv_id", "turn")
     before = F.lag("turn").over(Window.partitionBy("bucket", "conv_id").orderBy("turn"))
     turns = turns.withColumn("near", before).join(_carried(turns, ["conv_id"], F.col("turn"), "carried"), ["bucket", "conv_id"])
-    turns = checkpointed(turns.select("conv_id", "turn", "turn_quoted", F.coalesce("near", "carried").alias("previous")))
+    turns = written(turns.select("conv_id", "turn", "turn_quoted", F.coalesce("near", "carried").alias("previous")))
     placed = said.join(turns.join(thread_paths(turns), ["conv_id", "turn"]), ["conv_id", "turn"])
     placed = ranged(placed, "conv_id", "thread_path", "message")
     counts = placed.groupBy("conv_id", "bucket").agg(F.count("*").alias("rows_here"))
@@ -132,9 +132,9 @@ def thread_paths(turns: DataFrame) -> DataFrame:
     Chains are resolved by doubling: each round a path takes over its start's path, so a
     chain of n quotes needs log2(n) rounds.  Quotes point to earlier turns, so it ends.
     """
-    paths = checkpointed(turns.select("conv_id", "turn", F.array("turn").alias("thread_path"), F.col("turn_quoted").alias("next")))
+    paths = written(turns.select("conv_id", "turn", F.array("turn").alias("thread_path"), F.col("turn_quoted").alias("next")))
     while paths.where("next is not null").take(1):
         up = paths.select(F.col("conv_id").alias("c2"), F.col("turn").alias("u"), F.col("thread_path").alias("up_path"), F.col("next").alias("up_next"))
         both = paths.join(up, (F.col("conv_id") == F.col("c2")) & (F.col("next") == F.col("u")), "left")
-        paths = checkpointed(both.select("conv_id", "turn", F.concat(F.coalesce("up_path", F.array().cast("array<bigint>")), "thread_path").alias("thread_path"), F.col("up_next").alias("next")))
+        paths = written(both.select("conv_id", "turn", F.concat(F.coalesce("up_path", F.array().cast("array<bigint>")), "thread_path").alias("thread_path"), F.col("up_next").alias("next")))
     return paths.select("conv_id", "turn", "thread_path")

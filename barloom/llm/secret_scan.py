@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import checkpointed
+from barloom.llm.common import written
 
 KINDS = ("assign", "access", "hex", "random")
 
@@ -162,7 +162,7 @@ def scan_secrets(docs: DataFrame, q: float = 0.05) -> DataFrame:
     kind:start:end by start, then kind.  Null text counts as empty and has no spans;
     repeated rows each give a row; other columns are ignored.
     """
-    rows = checkpointed(docs.select("doc_id", "text").mapInArrow(_scan, _SCHEMA))
+    rows = written(docs.select("doc_id", "text").mapInArrow(_scan, _SCHEMA))
     each = rows.select(F.explode("candidates").alias("c"))
     # At most one row per length class (32) and bin (400), whatever the input.
     histogram = each.groupBy("c.length_class", "c.bin").count().collect()

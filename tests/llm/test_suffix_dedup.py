@@ -84,3 +84,15 @@ def test_rows_keep_their_numbers_when_splits_change(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == want and any(len(got[k]) < len(rows[k][1]) for k in got)
+
+
+def test_a_common_line_in_all_kinds_of_surroundings(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeé ") for _ in range(12))
+    line = " ".join(word() for _ in range(9))
+    rows = [(i, f"{word()}{word()}\n{line[: rng.randrange(60, len(line))]}\n{word()}") for i in range(120)] + [(7, "other " + line)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    got = run(df, length=40, gram=8)
+    by_hash = {i: [t for _, t in sorted((h, t) for h, j, t in ((r["h"], r["doc_id"], r["text"]) for r in df.selectExpr("*", "xxhash64(text) as h").collect()) if j == i)] for i in (7,)}
+    ordered = [r for r in rows if r[0] < 7] + [(7, t) for t in by_hash[7]] + [r for r in rows if r[0] > 7]
+    assert got == sorted(brute(ordered, 40))
