@@ -10,7 +10,9 @@
 4.  Each candidate group is stored in a path-compressed trie.  A set walks the trie level
     by level; the overlap with a node's path is shared by all sets below it, and a subtree
     is cut off when the shingles that remain on both sides cannot reach the threshold for
-    the shortest set below it.  Groups above ``BLOCK`` sets are walked as pairs of blocks.
+    the shortest set below it.  Groups above ``BLOCK`` sets or ``BLOCK_BYTES`` are split
+    into bands of size, of which only neighbours can link, and bands into blocks; a task
+    walks one pair of blocks.
 
 Pairs are never emitted: a walk yields the number of a set's links and the smallest set it
 is connected with; connected components of those give the classes.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import partitions, written
+from barloom.llm.common import join_hubs, partitions, written
 from barloom.llm.components import components
 from barloom.llm.textarrays import LOWER, buffer_of, mix, prefix_sums, shingle_hashes, slices, span_hashes, words
 
@@ -34,8 +36,13 @@ WORDS = 5
 NUM, DEN = 3, 7
 #: Sets that hold a shingle from which on it comes last in the global order.
 HEAVY = 32
-#: Sets in a block of a candidate group.
-BLOCK = 1024
+#: Sets, and bytes of shingles, in a block of a candidate group.
+BLOCK = 512
+BLOCK_BYTES = 16 << 20
+#: Sets whose sizes differ by more than this factor (over 4/3) cannot link.
+BAND = 1.34
+#: Bytes of text per part of the count: a part's shingles are about as large.
+PART_BYTES = 16 << 20
 
 
 def shingle_sets(texts: pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
@@ -359,11 +366,42 @@ def _walk_group(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("cid")
     cid, copies, side = rows.column("cid").to_numpy(), rows.column("copies").to_numpy(), rows.column("side").to_numpy()
     sets = [np.frombuffer(x, "<u8") for x in rows.column("shingles").to_pylist()]
+    if len(sets) == 1:
+        return pa.table({"cid": cid, "root": cid, "links": np.zeros(1, np.int64)})
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     links, label = link_sets(sets, left, left, copies) if not len(right) else link_sets(sets, left, right, copies) if len(left) else (np.zeros(len(cid), np.int64), np.arange(len(cid)))
     return pa.table({"cid": cid, "root": cid[label], "links": links})
 
 
+def _blocks(near: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """The sets of candidate groups, dealt to the tasks that walk them: root, band, pair,
+    i, j, side, cid, copies, shingles.
+
+    A small group is one task.  A large one is cut into bands of size and those into
+    blocks; a set meets the blocks of its own band (``pair`` 0) and, as side 0 or 1, those
+    of the next or the band before (``pair`` 1).
+    """
+    sized = written(near.join(sets.select(F.col("cid").alias("node"), "n"), "node").withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")))
+    bands = sized.groupBy("root", "band").agg(F.count("*").alias("members"), F.sum(8 * F.col("n")).alias("bytes"))
+    blocks = lambda members, size: F.greatest(F.lit(1), F.ceil(members / block), F.ceil(size / BLOCK_BYTES)).cast("int")
+    listed = bands.groupBy("root").agg(F.sum("members").alias("members"), F.sum("bytes").alias("bytes"), F.map_from_entries(F.collect_list(F.struct("band", blocks(F.col("members"), F.col("bytes"))))).alias("blocks"))
+    # Bands of a group: at most the logarithm of the longest set.
+    listed = written(listed.select("root", "members", F.when(blocks(F.col("members"), F.col("bytes")) > 1, F.col("blocks")).alias("blocks")))
+    rows = join_hubs(sized, listed, "root", "members")
+    small = rows.where("blocks is null").select("node", "root", F.lit(0).alias("band"), F.lit(0).alias("pair"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+    of = lambda step: F.coalesce(F.element_at("blocks", F.col("band") + step), F.lit(0))
+    large = rows.where("blocks is not null").withColumn("mine", F.pmod(F.xxhash64("node"), of(0)).cast("int"))
+    spot = lambda band, pair, i, j, side: F.struct(band.alias("band"), F.lit(pair).alias("pair"), i.alias("i"), j.alias("j"), side.alias("side"))
+    mine, band, zero, one = F.col("mine"), F.col("band"), F.lit(0), F.lit(1)
+    upto = lambda count: F.when(count > 0, F.sequence(zero, count - 1)).otherwise(F.array().cast("array<int>"))
+    own = F.transform(upto(of(0)), lambda x: spot(band, 0, F.least(mine, x), F.greatest(mine, x), (mine > x).cast("int")))
+    above = F.transform(upto(of(1)), lambda x: spot(band, 1, mine, x, zero))
+    below = F.transform(upto(of(-1)), lambda x: spot(band - 1, 1, x, mine, one))
+    large = large.select("node", "root", F.explode(F.concat(own, above, below)).alias("p")).select("node", "root", "p.*")
+    dealt = small.unionByName(large)
+    return dealt.join(sets, dealt["node"] == sets["cid"]).select("root", "band", "pair", "i", "j", "side", "cid", "copies", "shingles")
+
+
 def jaccard_classes(docs: DataFrame, n: int = WORDS, heavy: int = HEAVY, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, n_links, group_size,
     text_hash, stays.
@@ -373,12 +411,13 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, heavy: int = HEAVY, block:
     component.  Rows link when 3/4 of the union of their sets is common.  Repeated texts
     link with each other; a null doc_id never is a component's smallest unless all are
     null.  ``n_links`` counts linked rows, ``group_size`` the component's rows, and ``stays`` marks
-    the row that stands for its component.  An empty table gives no rows; other columns are
-    ignored.
+    the row that stands for its component.  Texts may be of any length; an empty table gives
+    no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    n_parts = partitions(spark)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = max(partitions(spark), -(-total // PART_BYTES))
     shipped = texts.mapInArrow(_ship(n_parts, n), _SHIPPED)
     counted = written(shipped.groupBy("part").applyInArrow(_count(heavy), _COUNTED))
     rows = counted.where("found is null").select("doc_id", "text_hash", "n", "k1", "k2")
@@ -390,21 +429,15 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, heavy: int = HEAVY, block:
     chosen = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["first_id"]) & (texts["text_hash"] == wanted["first_hash"])).drop("doc_id", "text_hash", "first_id", "first_hash")
     sets = written(chosen.mapInArrow(_ordered_sets(n_parts, n), _SET).dropDuplicates(["cid"]))
     near = components(sets.mapInArrow(_ship_prefixes(n_parts), _SHIPPED).groupBy("part").applyInArrow(_edges, "a long, b long"))
-    sizes = near.groupBy("root").agg(F.count("*").alias("members"))
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    # A set goes to every pair of blocks that its own is in, as side 0 or 1 of the pair.
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    pair = lambda x: F.struct(F.least(mine, x).alias("i"), F.greatest(mine, x).alias("j"), (mine > x).cast("int").alias("side"))
-    dealt = near.join(sizes, "root").select("node", "root", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), pair)).alias("p"))
-    dealt = dealt.join(sets, dealt["node"] == sets["cid"]).select("root", "p.i", "p.j", "p.side", "cid", "copies", "shingles")
-    walked = written(dealt.groupBy("root", "i", "j").applyInArrow(_walk_group, "cid long, root long, links long"))
+    dealt = _blocks(near, sets, block)
+    walked = written(dealt.groupBy("root", "band", "pair", "i", "j").applyInArrow(_walk_group, "cid long, root long, links long"))
     linked = components(walked.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = walked.groupBy("cid").agg(F.sum("links").alias("links"))
     full = classes.join(linked.withColumnRenamed("node", "cid"), "cid", "left").join(links, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     full = written(full.select("k1", "k2", "n", "copies", "root", "first", F.coalesce("links", F.lit(0)).alias("links")))
-    per = full.groupBy("root").agg(F.min("first").alias("least"), F.sum("copies").alias("group_size"))
-    full = written(full.join(per, "root").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("n").alias("cn"), "least", "group_size", (F.col("links") + F.col("copies") - 1).alias("n_links")))
-    out = rows.where("n > 0").join(full, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n") == F.col("cn")))
+    per = written(full.groupBy("root").agg(F.min("first").alias("least"), F.sum("copies").alias("group_size"), F.count("*").alias("entries")))
+    full = written(join_hubs(full, per, "root", "entries").select("k1", "k2", "n", "copies", "least", "group_size", (F.col("links") + F.col("copies") - 1).alias("n_links")))
+    out = join_hubs(rows.where("n > 0"), full, ["k1", "k2", "n"], "copies")
     stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), "n_links", "group_size", "text_hash", stays.alias("stays"))
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
