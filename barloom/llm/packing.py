@@ -6,6 +6,9 @@ seeds.  A chromosome is a list of bins: crossover injects whole well-filled bins
 other parent, drops the bins that hold the same documents, and puts displaced documents
 back by best fit.  After every epoch each island's elite migrates to the other islands of
 its block; the best solution of a block wins.
+
+The emptiest sequences of neighbouring blocks are then opened and evolved again together,
+level by level, so that a block's last sequences need not stay half empty.
 """
 
 from __future__ import annotations
@@ -14,12 +17,13 @@ import base64
 import random
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import written
@@ -29,8 +33,10 @@ END_ID = 0
 BLOCK_PIECES = 4096
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 8
-POPULATION = 4
+GENERATIONS = 12
+POPULATION = 6
+#: Blocks whose emptiest sequences are packed again together, and how many of each.
+FAN, LOOSE = 16, 64
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -178,23 +184,30 @@ def crossover(sizes: list[int], a: list[list[int]], b: list[list[int]], capacity
 
 
 def evolve(sizes: list[int], capacity: int, seed: int, migrants: list[list[list[int]]] = (), generations: int = GENERATIONS, population: int = POPULATION) -> list[list[int]]:
-    """The best bins found; stops at the lower bound on their number."""
+    """The best bins found.
+
+    The population starts from the migrants, best fit by falling size, and best fit in
+    orders with more and more chance in them.  A generation is two crossovers; the search
+    ends before its last one only where the bins are as few as their sum allows.
+    """
     rng = random.Random(seed)
     least = -(-sum(sizes) // capacity)
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     people = [[list(x) for x in m] for m in migrants]
     rate = lambda x: fitness(sizes, x, capacity)
-    while len(people) < population and not (people and max(map(len, people)) <= least):
-        noisy = order if not people else sorted(order, key=lambda i: -sizes[i] * rng.uniform(0.8, 1.0))
-        people.append(best_fit(sizes, noisy, capacity))
+    people.append(best_fit(sizes, order, capacity))
+    while len(people) < population:
+        chance = len(people) / population
+        people.append(best_fit(sizes, sorted(order, key=lambda i: -sizes[i] * (1 - chance * rng.random())), capacity))
+    people.sort(key=rate, reverse=True)
     for _ in range(generations):
-        people.sort(key=rate, reverse=True)
+        mother, father = rng.sample(range(len(people)), 2)
+        child = crossover(sizes, people[0], people[max(mother, father)], capacity, rng)
+        other = crossover(sizes, people[mother], people[father], capacity, rng)
+        people = sorted([*people, child, other], key=rate, reverse=True)[:population]
         if len(people[0]) <= least:
             break
-        child = crossover(sizes, people[0], people[rng.randrange(1, len(people))] if rng.random() < 0.5 else people[-1], capacity, rng)
-        other = crossover(sizes, people[rng.randrange(len(people))], people[0], capacity, rng)
-        people = sorted([*people, child, other], key=rate, reverse=True)[:population]
-    return max(people, key=rate)
+    return people[0]
 
 
 def _labels(bins: list[list[int]], n: int) -> np.ndarray:
@@ -204,14 +217,15 @@ def _labels(bins: list[list[int]], n: int) -> np.ndarray:
     return out
 
 
-def _bins(labels: bytes) -> list[list[int]]:
+def _bins(labels: np.ndarray) -> list[list[int]]:
     out: dict[int, list[int]] = {}
-    for i, b in enumerate(np.frombuffer(labels, "<i4").tolist()):
+    for i, b in enumerate(labels.tolist()):
         out.setdefault(b, []).append(i)
     return list(out.values())
 
 
 _SOLUTION = "block long, island int, n_bins int, fit double, labels binary"
+_PLACED = _PIECES + ", block long, bin int, offset long"
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, block_pieces: int = BLOCK_PIECES, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
@@ -219,25 +233,48 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
 
     Every document is its ids and an end id; one above ``capacity`` is cut into full
     pieces, the first may be shorter.  Sequences hold at most ``capacity`` ids without
-    gaps.  Null and empty texts are their end id; rows may repeat or lack a doc_id; other
-    columns are ignored; an empty table gives no rows.
+    gaps.  Null and empty texts are their end id, texts may be of any length; rows may
+    repeat or lack a doc_id; other columns are ignored; an empty table gives no rows.
     """
     pieces = written(token_pieces(docs, capacity, tokenizer))
     return pack_pieces(pieces, capacity, block_pieces, islands, epochs)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+    """Places in sequences for ``pieces``, as ``token_pieces`` gives them."""
     n_blocks = max(1, -(-pieces.count() // block_pieces))
-    blocks = pieces.withColumn("block", F.pmod(F.xxhash64("row", "doc_id", "piece"), F.lit(n_blocks)))
+    rows = pieces.withColumn("block", F.pmod(F.xxhash64("row", "doc_id", "piece"), F.lit(n_blocks))).withColumn("was", F.lit(-1).cast("long"))
+    parts, level = [], 0
+    while True:
+        placed = written(_solve(rows, capacity, islands, epochs))
+        sequence = (F.lit(level << 56).cast("long") + F.shiftleft("block", 24) + F.col("bin")).alias("sequence_id")
+        shown = ["doc_id", "piece", "start", "length", "ids_crc32", sequence, "offset"]
+        if n_blocks == 1:
+            parts.append(placed.select(*shown))
+            return reduce(DataFrame.unionByName, parts)
+        used = placed.groupBy("block", "bin").agg(F.sum("length").alias("used")).where(F.col("used") < capacity)
+        place = F.row_number().over(Window.partitionBy("block").orderBy("used", "bin"))
+        loose = written(used.withColumn("place", place).where(F.col("place") <= LOOSE).select("block", "bin"))
+        parts.append(placed.join(loose, ["block", "bin"], "left_anti").select(*shown))
+        again = placed.join(loose, ["block", "bin"]).withColumn("was", F.shiftleft("block", 24) + F.col("bin"))
+        rows = again.withColumn("block", F.floor(F.col("block") / FAN)).select(*rows.columns)
+        n_blocks, level = -(-n_blocks // FAN), level + 1
+
+
+def _solve(rows: DataFrame, capacity: int, islands: int, epochs: int) -> DataFrame:
+    """``rows`` with the bin and offset that their block's best island gives them."""
     keys = ["length", "row", "piece"]
-    lean = blocks.select("block", *keys).withColumn("island", F.explode(F.array(*map(F.lit, range(islands)))))
+    lean = rows.select("block", *keys, "was").withColumn("island", F.explode(F.array(*map(F.lit, range(islands)))))
 
     def solve(key, items: pd.DataFrame, elites: pd.DataFrame | None, epoch: int) -> pd.DataFrame:
         if not len(items):
             return pd.DataFrame({"block": [], "island": [], "n_bins": [], "fit": [], "labels": []})
-        sizes = items.sort_values(keys)["length"].tolist()
-        guests = [] if elites is None else [_bins(x) for x in elites.sort_values("island")["labels"]]
-        best = evolve(sizes, capacity, hash((int(key[0]), int(key[1]), epoch)), guests)
+        items = items.sort_values(keys)
+        sizes, was = items["length"].tolist(), items["was"].to_numpy()
+        guests = [] if elites is None else [_bins(np.frombuffer(x, "<i4")) for x in elites.sort_values("island")["labels"]]
+        if not guests and was[0] >= 0:
+            guests = [_bins(was)]  # opened sequences as they were
+        best = evolve(sizes, capacity, zlib.crc32(f"{int(key[0])}:{int(key[1])}:{epoch}".encode()), guests)
         return pd.DataFrame({"block": [int(key[0])], "island": [int(key[1])], "n_bins": [len(best)], "fit": [fitness(sizes, best, capacity)[1]], "labels": [_labels(best, len(sizes)).tobytes()]})
 
     def later(epoch: int):
@@ -250,16 +287,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int =
         visits = found.withColumn("to", F.explode(F.array(*map(F.lit, range(islands)))))
         found = lean.groupBy("block", "island").cogroup(visits.groupBy("block", "to")).applyInPandas(later(epoch), _SOLUTION)
     best = found.groupBy("block").agg(F.min_by("labels", F.struct("n_bins", -F.col("fit"), "island")).alias("labels"))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
     def place(items: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(keys).reset_index(drop=True)
-        if len(items):
-            items["bin"] = np.frombuffer(chosen["labels"].iloc[0], "<i4")
-        else:
-            items["bin"] = []
+        items["bin"] = np.frombuffer(chosen["labels"].iloc[0], "<i4") if len(items) else []
         items["offset"] = items.groupby("bin")["length"].cumsum() - items["length"]
-        items["sequence_id"] = items["block"].astype("int64") * (1 << 24) + items["bin"].astype("int64")
-        return items[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]].astype({"doc_id": "Int64"})
+        return items[[c.split()[0] for c in _PLACED.split(", ")]].astype({"doc_id": "Int64"})
 
-    return blocks.groupBy("block").cogroup(best.groupBy("block")).applyInPandas(place, schema)
+    return rows.groupBy("block").cogroup(best.groupBy("block")).applyInPandas(place, _PLACED)

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from barloom.llm import packing
 from barloom.llm.packing import CAPACITY, best_fit, crossover, encoder, evolve, pack
 
 SCHEMA = "doc_id long, text string"
@@ -62,6 +63,49 @@ def test_genetic_search_beats_best_fit():
     assert sorted(i for b in child for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= CAPACITY for b in child)
 
 
+def triplets(n, seed):
+    """Sizes of which three each fill a sequence: best fit pairs the wrong ones."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        a = rng.randrange(CAPACITY * 38 // 100, CAPACITY * 49 // 100)
+        b = rng.randrange((CAPACITY - a) // 2 - CAPACITY // 10, (CAPACITY - a) // 2 + 1)
+        out += [a, b, CAPACITY - a - b]
+    rng.shuffle(out)
+    return out
+
+
+def test_search_saves_sequences_over_best_fit(monkeypatch):
+    saved = []
+    for seed in range(6):
+        sizes = triplets(60, seed)
+        order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+        start = best_fit(sizes, order, CAPACITY)
+        first, second = (evolve(sizes, CAPACITY, k) for k in (1, 2))
+        best = evolve(sizes, CAPACITY, 3, [first, second])  # elites migrate
+        assert sorted(i for b in best for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= CAPACITY for b in best)
+        saved.append(len(start) - len(best))
+    assert min(saved) >= 0 and sum(saved) >= 3, saved
+    calls = []
+    monkeypatch.setattr(packing, "crossover", lambda *a: calls.append(1) or crossover(*a))
+    evolve([CAPACITY] * 5, CAPACITY, 1)
+    assert len(calls) == 2  # also where the first bins are as few as can be
+
+
+def test_blocks_share_their_last_sequences(spark):
+    rng = random.Random(5)
+    rows = [(k, k, 0, 0, n, 0) for k, n in enumerate(rng.randrange(200, 1500) for _ in range(1500))]
+    pieces = spark.createDataFrame(rows, packing._PIECES)
+    got = packing.pack_pieces(pieces, block_pieces=40).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in got) == sorted((r[1], r[4]) for r in rows)
+    fill = {}
+    for r in sorted(got, key=lambda r: r["offset"]):
+        assert r["offset"] == fill.get(r["sequence_id"], 0)
+        fill[r["sequence_id"]] = r["offset"] + r["length"]
+    least = -(-sum(fill.values()) // CAPACITY)
+    alone = packing.pack_pieces(pieces, block_pieces=10**6).selectExpr("count(distinct sequence_id) as n").first()["n"]
+    assert max(fill.values()) <= CAPACITY and len(fill) <= alone + 2, (len(fill), alone, least)
+
+
 def test_few_sequences(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = pack(docs).selectExpr("count(distinct sequence_id) as n", "sum(length) as total").first()
