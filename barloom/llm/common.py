@@ -67,6 +67,32 @@ def delete_table(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of a table up to which it is broadcast; beyond that, joins shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of few columns, marked for broadcast if its counted rows allow it."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def keep_rows(docs: DataFrame, marks: DataFrame, mark: Column) -> DataFrame:
+    """The rows of ``docs`` that ``marks(doc_id, mark, keep)`` keeps, one for each doc_id
+    and mark; ``marks`` has a row for every row.
+
+    Only rows that go, or repeat, are looked up: if these are few, no text is shuffled.
+    """
+    rows = docs.withColumn("__mark", mark)
+    per = marks.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__m")).agg(F.max("keep").alias("__keep"), F.count("*").alias("__copies"))
+    listed = written(per.where("not __keep or __copies > 1"))
+    same = rows["doc_id"].eqNullSafe(F.col("__id")) & (rows["__mark"] == F.col("__m"))
+    out = rows.join(small_side(listed), same, "left_anti")
+    again = listed.where("__keep")
+    if again.take(1):
+        out = out.unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "__mark"]))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 #: A key with more than this share of all rows is a hub.
 HUB_SHARE = 1e-3
 

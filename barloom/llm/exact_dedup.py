@@ -16,15 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barloom.llm.common import SPACE_CLASS, partitions, text_or_empty, written
+from barloom.llm.common import SPACE_CLASS, keep_rows, partitions, small_side, text_or_empty, written
 from barloom.llm.textarrays import buffer_of
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245 % PRIMES[0], 69069069)
 CHUNK_CHARS = 1 << 18
+#: Characters of chunks that leave a task at once.
+HELD_CHARS = 1 << 24
 #: Members of a group that one copy of the group's first text serves.
 MEMBERS_PER_COPY = 256
 _power_tables: dict[tuple[int, int], np.ndarray] = {}
@@ -78,9 +81,32 @@ def normalised(docs: DataFrame) -> DataFrame:
 
 
 def _chunks(rows: DataFrame, chunk_chars: int, *keys: str) -> DataFrame:
-    """A row per chunk, the empty text as one empty chunk."""
-    n = F.greatest(F.lit(1), F.ceil(F.length("norm") / chunk_chars)).cast("int")
-    return rows.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), n - 1))).select(*keys, "chunk_no", F.substring("norm", F.col("chunk_no") * chunk_chars + 1, F.lit(chunk_chars)).alias("chunk"))
+    """A row per chunk, the empty text as one empty chunk.  A text is cut in one pass."""
+    rows = rows.select(*keys, "norm")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("chunk_no", T.IntegerType()), T.StructField("chunk", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            norm, at, no, held, size = b.column("norm"), [], [], [], 0
+
+            def made():
+                cols = [b.column(k).take(pa.array(at, pa.int64())) for k in range(len(keys))]
+                return pa.RecordBatch.from_arrays([*cols, pa.array(no, pa.int32()), pa.array(held, pa.string())], names=[*keys, "chunk_no", "chunk"])
+
+            for k in range(b.num_rows):
+                text = norm[k].as_py()
+                for i in range(0, max(1, len(text)), chunk_chars):
+                    at.append(k)
+                    no.append(i // chunk_chars)
+                    held.append(text[i : i + chunk_chars])
+                    size += len(held[-1])
+                    if size > HELD_CHARS:
+                        yield made()
+                        at, no, held, size = [], [], [], 0
+            if at:
+                yield made()
+
+    return rows.mapInArrow(run, schema)
 
 
 def fingerprints(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, primes=PRIMES, bases=BASES) -> DataFrame:
@@ -127,6 +153,7 @@ def exact_duplicates(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, members_pe
     members = written(members)
     texts = normalised(docs).withColumn("sha", F.sha2(F.encode("norm", "UTF-8"), 256))
     wanted = members.select(F.col("doc_id").alias("m_id"), F.col("text_sha256").alias("m_sha"), *key, "salt", "n_salts", (F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_sha256") == F.col("first_sha"))).alias("is_first"))
+    wanted = small_side(written(wanted))
     text_of = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["m_id"]) & (texts["sha"] == wanted["m_sha"]))
     chunk_rows = _chunks(text_of, chunk_chars, "m_id", "m_sha", *key, "salt", "n_salts", "is_first")
     theirs = chunk_rows.where(~F.col("is_first"))
@@ -159,11 +186,5 @@ def _any(df: DataFrame) -> bool:
 
 def drop_duplicates(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of repeated rows one."""
-    columns = docs.columns
-    kept = exact_duplicates(docs, **how).where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha"))
-    sha = F.sha2(F.encode(F.regexp_replace(text_or_empty(), SPACE_CLASS + "+", " "), "UTF-8"), 256)
-    rows = docs.withColumn("own_sha", sha)
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["stay_id"]) & (rows["own_sha"] == kept["stay_sha"]), "left_semi")
-    # A doc_id and text may stand in several rows; any one of them stays.
-    one = Window.partitionBy("doc_id", "own_sha").orderBy(F.lit(1))
-    return rows.withColumn("own_row", F.row_number().over(one)).where("own_row = 1").select(*columns)
+    marks = exact_duplicates(docs, **how).select("doc_id", F.col("text_sha256").alias("mark"), F.col("kept").alias("keep"))
+    return keep_rows(docs, marks, F.sha2(F.encode(F.regexp_replace(text_or_empty(), SPACE_CLASS + "+", " "), "UTF-8"), 256))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import join_hubs, partitions, written
+from barloom.llm.common import join_hubs, keep_rows, partitions, written
 from barloom.llm.components import components
 from barloom.llm.textarrays import LOWER, buffer_of, mix, prefix_sums, shingle_hashes, slices, span_hashes, words
 
@@ -449,8 +449,5 @@ def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the one
     with the smallest doc_id (null last, then by a hash of the text), and one of rows that
     are equal in both.  Texts without words all stay."""
-    columns = docs.columns
-    keep = jaccard_classes(docs, **how).where("stays").select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash")).distinct()
-    rows = docs.withColumn("own_hash", F.xxhash64("text"))
-    rows = rows.join(keep, rows["doc_id"].eqNullSafe(keep["stay_id"]) & (rows["own_hash"] == keep["stay_hash"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "own_hash"]).select(*columns)
+    marks = jaccard_classes(docs, **how).select("doc_id", F.col("text_hash").alias("mark"), F.col("stays").alias("keep"))
+    return keep_rows(docs, marks, F.xxhash64("text"))
