@@ -8,8 +8,9 @@ earlier message of its conversation with that hash, or else the latest that one
 lines has.  Replies are
 ordered by the messages they quote, and bodies keep unquoted lines only.
 
-A conversation may hold any share of all rows: what has to be in order within one stands in
-ranges (``ranged``), never in one window by conversation.
+A conversation may hold any share of all rows, and so may the replies to one message: what
+has to be in order stands in ranges (``ranged``), never in one window by conversation or
+parent.  Threads are numbered by list ranking, so no row holds a path.
 """
 
 from __future__ import annotations
@@ -80,18 +81,20 @@ def unplaced_messages(messages: DataFrame) -> DataFrame:
     body = F.array_join(F.filter("lines", lambda line, k: F.get("levels", k) == 0), "\n")
     starts = F.filter("levels", lambda level, k: (level > 0) & ((k == 0) | (level != F.get("levels", k - 1))))
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    return rows.select(*_KEY[:2], "role", "message", body.alias("body"), F.size(starts).cast("long").alias("n_quotes"), F.array_max("levels").cast("long").alias("max_level"), F.lit(0).cast("long").alias("n_linked"), none("long", "parent_turn"), none("array<bigint>", "thread_path"), none("long", "reply_order"))
+    return rows.select(*_KEY[:2], "role", "message", body.alias("body"), F.size(starts).cast("long").alias("n_quotes"), F.array_max("levels").cast("long").alias("max_level"), F.lit(0).cast("long").alias("n_linked"), none("long", "parent_turn"), none("long", "thread"), none("long", "depth"), none("long", "reply_order"))
 
 
 def link_quotes(messages: DataFrame, unplaced: bool = False) -> DataFrame:
-    """One row per message: conv_id, turn, role, message, body, n_quotes, max_level, n_linked, parent_turn, thread_path, reply_order.
+    """One row per message: conv_id, turn, role, message, body, n_quotes, max_level, n_linked, parent_turn, thread, depth, reply_order.
 
     ``message`` is a hash of role and text and tells messages of one turn apart.
     ``parent_turn`` is the latest message quoted at level 1, else the preceding turn, null
-    for the first.  ``thread_path`` is the chain of turns that leads there by quotes, and
-    ``reply_order`` numbers a conversation's messages along these paths.  A message whose
-    quotes match nothing keeps its place; empty and null texts have an empty body; equal
-    rows count once; other columns are ignored; an empty table gives no rows.
+    for the first.  Quotes make trees: ``thread`` is the turn at the root of a message's
+    tree and ``depth`` its distance from there.  ``reply_order`` numbers a conversation's
+    messages thread by thread, each followed by its replies and theirs.  A message whose
+    quotes match nothing keeps its place; empty and null texts have an empty body, texts
+    may be of any length; messages of one turn are in the order of a hash; equal rows count
+    once; other columns are ignored; an empty table gives no rows.
 
     Messages without a conversation or turn can be placed nowhere.  They are left out, or
     with ``unplaced`` are rows without parent, path and order.
@@ -114,27 +117,46 @@ def link_quotes(messages: DataFrame, unplaced: bool = False) -> DataFrame:
     before = F.lag("turn").over(Window.partitionBy("bucket", "conv_id").orderBy("turn"))
     turns = turns.withColumn("near", before).join(_carried(turns, ["conv_id"], F.col("turn"), "carried"), ["bucket", "conv_id"])
     turns = written(turns.select("conv_id", "turn", "turn_quoted", F.coalesce("near", "carried").alias("previous")))
-    placed = said.join(turns.join(thread_paths(turns), ["conv_id", "turn"]), ["conv_id", "turn"])
-    placed = ranged(placed, "conv_id", "thread_path", "message")
+    order = ["thread", "place", "message"]
+    threads = turns.join(thread_order(turns), ["conv_id", "turn"], "left").select("conv_id", "turn", "previous", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("place", F.lit(0)).cast("long").alias("place"))
+    placed = ranged(said.join(threads, ["conv_id", "turn"]), "conv_id", *order)
     counts = placed.groupBy("conv_id", "bucket").agg(F.count("*").alias("rows_here"))
     offsets = counts.select("conv_id", "bucket", F.coalesce(F.sum("rows_here").over(Window.partitionBy("conv_id").orderBy("bucket").rowsBetween(*_BEFORE)), F.lit(0)).alias("rows_before"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "conv_id").orderBy("thread_path", "message"))
+    rank = F.row_number().over(Window.partitionBy("bucket", "conv_id").orderBy(*order))
     out = placed.withColumn("rank", rank).join(offsets, ["conv_id", "bucket"])
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    linked = out.select(*_KEY[:2], "role", "message", F.coalesce("body", F.lit("")).alias("body"), zero("n_quotes"), zero("max_level"), zero("n_linked"), F.coalesce("quoted_turn", "previous").alias("parent_turn"), "thread_path", (F.col("rank") + F.col("rows_before")).cast("long").alias("reply_order"))
+    linked = out.select(*_KEY[:2], "role", "message", F.coalesce("body", F.lit("")).alias("body"), zero("n_quotes"), zero("max_level"), zero("n_linked"), F.coalesce("quoted_turn", "previous").alias("parent_turn"), "thread", "depth", (F.col("rank") + F.col("rows_before")).cast("long").alias("reply_order"))
     return linked.unionByName(unplaced_messages(messages)) if unplaced else linked
 
 
-def thread_paths(turns: DataFrame) -> DataFrame:
-    """The path of every turn: turns from where its thread leaves the main line.
+def thread_order(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, thread, depth, place of the turns that quote or are quoted.
 
-    A turn that quotes none continues the main line, so its path is its own number.
-    Chains are resolved by doubling: each round a path takes over its start's path, so a
-    chain of n quotes needs log2(n) rounds.  Quotes point to earlier turns, so it ends.
+    ``turns(conv_id, turn, turn_quoted)`` is a forest, since quotes point to earlier turns.
+    Every turn is entered and left once on a walk through its tree; that walk is a linked
+    list, and pointer doubling sums over it in as many rounds as its length has binary
+    digits.  ``place`` grows along the walk.
     """
-    paths = written(turns.select("conv_id", "turn", F.array("turn").alias("thread_path"), F.col("turn_quoted").alias("next")))
-    while paths.where("next is not null").take(1):
-        up = paths.select(F.col("conv_id").alias("c2"), F.col("turn").alias("u"), F.col("thread_path").alias("up_path"), F.col("next").alias("up_next"))
-        both = paths.join(up, (F.col("conv_id") == F.col("c2")) & (F.col("next") == F.col("u")), "left")
-        paths = written(both.select("conv_id", "turn", F.concat(F.coalesce("up_path", F.array().cast("array<bigint>")), "thread_path").alias("thread_path"), F.col("up_next").alias("next")))
-    return paths.select("conv_id", "turn", "thread_path")
+    kids = ranged(turns.where("turn_quoted is not null").select("conv_id", F.col("turn_quoted").alias("parent"), "turn"), "conv_id", "parent", "turn")
+    firsts = kids.groupBy("bucket", "conv_id", "parent").agg(F.min("turn").alias("top"))
+    later = Window.partitionBy("conv_id", "parent").orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
+    firsts = firsts.select("bucket", "conv_id", "parent", F.min("top").over(later).alias("carried"))
+    near = F.lead("turn").over(Window.partitionBy("bucket", "conv_id", "parent").orderBy("turn"))
+    kids = written(kids.withColumn("near", near).join(firsts, ["bucket", "conv_id", "parent"]).select("conv_id", "turn", "parent", F.coalesce("near", "carried").alias("sibling")))
+    heads = kids.groupBy("conv_id", F.col("parent").alias("turn")).agg(F.min("turn").alias("child"))
+    nodes = kids.join(heads, ["conv_id", "turn"], "full")
+    # Kind 0 enters a turn, kind 1 leaves it.
+    step = lambda turn, kind: F.struct(turn.alias("turn"), F.lit(kind).alias("kind"))
+    turn, child, sibling, parent = map(F.col, ("turn", "child", "sibling", "parent"))
+    enter = F.struct(F.lit(0).alias("kind"), F.when(child.isNotNull(), step(child, 0)).otherwise(step(turn, 1)).alias("next"), F.lit(1).cast("long").alias("enters"), F.lit(1).cast("long").alias("net"))
+    leave = F.struct(F.lit(1).alias("kind"), F.when(sibling.isNotNull(), step(sibling, 0)).when(parent.isNotNull(), step(parent, 1)).alias("next"), F.lit(0).cast("long").alias("enters"), F.lit(-1).cast("long").alias("net"))
+    walk = nodes.select("conv_id", "turn", F.explode(F.array(enter, leave)).alias("e"))
+    walk = written(walk.select("conv_id", "turn", "e.kind", F.col("e.next.turn").alias("next_turn"), F.col("e.next.kind").alias("next_kind"), "e.enters", "e.net", turn.alias("last")))
+    columns = walk.columns
+    while walk.where("next_turn is not null").take(1):
+        ahead = walk.select("conv_id", F.col("turn").alias("next_turn"), F.col("kind").alias("next_kind"), F.col("next_turn").alias("n2"), F.col("next_kind").alias("k2"), F.col("enters").alias("e2"), F.col("net").alias("s2"), F.col("last").alias("l2"))
+        # Pointers that have not ended are all different, so no key is common.
+        moved = walk.where("next_turn is not null").join(ahead, ["conv_id", "next_turn", "next_kind"])
+        moved = moved.select("conv_id", "turn", "kind", F.col("n2").alias("next_turn"), F.col("k2").alias("next_kind"), (F.col("enters") + F.col("e2")).alias("enters"), (F.col("net") + F.col("s2")).alias("net"), F.col("l2").alias("last"))
+        walk = written(moved.unionByName(walk.where("next_turn is null")).select(*columns))
+    return walk.where("kind = 0").select("conv_id", "turn", F.col("last").alias("thread"), (-F.col("net")).alias("depth"), (-F.col("enters")).alias("place"))
