@@ -5,7 +5,9 @@ up to two at its end belong to it.  For each the encoding is inferred (the small
 and three statistics are taken: chi-squared of the symbol counts against a uniform
 alphabet, a runs test of symbols above and below the alphabet's middle, and the lag-one
 serial correlation.  Without digits, names in one case look much like random letters, so
-there the share of upper case is a fourth.  Their p-values under "random" are combined by Bonferroni.
+there the share of upper case is a fourth.  Their p-values under "random" are exact up to
+64 symbols (the serial correlation's by its exact moments), since 20 symbols over 64 cells
+are far from any limit, and are combined by Bonferroni.
 
 Words and identifiers are far from random, and long ones more visibly so.  Within each
 length class (a power of two) Benjamini-Hochberg decides which tokens are non-random at
@@ -20,6 +22,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +69,85 @@ def _normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+#: Up to this length p-values are exact; longer tokens have enough symbols for the limits.
+EXACT = 64
+#: The least p-value that the exact tables resolve.
+LEAST_P = 1e-12
+
+
+@lru_cache(maxsize=1024)
+def square_tail(n: int, a: int) -> np.ndarray:
+    """P(sum of squared counts >= s), for n uniform symbols out of a, by s.
+
+    The counts' generating function is the a-th power of sum x**c y**(c*c) / c!; it is
+    taken at roots of unity for y, and the coefficient of x**n by the recurrence of powers
+    of series.
+    """
+    m = n * n + 1
+    y = np.exp(-2j * np.pi * np.arange(m) / m)
+    f = [y ** (c * c % m) / math.factorial(c) for c in range(n + 1)]
+    g = [np.ones(m, complex)]
+    for k in range(1, n + 1):
+        g.append(sum((a * j - (k - j)) * f[j] * g[k - j] for j in range(1, k + 1)) / k)
+    share = np.fft.ifft(g[n]).real * math.exp(math.lgamma(n + 1) - n * math.log(a))
+    return np.maximum.accumulate(np.cumsum(np.maximum(share, 0)[::-1]))[::-1]
+
+
+def uniformity(counts: np.ndarray) -> float:
+    """The p-value of chi-squared against a uniform alphabet."""
+    n, a = int(counts.sum()), len(counts)
+    squares = int((counts * counts).sum())
+    if n <= EXACT:
+        return float(min(1.0, max(LEAST_P, square_tail(n, a)[squares])))
+    chi, k = squares * a / n - n, a - 1
+    # Wilson-Hilferty: the cube root of chi-squared over its degrees is nearly normal.
+    z = ((chi / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+@lru_cache(maxsize=65536)
+def runs_test(n1: int, n2: int, runs: int) -> float:
+    """The two-sided p-value of a number of runs of n1 and n2 symbols in random order."""
+    n = n1 + n2
+    if n > EXACT:
+        mean = 1 + 2 * n1 * n2 / n
+        var = (mean - 1) * (mean - 2) / (n - 1)
+        return _normal_tail((runs - mean) / math.sqrt(var)) if var > 0 else 1.0
+    if not n1 or not n2:
+        return 1.0  # their order says nothing
+
+    def ways(r: int) -> int:
+        k = r // 2
+        if r % 2:
+            return math.comb(n1 - 1, k) * math.comb(n2 - 1, k - 1) + math.comb(n1 - 1, k - 1) * math.comb(n2 - 1, k)
+        return 2 * math.comb(n1 - 1, k - 1) * math.comb(n2 - 1, k - 1)
+
+    total = math.comb(n, n1)
+    low = sum(ways(r) for r in range(2, runs + 1)) / total
+    high = sum(ways(r) for r in range(runs, n + 1)) / total
+    return min(1.0, 2 * min(low, high))
+
+
+@lru_cache(maxsize=65536)
+def binomial_test(k: int, n: int, share: float) -> float:
+    """The two-sided p-value of k out of n."""
+    if n > EXACT:
+        return _normal_tail((k - n * share) / math.sqrt(n * share * (1 - share)))
+    own = [math.comb(n, j) * share**j * (1 - share) ** (n - j) for j in range(n + 1)]
+    return min(1.0, 2 * min(sum(own[: k + 1]), sum(own[k:])))
+
+
+def serial_test(x: np.ndarray) -> float:
+    """The two-sided p-value of the lag-one correlation, by its mean and variance in
+    samples of this length."""
+    n, d = len(x), x - x.mean()
+    ss = float((d * d).sum())
+    if not ss:
+        return 1.0
+    r = float((d[1:] * d[:-1]).sum()) / ss
+    return _normal_tail((r + 1 / n) / math.sqrt((n - 2) ** 2 / (n * n * (n - 1))))
+
+
 def battery(token: str) -> tuple[str, float, bool] | None:
     """Encoding, combined p-value under "random", and whether the test has power."""
     token = token.rstrip("=")
@@ -73,29 +155,12 @@ def battery(token: str) -> tuple[str, float, bool] | None:
     if found is None:
         return None
     name, alphabet, at, least = found
-    x = np.array([at[c] for c in token], float)
-    n, a = len(x), len(alphabet)
-    counts = np.bincount(x.astype(int), minlength=a)
-    chi = float(((counts - n / a) ** 2).sum() * a / n)
-    # Wilson-Hilferty: the cube root of chi-squared over its degrees is nearly normal.
-    k = a - 1
-    z = ((chi / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
-    p = [0.5 * math.erfc(z / math.sqrt(2))]
-    high = x >= a / 2
-    n1, n2 = int(high.sum()), int((~high).sum())
-    if n1 and n2:
-        runs = 1 + int((high[1:] != high[:-1]).sum())
-        mean = 1 + 2 * n1 * n2 / n
-        var = (mean - 1) * (mean - 2) / (n - 1)
-        p.append(_normal_tail((runs - mean) / math.sqrt(var)) if var > 0 else 1.0)
-    else:
-        p.append(2.0 ** (1 - n))
-    d = x - x.mean()
-    ss = float((d * d).sum())
-    p.append(_normal_tail(float((d[1:] * d[:-1]).sum()) / ss * math.sqrt(n)) if ss else 2.0 ** (1 - n))
+    codes = np.array([at[c] for c in token])
+    n, a = len(codes), len(alphabet)
+    high = codes >= a / 2
+    p = [uniformity(np.bincount(codes, minlength=a)), runs_test(int(high.sum()), int((~high).sum()), 1 + int((high[1:] != high[:-1]).sum())), serial_test(codes.astype(float))]
     if a >= 62 and not any(c.isdigit() for c in token):
-        share = 26 / (a - 10)
-        p.append(_normal_tail((sum(c.isupper() for c in token) - n * share) / math.sqrt(n * share * (1 - share))))
+        p.append(binomial_test(sum(c.isupper() for c in token), n, 26 / (a - 10)))
     return name, max(1e-20, min(1.0, len(p) * min(p))), n >= least and len(set(token)) >= min(10, a // 2)
 
 
@@ -159,8 +224,9 @@ def scan_secrets(docs: DataFrame, q: float = 0.05) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     ``spans`` has the base spans and those of the battery ("random"), as
-    kind:start:end by start, then kind.  Null text counts as empty and has no spans;
-    repeated rows each give a row; other columns are ignored.
+    kind:start:end by start, then kind.  Null text counts as empty and has no spans, texts
+    may be of any length; rows may repeat or lack a doc_id and each give a row; other
+    columns are ignored; an empty table gives no rows.
     """
     rows = written(docs.select("doc_id", "text").mapInArrow(_scan, _SCHEMA))
     each = rows.select(F.explode("candidates").alias("c"))
