@@ -6,9 +6,14 @@ information; its side information is zero (silence), so the main data area holds
 bytes as ancillary data.  The last frame has the smallest bitrate that holds the rest,
 hence the variable-bitrate table.
 
+A frame's checksum covers no main data, so the stream's tag also has a checksum of the
+payload.
+
 The reader takes any bytes: it skips tags, resynchronises after damage by looking for two
-consecutive fitting headers, verifies checksums, parses Xing and VBRI tables, and gives
-exact durations (samples over the sampling rate) and the offset of every frame.
+consecutive headers of one kind, verifies checksums of layer III frames, parses Xing and
+VBRI tables, and gives exact durations (samples over the sampling rate) and the offset of
+every frame of layers I, II and III.  Frames of free format, whose length no header tells,
+are skipped like damage.
 """
 
 from __future__ import annotations
@@ -26,8 +31,11 @@ from pyspark.sql import DataFrame
 
 from barloom.llm.textarrays import buffer_of
 
-# Fixed values of MPEG-1/2/2.5 layer III: kbit/s by index, sampling rates.
+# Fixed values of MPEG audio: kbit/s by index (MPEG-1 and 2, layers I to III), sampling rates.
+BITRATES_1_I = (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448)
+BITRATES_1_II = (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384)
 BITRATES_1 = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+BITRATES_2_I = (0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256)
 BITRATES_2 = (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)
 RATES = (44100, 48000, 32000)
 
@@ -35,7 +43,7 @@ SAMPLES = 1152
 RATE = 48000
 HEAD, CRC, SIDE = 4, 2, 17  # MPEG-1 mono
 OVERHEAD = HEAD + CRC + SIDE
-_SYNC = re.compile(rb"\xff[\xe2-\xff]")
+_SYNC = re.compile(rb"\xff[\xe0-\xff]")
 _FULL = len(BITRATES_1) - 1
 
 
@@ -91,8 +99,10 @@ def encode(payload: bytes) -> bytes:
     at = [min(255, 256 * (size + min(audio_bytes, int(audio_frames * k / 100) * (OVERHEAD + body))) // total) for k in range(100)]
     xing = b"Xing" + struct.pack(">III", 7, audio_frames, total) + bytes(at)
     info = (_EMPTY[info_index] + xing).ljust(size, b"\0")
-    text = b"\0payload_bytes\0" + str(len(payload)).encode()
-    tag = b"TXXX" + struct.pack(">IH", len(text), 0) + text
+    tag = b""
+    for name, value in (("payload_bytes", len(payload)), ("payload_crc32", zlib.crc32(payload))):
+        text = f"\0{name}\0{value}".encode()
+        tag += b"TXXX" + struct.pack(">IH", len(text), 0) + text
     n = len(tag)
     head = b"ID3\x03\0\0" + bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127))
     return b"".join((head, tag, info, frames.tobytes(), tail))
@@ -112,23 +122,28 @@ class Scan:
     resyncs: int = 0
     payload: bytes = b""
     missing: int = 0  # bytes that the tag promises and the frames do not hold
+    intact: bool | None = None  # whether the payload has the tag's checksum, if it has one
 
 
-def parse_header(data: bytes, at: int) -> tuple[int, int, int, int, bool] | None:
-    """Frame length, samples, rate, side information bytes and whether a checksum
-    follows, of the layer III header there, or None."""
-    if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xE6 != 0xE2:
+def parse_header(data: bytes, at: int) -> tuple[int, int, int, int, bool, int] | None:
+    """Frame length, samples, rate, side information bytes, whether a checksum can be
+    verified, and a number for the kind of stream, of the header there, or None."""
+    if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xE0 != 0xE0:
         return None
-    version, b2 = data[at + 1] >> 3 & 3, data[at + 2]
+    version, layer, b2 = data[at + 1] >> 3 & 3, 4 - (data[at + 1] >> 1 & 3), data[at + 2]
     index, r = b2 >> 4, b2 >> 2 & 3
-    if version == 1 or index in (0, 15) or r == 3:
+    if version == 1 or layer == 4 or index in (0, 15) or r == 3:
         return None
+    first = version == 3
     rate = RATES[r] >> {3: 0, 2: 1, 0: 2}[version]
+    table = (BITRATES_1_I, BITRATES_1_II, BITRATES_1) if first else (BITRATES_2_I, BITRATES_2, BITRATES_2)
+    bits, padding, kind = table[layer - 1][index] * 1000, b2 >> 1 & 1, data[at + 1] & 0xFE | r << 8
+    if layer == 1:
+        return (12 * bits // rate + padding) * 4, 384, rate, 0, False, kind
+    samples = 576 if layer == 3 and not first else 1152
     mono = data[at + 3] >> 6 == 3
-    samples = 1152 if version == 3 else 576
-    kbit = (BITRATES_1 if version == 3 else BITRATES_2)[index]
-    side = (17 if mono else 32) if version == 3 else (9 if mono else 17)
-    return samples // 8 * kbit * 1000 // rate + (b2 >> 1 & 1), samples, rate, side, not data[at + 1] & 1
+    side = 0 if layer == 2 else (17 if mono else 32) if first else (9 if mono else 17)
+    return samples // 8 * bits // rate + padding, samples, rate, side, layer == 3 and not data[at + 1] & 1, kind
 
 
 def parse_tags(data: bytes) -> tuple[dict[str, str], int, int]:
@@ -199,6 +214,8 @@ def _trimmed(out: Scan) -> Scan:
     if n.isdigit():
         out.missing = max(0, int(n) - len(out.payload))
         out.payload = out.payload[: int(n)]
+    if "payload_crc32" in out.tags:
+        out.intact = str(zlib.crc32(out.payload)) == out.tags["payload_crc32"]
     return out
 
 
@@ -214,7 +231,8 @@ def _walk(data: bytes, at: int, end: int) -> tuple[Scan, int]:
             got = seen[raw] = parse_header(data, at) or ()
         fits = bool(got) and got[0] > HEAD + got[3] and at + got[0] <= end
         if fits and not sure:  # the next header must fit as well, or the stream ends there
-            fits = at + got[0] == end or parse_header(data, at + got[0]) is not None
+            following = parse_header(data, at + got[0])
+            fits = at + got[0] == end or (following is not None and following[5] == got[5])
         if not fits:
             m = _SYNC.search(data, at + 1, end)
             if sure or not out.offsets:
@@ -225,7 +243,7 @@ def _walk(data: bytes, at: int, end: int) -> tuple[Scan, int]:
                 break
             at = m.start()
             continue
-        length, samples, rate, side, crc = got
+        length, samples, rate, side, crc, _ = got
         since = min(since, at)
         body = at + HEAD + 2 * crc + side
         if crc:
@@ -261,7 +279,7 @@ MEDIA_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 st
 
 def _columns(media: bytes) -> tuple:
     s = scan(media)
-    feature = f"mpeg1-l3;frames={len(s.offsets)};samples={s.samples}/{s.rate};crc={s.checked - s.bad_crc}/{s.checked};resync={s.resyncs};vbr={(s.vbr or {}).get('kind', '-')}:{(s.vbr or {}).get('frames', 0)}"
+    feature = f"mpeg1-l3;frames={len(s.offsets)};samples={s.samples}/{s.rate};crc={s.checked - s.bad_crc}/{s.checked};resync={s.resyncs};vbr={(s.vbr or {}).get('kind', '-')}:{(s.vbr or {}).get('frames', 0)};payload={s.intact}"
     return s, feature
 
 
@@ -269,8 +287,9 @@ def store_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     """A media row per document: its text's bytes as an MPEG stream, read back.  A stream
     that does not give them back is an error.
 
-    Null and empty texts give 64 zero bytes.  doc_id may be null or repeat; other columns
-    are ignored; an empty table gives no rows.  With ``keep_media`` the stream itself is
+    Null and empty texts give 64 zero bytes; texts may be of any length that a row can hold
+    with its stream.  doc_id may be null, and rows may repeat; other columns are ignored; an
+    empty table gives no rows.  With ``keep_media`` the stream itself is
     the last column.
     """
 
@@ -286,7 +305,7 @@ def store_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                     media = encode(payload)
                     got, feature = _columns(media)
                     back = got.payload
-                    if back != payload:
+                    if back != payload or not got.intact:
                         raise ValueError(f"{got.missing} of {len(payload)} bytes are missing, or others differ, in the stream read back")
                     rows.append((e - s, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, got.samples, got.rate, got.offsets, media))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
@@ -297,11 +316,12 @@ def store_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
 
 
 def read_media(rows: DataFrame, media: str = "media") -> DataFrame:
-    """What streams from any encoder hold: doc_id, tags, duration, table, offsets, checks.
+    """What streams from any encoder hold: doc_id, tags, duration, table, offsets, checks;
+    ``intact`` is null where a stream's tags have no checksum of its payload.
 
     Null media reads as empty: no frames, duration 0.
     """
-    schema = "doc_id long, tags map<string,string>, duration_samples long, sample_rate int, vbr_kind string, vbr_frames long, checked long, bad_crc long, resyncs long, frame_offsets array<long>"
+    schema = "doc_id long, tags map<string,string>, duration_samples long, sample_rate int, vbr_kind string, vbr_frames long, checked long, bad_crc long, resyncs long, frame_offsets array<long>, intact boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -309,7 +329,7 @@ def read_media(rows: DataFrame, media: str = "media") -> DataFrame:
             cols = [
                 pa.array([list(s.tags.items()) for s in got], pa.map_(pa.string(), pa.string())), pa.array([s.samples for s in got], pa.int64()), pa.array([s.rate for s in got], pa.int32()),
                 pa.array([(s.vbr or {}).get("kind") for s in got], pa.string()), pa.array([(s.vbr or {}).get("frames") for s in got], pa.int64()),
-                *(pa.array([getattr(s, k) for s in got], pa.int64()) for k in ("checked", "bad_crc", "resyncs")), pa.array([s.offsets for s in got], pa.list_(pa.int64())),
+                *(pa.array([getattr(s, k) for s in got], pa.int64()) for k in ("checked", "bad_crc", "resyncs")), pa.array([s.offsets for s in got], pa.list_(pa.int64())), pa.array([s.intact for s in got], pa.bool_()),
             ]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=[c.rsplit(" ", 1)[0].strip() for c in re.split(r", (?=\w+ )", schema)])
 
