@@ -1,19 +1,22 @@
 """A corpus in, training sequences out: five stages, each one operator over all of its input.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read
-again before the next one.  All but the last return the columns of ``documents``.  Empty
-tables, nulls and repeated rows are handled as the operators' docstrings say.
+again before the next one.  All but the last return the columns of ``documents``.
+
+Null texts count as empty and are scored like empty ones; rows without a doc_id stay where
+the operators keep them; rows that are equal but for white space are one after the second
+stage; other columns are carried along, whatever their names.  An empty table gives no
+rows.  Texts may be of any length.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import exact_dedup, mixing, ngram_join, packing, quality
-from barloom.llm.common import table
+from barloom.llm.common import checkpoint_folder, delete_table, scratch, table
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,17 +52,22 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: The classifier, components and the packing have no SQL form; tests hold every stage
-#: against a brute-force version.
+#: The classifier, components and the packing have no SQL form; tests hold each stage
+#: against a plain version on the stage's own input.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barloom-")
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared checkpoint folder.
+
+    What a stage keeps there for itself, and its input, goes when its output is written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}-{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}-{k}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            delete_table(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -121,7 +121,7 @@ def test_quotes_link_and_order(spark):
     assert [got[1, t]["body"] for t in range(5)] == ["How are you?\nFine weather.", "Good.", "Indeed.", "And you?", "hm"]
     assert [got[1, t]["parent_turn"] for t in range(5)] == [None, 0, 0, 1, 3]
     assert got[1, 3]["max_level"] == 2 and got[1, 3]["n_linked"] == 2 and got[1, 4]["n_linked"] == 0 and got[2, 0]["parent_turn"] is None
-    assert [got[1, t]["thread_path"] for t in range(5)] == [[0], [0, 1], [0, 2], [0, 1, 3], [4]]
+    assert [(got[1, t]["thread"], got[1, t]["depth"]) for t in range(5)] == [(0, 0), (0, 1), (0, 1), (0, 2), (4, 0)]
     assert sorted(range(5), key=lambda t: got[1, t]["reply_order"]) == [0, 1, 3, 2, 4]
     assert quote_links.link_quotes(df.limit(0)).count() == 0
 
@@ -131,7 +131,7 @@ def test_whole_passage_comes_before_its_lines(spark):
     rows = [(1, 0, "u", "Thanks\nSee A"), (1, 1, "u", "Thanks"), (1, 2, "u", "> Thanks\n> See A\nok"), (1, 3, "u", "> Thanks\n> See B"), (1, 4, "u", ">> Thanks\n>>  see a")]
     got = {r["turn"]: r for r in quote_links.link_quotes(spark.createDataFrame(rows, schema)).collect()}
     assert [got[t]["parent_turn"] for t in range(5)] == [None, 0, 0, 1, 3]
-    assert [got[t]["n_linked"] for t in range(5)] == [0, 0, 1, 1, 1] and got[2]["thread_path"] == [0, 2]
+    assert [got[t]["n_linked"] for t in range(5)] == [0, 0, 1, 1, 1] and (got[2]["thread"], got[2]["depth"]) == (0, 1)
 
 
 def test_messages_without_a_key_are_rows(spark, tmp_path):
@@ -142,7 +142,7 @@ def test_messages_without_a_key_are_rows(spark, tmp_path):
     assert len(got) == 4
     facts = lambda r: (r["message"], r["body"], r["n_quotes"], r["max_level"], r["n_linked"])
     assert facts(got[None, 1]) == facts(got[1, 0]) and got[None, 1]["n_quotes"] == 3
-    assert [got[2, None][c] for c in ("body", "n_quotes", "parent_turn", "thread_path", "reply_order")] == ["", 0, None, None, None] and got[None, None]["max_level"] == 1
+    assert [got[2, None][c] for c in ("body", "n_quotes", "parent_turn", "thread", "depth", "reply_order")] == ["", 0, None, None, None, None] and got[None, None]["max_level"] == 1
 
 
 def test_long_conversation_equals_a_loop(spark):
@@ -163,6 +163,66 @@ def test_long_conversation_equals_a_loop(spark):
     assert sorted(r["reply_order"] for r in got.values()) == list(range(1, 301))
 
 
+def plain_links(rows):
+    """All columns by loops: rows are (conv_id, turn, role, text), one message a turn."""
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t).strip(" ").lower()
+    out, said = {}, defaultdict(list)
+    for conv, turn, _, text in sorted(rows, key=lambda r: r[:2]):
+        blocks = []
+        for line in re.split("\r?\n", text or ""):
+            mark = re.match(r"(?:\x20*>)+\x20?", line)
+            level = mark[0].count(">") if mark else 0
+            if not blocks or blocks[-1][0] != level:
+                blocks.append((level, []))
+            blocks[-1][1].append(line[mark.end() :] if mark else line)
+        find = lambda t: max((k for k, pieces in said[conv] if norm(t) and norm(t) in pieces), default=None)
+        quotes = []
+        for level, lines in blocks:
+            if level:
+                whole = find("\n".join(lines))
+                each = [k for k in map(find, lines) if k is not None]
+                quotes.append((level, whole if whole is not None else max(each, default=None)))
+        quoted = max((k for level, k in quotes if level == 1 and k is not None), default=None)
+        own = [lines for level, lines in blocks if level == 0]
+        out[conv, turn] = {"body": "\n".join("\n".join(x) for x in own), "n_quotes": len(quotes), "max_level": max((v for v, _ in quotes), default=0), "n_linked": sum(k is not None for _, k in quotes), "quoted": quoted}
+        out[conv, turn]["parent_turn"] = quoted if quoted is not None else (said[conv][-1][0] if said[conv] else None)
+        said[conv].append((turn, {norm("\n".join(x)) for x in own} | {norm(y) for x in own for y in x}))
+    kids = defaultdict(list)
+    for conv, turn in sorted(out):
+        kids[conv, out[conv, turn]["quoted"]].append(turn)
+    for conv in {c for c, _ in out}:
+        order, stack = [], [(t, t, 0) for t in reversed(kids[conv, None])]
+        while stack:
+            t, root, depth = stack.pop()
+            order.append(t)
+            out[conv, t] |= {"thread": root, "depth": depth, "reply_order": len(order)}
+            stack += [(c, root, depth + 1) for c in reversed(kids[conv, t])]
+    return out
+
+
+def test_planted_quotes_equal_loops_in_every_column(spark):
+    rng, rows = random.Random(21), []
+    for conv in range(12):
+        said = []
+        for turn in range(rng.randrange(1, 45)):
+            own = ["", " Mixed  Case LINE"] if rng.random() < 0.05 else [f"line {rng.randrange(30)}" for _ in range(rng.randrange(1, 4))]
+            lines = []
+            for _ in range(rng.randrange(0, 3) if said else 0):
+                source = rng.choice(said[:1] if conv == 3 else said)  # in one conversation all quote the first
+                at = rng.randrange(len(source))
+                passage = source if rng.random() < 0.6 else source[at : at + 1] if rng.random() < 0.8 else ["nobody said this"]
+                lines += [rng.choice(["> ", ">", ">> ", "> > "]) + x for x in passage] + (["so"] if rng.random() < 0.5 else [])
+            rows.append((conv, turn * 3, rng.choice(["user", None]), rng.choice(["\n", "\r\n"]).join(lines + own)))
+            said.append(own)
+    rows += [(50, k, "user", f"> m{k - 1}\nm{k}" if k else "m0") for k in range(200)]  # one long chain
+    rows += [(51, 0, "user", ""), (51, 1, "user", None), (51, 2, "user", "> "), (52, 5, "user", "x " * 200000 + "\n> y")]
+    got = {(r["conv_id"], r["turn"]): r.asDict() for r in quote_links.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    want = plain_links(rows)
+    assert got.keys() == want.keys() and sum(w["n_linked"] for w in want.values()) > 250 and want[50, 199]["depth"] == 199
+    for key, w in want.items():
+        assert {c: got[key][c] for c in w if c != "quoted"} == {c: v for c, v in w.items() if c != "quoted"}, key
+
+
 # mixing
 
 
@@ -380,3 +440,129 @@ def test_mix_of_repeated_rows(spark):
         have[r["source"]] += len((r["text"] or "").split())
     assert have == want and all(v for v in want.values() if v) and mixing.apply_mix(df.limit(0)).count() == 0
     assert sum(r["text"] is None or r["text"] == "" for r in mixed.collect()) == 2
+
+
+def frames_of(version, layer, index, rate, n, crc=False, mono=False):
+    """Silent frames of any kind, built by the formulas of the format."""
+    base = {3: 1, 2: 2, 0: 2.5}[version]
+    table = {(True, 1): mpeg_audio.BITRATES_1_I, (True, 2): mpeg_audio.BITRATES_1_II, (True, 3): mpeg_audio.BITRATES_1, (False, 1): mpeg_audio.BITRATES_2_I}.get((base == 1, layer), mpeg_audio.BITRATES_2)
+    hertz = mpeg_audio.RATES[rate] // {1: 1, 2: 2, 2.5: 4}[base]
+    samples = 384 if layer == 1 else 1152 if layer == 2 or base == 1 else 576
+    slot = 4 if layer == 1 else 1
+    size = samples * table[index] * 1000 // (8 * hertz * slot) * slot
+    head = bytes((0xFF, 0xE0 | version << 3 | (4 - layer) << 1 | (not crc), index << 4 | rate << 2, 0xC0 if mono else 0))
+    body = head
+    if crc:
+        side = {(True, True): 17, (True, False): 32, (False, True): 9, (False, False): 17}[base == 1, mono]
+        c = 0xFFFF
+        for byte in head[2:] + bytes(side):
+            for k in range(7, -1, -1):
+                c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15 ^ byte >> k) & 1 else 0)
+        body += c.to_bytes(2, "big")
+    return body.ljust(size, b"\0") * n, size, samples, hertz
+
+
+def test_media_of_other_layers_versions_and_tables(spark):
+    for version in (3, 2, 0):
+        for layer in (1, 2, 3):
+            for index in (1, 5, 14):
+                for rate in range(3):
+                    data, size, samples, hertz = frames_of(version, layer, index, rate, 4)
+                    got = mpeg_audio.scan(b"\0junk" + data)
+                    assert (got.offsets, got.samples, got.rate) == ([5 + k * size for k in range(4)], 4 * samples, hertz), (version, layer, index, rate)
+    for version in (3, 2, 0):
+        for mono in (True, False):
+            data, size, samples, _ = frames_of(version, 3, 8, 0, 3, crc=True, mono=mono)
+            hurt = bytearray(data)
+            hurt[size + 7] ^= 4
+            assert (mpeg_audio.scan(data).checked, mpeg_audio.scan(data).bad_crc, mpeg_audio.scan(bytes(hurt)).bad_crc) == (3, 0, 1)
+    data, size, samples, _ = frames_of(3, 3, 9, 0, 3)
+    table = b"VBRI" + b"\0\1\0\0\0d" + (3 * size).to_bytes(4, "big") + (2).to_bytes(4, "big") + bytes((0, 2, 0, 1, 0, 2, 0, 1)) + (700).to_bytes(2, "big") + (701).to_bytes(2, "big")
+    vbri = data[:36] + table + data[36 + len(table) :]
+    got = mpeg_audio.scan(vbri)
+    assert got.vbr == {"kind": "VBRI", "frames": 2, "bytes": 3 * size, "toc": [700, 701], "frames_per_entry": 1} and len(got.offsets) == 2
+    text = "TPE1" + "Björk"
+    v24 = b"ID3\x04\0\0\0\0\0" + bytes([10 + 7]) + b"TPE1\0\0\0\x07\0\0\x03" + text[4:].encode()
+    assert mpeg_audio.scan(v24 + vbri).tags["TPE1"] == "Björk"
+    rows = [(1, bytearray(mpeg_audio.encode(b"q" * 640))), (1, bytearray(mpeg_audio.encode(b"q" * 640))), (2, bytearray(vbri)), (None, None), (3, bytearray(b"\xff"))]
+    read = [r.asDict() for r in mpeg_audio.read_media(spark.createDataFrame(rows, "doc_id long, media binary").selectExpr("*", "1 as tags")).collect()]
+    assert sorted((r["doc_id"] or 0, len(r["frame_offsets"]), r["vbr_kind"], r["intact"]) for r in read) == sorted([(1, 1, "Xing", True), (1, 1, "Xing", True), (2, 2, "VBRI", None), (0, 0, None, None), (3, 0, None, None)], key=str)
+
+
+def test_media_every_place_of_a_tag_and_changed_payloads():
+    for n in list(range(1, 400, 3)) + [2000]:
+        for at in range(0, n, 7 if n < 400 else 31):
+            payload = mpeg_audio.payload_of((b"x" * at + b"TAG").ljust(n, b"y")[:n])
+            assert mpeg_audio.scan(mpeg_audio.encode(payload)).payload == payload
+    media = bytearray(mpeg_audio.encode(b"p" * 6400))
+    assert mpeg_audio.scan(bytes(media)).intact
+    media[mpeg_audio.scan(bytes(media)).offsets[1] + 500] ^= 1
+    got = mpeg_audio.scan(bytes(media))
+    assert got.bad_crc == 0 and got.intact is False
+
+
+def test_battery_keeps_its_level_on_random_tokens():
+    rng = random.Random(13)
+    for name, alphabet, _ in secret_scan.ALPHABETS:
+        for n in (24, 40, 100):
+            got = [secret_scan.battery("".join(rng.choice(alphabet) for _ in range(n))) for _ in range(1500)]
+            p = np.array([x[1] for x in got if x[0] == name])
+            for level in (0.05, 0.01):
+                assert (p <= level).mean() <= level + 4 * (level / len(p)) ** 0.5, (name, n, level)
+
+
+def test_exact_null_distributions():
+    # All strings of 6 symbols over 3, and all orders of 3 and 4 symbols.
+    import itertools
+
+    squares = [sum(x.count(c) ** 2 for c in "abc") for x in itertools.product("abc", repeat=6)]
+    tail = secret_scan.square_tail(6, 3)
+    assert all(abs(tail[s] - np.mean([q >= s for q in squares])) < 1e-12 for s in range(12, 37))
+    runs = [1 + sum(a != b for a, b in zip(x, x[1:])) for x in set(itertools.permutations("aaabbbb"))]
+    for r in range(2, 8):
+        assert abs(secret_scan.runs_test(3, 4, r) - min(1, 2 * min(np.mean([q <= r for q in runs]), np.mean([q >= r for q in runs])))) < 1e-12
+
+
+def plain_base(text):
+    found = []
+    for kind, pattern, flags in (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), ("access", r"AKIA[A-Z0-9]+", 0), ("hex", r"[0-9a-f]+", 0)):
+        for m in re.finditer(pattern, text, flags):
+            if kind == "assign" and (len(m[2]) < 8 or not m[1].isascii()):
+                continue
+            if m.end() - m.start() >= {"assign": 0, "access": 16, "hex": 32}[kind]:
+                found.append((m.start(), ("assign", "access", "hex").index(kind), kind, m.end()))
+    return [(s, k, e) for s, _, k, e in sorted(found)]
+
+
+def test_secrets_base_against_the_patterns(spark):
+    rng = random.Random(14)
+    bits = ["password", "PassWd", "secret", "Token", "api_key", "APIKEY", "=", ":", " ", "  ", '"', "'", "abc123", "hunter2hunter2", "AKIA", "ABCDEFGH12345678", "deadbeef" * 4, "0af", ".", "\n", "é", "ſecret", "-_"]
+    rows = [(k, "".join(rng.choices(bits, k=rng.randrange(0, 14)))) for k in range(3000)] + [(None, "token=abcdefgh1"), (9000, "x" * 500000 + " secret: abcdefgh")] + [(9001, "AKIA" + "Q" * 12)] * 3
+    got = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(i, ",".join(f"{k}:{s}:{e}" for s, k, e in plain_base(t))) for i, t in rows]
+    have = [(r["doc_id"], ",".join(x for x in r["spans"].split(",") if x and not x.startswith("random"))) for r in got]
+    assert sorted(have, key=str) == sorted(want, key=str)
+    assert all(r["base_sha256"] == hashlib.sha256(b.encode()).hexdigest() for r, (_, b) in zip(got, have))
+
+
+def test_exact_dedup_of_texts_above_a_chunk(spark):
+    big = "ab cd\t" * 120000  # 720,000 characters, three chunks of the default size
+    rows = [(1, big), (2, big.replace("\t", "  ")), (3, big[:-2] + "x "), (4, big), (4, big), (None, big), (5, "s")]
+    df = docs_of(spark, [(i, t, "s") for i, t in rows])
+    got = [(r["doc_id"] or -1, r["keep_id"], r["group_size"]) for r in exact_dedup.exact_duplicates(df).collect()]
+    assert sorted(got) == [(-1, 1, 5), (1, 1, 5), (2, 1, 5), (3, 3, 1), (4, 1, 5), (4, 1, 5), (5, 5, 1)]
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_duplicates(df).collect()) == [1, 3, 5]
+
+
+def test_dual_descent_reaches_the_primal_optimum():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 40, 8)).astype(np.int32) for _ in range(120)]
+    y = np.array([int(r.min() < 3) ^ int(rng.random() < 0.1) for r in rows])
+    ratio = quality.log_ratios(rows, y, 40)
+    counts = [[1.0 + sum(j in r for r, c in zip(rows, y) if c == k) for j in range(40)] for k in (0, 1)]  # plain naive Bayes
+    assert np.allclose(ratio, [np.log(a / sum(counts[1])) - np.log(b / sum(counts[0])) for a, b in zip(counts[1], counts[0])])
+    values = [ratio[r] / np.linalg.norm(ratio[r]) for r in rows]
+    w = quality.dual_descent(rows, values, y, 40, 1.0, 4000)
+    loss = lambda w: 0.5 * w @ w + sum(max(0.0, 1 - (2 * c - 1) * (w[r] @ v)) for r, v, c in zip(rows, values, y))
+    best = loss(w)
+    assert all(loss(w + rng.normal(0, s, 40)) >= best - 1e-3 for s in (1e-3, 1e-2, 0.1) for _ in range(200))
