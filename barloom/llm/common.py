@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words.
@@ -123,6 +123,21 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Parts that a task has on average: some more and some fewer even out.
+PARTS_PER_TASK = 4
+
+
+def count_parts(spark: SparkSession, total: int, part_bytes: int) -> int:
+    """Parts of ``part_bytes``, so that a part is as large at any size of the input."""
+    return max(partitions(spark), -(-total // part_bytes))
+
+
+def by_part(shipped: DataFrame, n_parts: int) -> GroupedData:
+    """Rows grouped by ``part``, in tasks of a few parts each."""
+    tasks = max(partitions(shipped.sparkSession), n_parts // PARTS_PER_TASK)
+    return shipped.repartition(tasks, "part").groupBy("part")
+
+
 def ranged(df: DataFrame, *order: str) -> DataFrame:
     """The rows dealt to ranges of ``order``, with the number of their range as ``bucket``.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import join_hubs, keep_rows, partitions, written
+from barloom.llm.common import by_part, count_parts, join_hubs, keep_rows, written
 from barloom.llm.components import components
 from barloom.llm.textarrays import LOWER, buffer_of, mix, prefix_sums, shingle_hashes, slices, span_hashes, words
 
@@ -37,12 +37,12 @@ NUM, DEN = 3, 7
 #: Sets that hold a shingle from which on it comes last in the global order.
 HEAVY = 32
 #: Sets, and bytes of shingles, in a block of a candidate group.
-BLOCK = 512
+BLOCK = 256
 BLOCK_BYTES = 16 << 20
 #: Sets whose sizes differ by more than this factor (over 4/3) cannot link.
 BAND = 1.34
 #: Bytes of text per part of the count: a part's shingles are about as large.
-PART_BYTES = 16 << 20
+PART_BYTES = 6 << 20
 
 
 def shingle_sets(texts: pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
@@ -417,9 +417,9 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, heavy: int = HEAVY, block:
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_parts = max(partitions(spark), -(-total // PART_BYTES))
+    n_parts = count_parts(spark, total, PART_BYTES)
     shipped = texts.mapInArrow(_ship(n_parts, n), _SHIPPED)
-    counted = written(shipped.groupBy("part").applyInArrow(_count(heavy), _COUNTED))
+    counted = written(by_part(shipped, n_parts).applyInArrow(_count(heavy), _COUNTED))
     rows = counted.where("found is null").select("doc_id", "text_hash", "n", "k1", "k2")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     classes = rows.where("n > 0").groupBy("k1", "k2", "n").agg(best.alias("first"), F.count("*").alias("copies"))
@@ -428,7 +428,7 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, heavy: int = HEAVY, block:
     wanted = classes.join(active, ["k1", "n"]).select("cid", "k1", "n", "copies", "heavy", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
     chosen = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["first_id"]) & (texts["text_hash"] == wanted["first_hash"])).drop("doc_id", "text_hash", "first_id", "first_hash")
     sets = written(chosen.mapInArrow(_ordered_sets(n_parts, n), _SET).dropDuplicates(["cid"]))
-    near = components(sets.mapInArrow(_ship_prefixes(n_parts), _SHIPPED).groupBy("part").applyInArrow(_edges, "a long, b long"))
+    near = components(by_part(sets.mapInArrow(_ship_prefixes(n_parts), _SHIPPED), n_parts).applyInArrow(_edges, "a long, b long"))
     dealt = _blocks(near, sets, block)
     walked = written(dealt.groupBy("root", "band", "pair", "i", "j").applyInArrow(_walk_group, "cid long, root long, links long"))
     linked = components(walked.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import partitions, written
+from barloom.llm.common import by_part, count_parts, written
 from barloom.llm.textarrays import buffer_of, gram_hashes, mix, pieces, prefix_sums, slices, span_hashes
 
 LENGTH = 100
@@ -45,7 +45,7 @@ GRAM = 32
 #: Contexts of a sample within a batch from which on it is known to be common.
 COMMON = 16
 #: Bytes of text per part: a part's records are about as large.
-PART_BYTES = 16 << 20
+PART_BYTES = 6 << 20
 
 _SPAN = np.dtype([("start", "<u4"), ("stop", "<u4")])
 #: A row is known by its doc_id and a hash of its text, in the order of ties.
@@ -321,16 +321,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     # Rows are known by what they hold, not by a number that another scan may give anew.
     texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     sizes = written(texts.groupBy(F.col("doc_id").alias("d_id"), F.col("hash").alias("d_hash")).agg(F.count("*").alias("copies"), F.sum(F.octet_length("text")).alias("bytes")))
-    n_parts = max(partitions(spark), -(-(sizes.agg(F.sum("bytes")).first()[0] or 0) // PART_BYTES))
+    n_parts = count_parts(spark, sizes.agg(F.sum("bytes")).first()[0] or 0, PART_BYTES)
     row_spans = "c_id long, c_hash long, covered binary, asked binary"
     samples = texts.mapInArrow(_ship_samples(n_parts, length, gram), _SHIPPED)
-    ranked = samples.groupBy("part").applyInArrow(_sorted_bucket(length, _SAMPLE, n_parts, True), _FOUND)
-    found = written(ranked.groupBy("part").applyInArrow(_gathered, row_spans))
+    ranked = by_part(samples, n_parts).applyInArrow(_sorted_bucket(length, _SAMPLE, n_parts, True), _FOUND)
+    found = written(by_part(ranked, n_parts).applyInArrow(_gathered, row_spans))
     this_row = texts["doc_id"].eqNullSafe(F.col("c_id")) & (texts["hash"] == F.col("c_hash"))
     asked = found.where("asked is not null").select("c_id", "c_hash", "asked")
     suffixes = texts.join(asked, this_row).select("doc_id", "text", "hash", "asked").mapInArrow(_ship_suffixes(n_parts, length), _SHIPPED)
-    more = suffixes.groupBy("part").applyInArrow(_sorted_bucket(length, _SUFFIX, n_parts, False), _FOUND)
-    more = more.groupBy("part").applyInArrow(_gathered, row_spans)
+    more = by_part(suffixes, n_parts).applyInArrow(_sorted_bucket(length, _SUFFIX, n_parts, False), _FOUND)
+    more = by_part(more, n_parts).applyInArrow(_gathered, row_spans)
     both = found.unionByName(more).where("covered is not null")
     covered = both.groupBy("c_id", "c_hash").agg(F.collect_list("covered").alias("covered"))
     placed = texts.join(covered, this_row, "left").select("doc_id", "hash", "text", "covered")
