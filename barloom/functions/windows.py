@@ -31,10 +31,26 @@ def lead(c: Column | str, k: int = 1) -> Column:
     return F.lead(c, k).over(by_bar())
 
 
+def finite(c: Column | str) -> Column:
+    """The value, null where it is NaN or infinite: Spark orders NaN above every number."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+
+def all_finite(*columns: Column | str) -> Column:
+    """Whether every value is a finite number; nulls are not."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & finite(c).isNotNull()
+    return out
+
+
 def with_ewm(df: DataFrame, spans: dict[str, tuple[str, int]]) -> DataFrame:
-    """Adds smoothed means: name -> (column, span)."""
+    """Adds smoothed means: name -> (column, span).  A missing value counts as the one before."""
     first = by_bar().rowsBetween(Window.unboundedPreceding, 0)
-    bases = {f"{c}_base": F.first(c).over(first) for c, _ in spans.values()}
+    bases = {f"{c}_base": F.first(c, ignorenulls=True).over(first) for c, _ in spans.values()}
+    known = {f"{c}_known": F.last(c, ignorenulls=True).over(first) for c, _ in spans.values()}
+    bases |= known
     return df.withColumns(bases).withColumns({name: _ewm(c, span) for name, (c, span) in spans.items()}).drop(*bases)
 
 
@@ -52,7 +68,7 @@ def _ewm(c: str, span: int) -> Column:
     chunk = F.floor(F.col("i") / CHUNK)
     k = F.col("i") - chunk * CHUNK
     base = F.col(f"{c}_base")
-    term = a * (F.col(c) - base) * F.pow(F.lit(q), -k)
+    term = a * (F.col(f"{c}_known") - base) * F.pow(F.lit(q), -k)
     own = F.sum(term).over(Window.partitionBy("ticker", chunk).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     chunks = Window.partitionBy("ticker").orderBy(chunk)
     before = lambda back: F.coalesce(F.sum(term).over(chunks.rangeBetween(-back, -back)), F.lit(0.0))

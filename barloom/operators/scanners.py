@@ -89,11 +89,11 @@ FUNNEL = ("funnel_enough_data", "funnel_trend_pass", "funnel_green_pass", "funne
 
 
 def top_picks(candidates: DataFrame, by: str, k: int = 5) -> DataFrame:
-    """The k candidates of each ``by`` with the largest volume ratio, ties in table order.
+    """The k candidates of each ``by`` with the largest volume ratio, ties in order of names.
 
     A limit by window: Spark keeps k rows a task before it shuffles.
     """
-    place = F.row_number().over(Window.partitionBy(by).orderBy(F.col("vol_ratio").desc(), "ticker_ord", "i"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.col("vol_ratio").desc(), "ticker", "i"))
     return candidates.withColumn("place", place).where(F.col("place") <= k)
 
 

@@ -1,8 +1,10 @@
 """Signals, exits, trades and their metrics.
 
 An exit depends on the entry bar, the stop and the longest hold only; a signal on the rule,
-the volume multiple and the zero-line filter only.  So a grid of configurations needs one
-pass per pair of stop and hold and one flag per rule variant, joined by entry bar.
+the volume multiple and the zero-line filter only.  So a grid of configurations takes one
+flag per rule variant and one fold per stop over the longest hold's path, from which the
+shorter holds are read; configurations are expanded after the bars that nothing wants are
+gone.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ def least_history(max_hold: int) -> int:
     return max(35, max_hold + 2)
 
 
-def signal_flag(cfg: StrategyConfig) -> Column:
-    """Where a rule fires: enough bars, not one of the last two, gates and predicate."""
-    flag = (F.col("n") >= least_history(cfg.max_hold)) & (F.col("i") < F.col("n") - 2) & rule(cfg.entry_set, cfg.vol_mult)
-    return flag & ~F.coalesce(F.col("macd") <= 0, F.lit(False)) if cfg.macd_zero_filter else flag
+def signal_flag(entry_set: str, vol_mult: float, macd_zero_filter: bool) -> Column:
+    """Where a rule fires, by its gates and predicate."""
+    flag = rule(entry_set, vol_mult)
+    return flag & ~F.coalesce(F.col("macd") <= 0, F.lit(False)) if macd_zero_filter else flag
 
 
 def exit_path(max_hold: int, entry: int = 0) -> Column:
@@ -62,41 +64,42 @@ def exits(frame: DataFrame, stop_pct: float, max_hold: int) -> DataFrame:
 
 
 def simulate(frame: DataFrame, configs: Iterable[StrategyConfig]) -> DataFrame:
-    """One row per trade: config, ticker, ticker_ord, i, entry_i, buy, exit_i, exit_price,
-    reason, ret.  Trades may overlap.
-
-    The paths of a hold are gathered once, from the bar after the signal; each stop folds
-    them for bars that at least one rule wants.
-    """
-    out: list[DataFrame] = []
+    """One row per trade: config, ticker, i, entry_i, buy, exit_i, exit_price, reason, ret.
+    Trades may overlap."""
     configs = list(configs)
-    for hold in sorted({c.max_hold for c in configs}):
-        own = [c for c in configs if c.max_hold == hold]
-        wants = F.array(*(F.when(signal_flag(c), F.struct(F.lit(c.name).alias("config"), F.lit(c.entry).alias("entry"), F.lit(float(c.stop_pct)).alias("stop_pct"), F.lit(float(c.fee_bp + c.slip_bp)).alias("cost"))) for c in own))
-        bars = frame.select("ticker", "ticker_ord", "i", "next_open", "next_close", F.filter(wants, lambda x: x.isNotNull()).alias("wants"), exit_path(hold, 1).alias("path")).where(F.size("wants") > 0)
-        stops = sorted({float(c.stop_pct) for c in own})
-        bars = bars.withColumn("exits", F.create_map(*(x for s in stops for x in (F.lit(s), exit_of(F.col("path"), s)))))
-        each = bars.select("ticker", "ticker_ord", "i", "next_open", "next_close", "exits", F.explode("wants").alias("w")).withColumn("x", F.element_at("exits", F.col("w.stop_pct")))
-        buy = F.when(F.col("w.entry") == "next_open", F.col("next_open")).otherwise(F.col("next_close"))
-        each = each.select(F.col("w.config").alias("config"), "ticker", "ticker_ord", "i", (F.col("i") + 1).alias("entry_i"), buy.alias("buy"), "x.exit_i", "x.exit_price", "x.reason", F.col("w.cost").alias("cost"))
-        out.append(each.withColumn("ret", (F.col("exit_price") - F.col("buy")) / F.col("buy") - F.col("cost") / 10000).drop("cost"))
-    result = out[0]
-    for more in out[1:]:
-        result = result.unionByName(more)
-    return result
+    variants = sorted({(c.entry_set, float(c.vol_mult), c.macd_zero_filter) for c in configs})
+    stops, holds = sorted({float(c.stop_pct) for c in configs}), sorted({c.max_hold for c in configs})
+    # As many rows as the caller named configurations.
+    rows = [(c.name, variants.index((c.entry_set, float(c.vol_mult), c.macd_zero_filter)), stops.index(float(c.stop_pct)), c.max_hold, least_history(c.max_hold), c.entry, float(c.fee_bp + c.slip_bp)) for c in configs]
+    table = F.broadcast(frame.sparkSession.createDataFrame(rows, "config string, variant int, stop int, hold int, least long, entry string, cost double"))
+    fired = F.array(*(F.when(signal_flag(*v), F.lit(k)) for k, v in enumerate(variants)))
+    # The path is a window over all bars, so it is gathered before any of them goes.
+    bars = frame.withColumns({"fired": F.filter(fired, lambda x: x.isNotNull()), "path": exit_path(holds[-1], 1)})
+    bars = bars.where((F.col("i") < F.col("n") - 2) & (F.size("fired") > 0))
+    bars = bars.select("ticker", "i", "n", "next_open", "next_close", "path", "fired", F.array(*(exit_of(F.col("path"), s) for s in stops)).alias("exits"))
+    wanted = bars.select("*", F.explode("fired").alias("variant")).join(table, "variant").where(F.col("n") >= F.col("least"))
+    x = F.get("exits", F.col("stop"))
+    ends = F.get("path", F.least("hold", F.size("path") - 1))  # where a shorter hold ends
+    early = x["exit_i"] <= ends["i"]
+    ended = F.struct(ends["i"].alias("exit_i"), ends["close"].alias("exit_price"), F.lit("max_hold").alias("reason"))
+    found = F.when(early, F.struct(x["exit_i"].alias("exit_i"), x["exit_price"].alias("exit_price"), x["reason"].alias("reason"))).otherwise(ended)
+    buy = F.when(F.col("entry") == "next_open", F.col("next_open")).otherwise(F.col("next_close"))
+    each = wanted.select("config", "ticker", "i", (F.col("i") + 1).alias("entry_i"), buy.alias("buy"), found.alias("x"), "cost")
+    ret = (F.col("x.exit_price") - F.col("buy")) / F.col("buy") - F.col("cost") / 10000
+    return each.select("config", "ticker", "i", "entry_i", "buy", "x.exit_i", "x.exit_price", "x.reason", ret.alias("ret"))
 
 
 def equity_curve(trades: DataFrame) -> DataFrame:
     """Trades with curve, peak and drawdown of their configuration.
 
-    The order is that of instruments and then of signals.  Products run within an
+    The order is that of instruments by name and then of signals.  Products run within an
     instrument; what comes before it is carried from one row per instrument, so no window
     holds all trades of a configuration.
     """
     own = Window.partitionBy("config", "ticker").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = trades.withColumn("local", F.product(1 + F.col("ret")).over(own)).withColumn("local_peak", F.max("local").over(own))
-    per = rows.groupBy("config", "ticker", "ticker_ord").agg(F.product(1 + F.col("ret")).alias("whole"), F.max("local").alias("top"))
-    before = Window.partitionBy("config").orderBy("ticker_ord").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy("config", "ticker").agg(F.product(1 + F.col("ret")).alias("whole"), F.max("local").alias("top"))
+    before = Window.partitionBy("config").orderBy("ticker").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("level", F.coalesce(F.product("whole").over(before), F.lit(1.0))).withColumn("top", F.col("level") * F.col("top"))
     per = per.select("config", "ticker", "level", F.max("top").over(before).alias("peak_before"))
     rows = rows.join(per, ["config", "ticker"]).withColumn("curve", F.col("level") * F.col("local"))

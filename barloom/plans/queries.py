@@ -23,7 +23,7 @@ _BASE = {"vol_mult": VOL_MULT, "macd_zero_filter": False, "stop_pct": 0.10, "max
 CONFIGS = {
     "next_open": [StrategyConfig(entry_set=p, entry="next_open", **_BASE) for p in PRESETS],
     "next_close": [StrategyConfig(entry_set=p, entry="next_close", **_BASE) for p in PRESETS],
-    "grid": list(grid(entry_set=["macd_gc", "trend_breakout40_macd", "quant_surge_common"], stop_pct=[0.03, 0.1], max_hold=[10, 20], vol_mult=[1.2, 1.5])),
+    "grid": list(grid()),  # the whole default grid
 }
 LIVE = StrategyConfig(entry_set="breakout40_slope", **_BASE)
 ORACLE_SQL = sql.oracle(CONFIGS, VOL_MULT, LIVE, MIN_TRADES)

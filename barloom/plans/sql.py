@@ -66,20 +66,22 @@ _AT = {"ticker": "ticker", "i": "i"}
 
 
 def trades(configs: list[StrategyConfig]) -> str:
-    """CTE ``trades`` of the configurations, by a range join and a running peak."""
-    signals = " UNION ALL ".join(
-        f"SELECT '{c.name}' AS config, ticker, ticker_ord, i, {'next_open' if c.entry == 'next_open' else 'next_close'} AS buy, {float(c.stop_pct)}::DOUBLE AS stop, {c.max_hold} AS hold, {float(c.fee_bp + c.slip_bp)}::DOUBLE AS cost "
-        f"FROM ind WHERE n >= {max(35, c.max_hold + 2)} AND i < n - 2 AND {rule_sql(c.entry_set, c.vol_mult)}" + (" AND NOT coalesce(macd <= 0, false)" if c.macd_zero_filter else "")
-        for c in configs
-    )
+    """CTE ``trades`` of the configurations, by a range join and a running peak: signals per
+    rule variant, exits per stop and hold, and the configurations that combine them."""
+    variants = sorted({(c.entry_set, float(c.vol_mult), c.macd_zero_filter) for c in configs})
+    fired = " UNION ALL ".join(f"SELECT {k} AS variant, ticker, ticker_ord, i, n, next_open, next_close FROM ind WHERE i < n - 2 AND {rule_sql(name, v)}" + (" AND NOT coalesce(macd <= 0, false)" if zero else "") for k, (name, v, zero) in enumerate(variants))
+    listed = ", ".join(f"('{c.name}', {variants.index((c.entry_set, float(c.vol_mult), c.macd_zero_filter))}, {float(c.stop_pct)}::DOUBLE, {c.max_hold}, {max(35, c.max_hold + 2)}, '{c.entry}', {float(c.fee_bp + c.slip_bp)}::DOUBLE)" for c in configs)
     return f""",
-sg AS ({signals}),
-path AS (SELECT s.config, s.ticker, s.ticker_ord, s.i, s.buy, s.cost, b.i AS j, b.open, b.low, b.close, b.macd, b.signal,
-         max(b.high) OVER (PARTITION BY s.config, s.ticker, s.i ORDER BY b.i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * (1 - s.stop) AS lvl, max(b.i) OVER (PARTITION BY s.config, s.ticker, s.i) AS last_j
-         FROM sg s JOIN ind b ON b.ticker = s.ticker AND b.i BETWEEN s.i + 1 AND s.i + 1 + s.hold),
+fired AS MATERIALIZED ({fired}),
+cfg(config, variant, stop, hold, least_n, entry, cost) AS (VALUES {listed}),
+sg AS (SELECT config, ticker, ticker_ord, i, CASE WHEN entry = 'next_open' THEN next_open ELSE next_close END AS buy, stop, hold, cost FROM fired JOIN cfg USING (variant) WHERE n >= least_n),
+wanted AS (SELECT DISTINCT ticker, i, stop, hold FROM sg),
+path AS (SELECT s.ticker, s.i, s.stop, s.hold, b.i AS j, b.open, b.low, b.close, b.macd, b.signal,
+         max(b.high) OVER (PARTITION BY s.ticker, s.i, s.stop, s.hold ORDER BY b.i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * (1 - s.stop) AS lvl, max(b.i) OVER (PARTITION BY s.ticker, s.i, s.stop, s.hold) AS last_j
+         FROM wanted s JOIN ind b ON b.ticker = s.ticker AND b.i BETWEEN s.i + 1 AND s.i + 1 + s.hold),
 ev AS (SELECT *, CASE WHEN low <= lvl THEN 'trailing_stop' WHEN j > i + 1 AND macd < signal THEN 'dead_cross' WHEN j = last_j THEN 'max_hold' END AS reason, CASE WHEN low <= lvl THEN least(open, lvl) ELSE close END AS px FROM path),
-tr0 AS (SELECT config, ticker, ticker_ord, i, buy, cost, min(j) AS exit_i, min_by(px, j) AS exit_price, min_by(reason, j) AS reason FROM ev WHERE reason IS NOT NULL GROUP BY ALL),
-trades AS (SELECT config, ticker, ticker_ord, i, i + 1 AS entry_i, buy, exit_i, exit_price, reason, (exit_price - buy) / buy - cost / 10000 AS ret FROM tr0)"""
+ex AS (SELECT ticker, i, stop, hold, min(j) AS exit_i, min_by(px, j) AS exit_price, min_by(reason, j) AS reason FROM ev WHERE reason IS NOT NULL GROUP BY ALL),
+trades AS (SELECT config, ticker, ticker_ord, i, i + 1 AS entry_i, buy, exit_i, exit_price, reason, (exit_price - buy) / buy - cost / 10000 AS ret FROM sg JOIN ex USING (ticker, i, stop, hold))"""
 
 
 _METRICS = """count(*) AS trade_count, avg((ret > 0)::INT::DOUBLE) * 100 AS win_rate_pct, avg(ret) * 100 AS avg_trade_return_pct, (product(1 + ret) - 1) * 100 AS cumulative_return_pct,

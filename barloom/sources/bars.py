@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.windows import finite
+
 #: Column names of the domestic market's data, and of normalised bars.
 ALIASES = {"날짜": "bar_ts", "시가": "open", "고가": "high", "저가": "low", "종가": "close", "거래량": "volume", "Date": "bar_ts", "Open": "open", "High": "high", "Low": "low", "Close": "close", "Volume": "volume"}
 REQUIRED = ("ticker", "bar_ts", "open", "high", "low", "close", "volume")
 
 
 def normalise(raw: DataFrame) -> DataFrame:
-    """Renames known columns and fixes types; a missing column is an error."""
+    """Renames known columns and fixes types; a missing column is an error.  NaN and
+    infinite prices and volumes become null, which no rule takes for a number."""
     named = raw.withColumnsRenamed({old: new for old, new in ALIASES.items() if old in raw.columns})
     if missing := [c for c in REQUIRED if c not in named.columns]:
         raise ValueError(f"bars lack the columns {missing}")
-    prices = [F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")]
+    prices = [finite(F.col(c).cast("double")).alias(c) for c in ("open", "high", "low", "close", "volume")]
     return named.select(F.col("ticker").cast("string").alias("ticker"), F.col("bar_ts").cast("timestamp_ntz").alias("bar_ts"), *prices)
 
 
 def positioned(bars: DataFrame) -> DataFrame:
-    """Adds ``i`` (from 0), ``n`` (bars of the instrument) and ``ticker_ord``."""
-    tickers = bars.groupBy("ticker").agg(F.count("*").alias("n"))
-    tickers = tickers.withColumn("ticker_ord", F.row_number().over(Window.orderBy("ticker")).cast("long"))
-    at = F.row_number().over(Window.partitionBy("ticker").orderBy("bar_ts")) - 1
-    return bars.join(tickers, "ticker").withColumn("i", at.cast("long"))
+    """Adds ``i`` (from 0) and ``n`` (bars of the instrument), in one shuffle by instrument."""
+    own = Window.partitionBy("ticker")
+    return bars.withColumns({"i": (F.row_number().over(own.orderBy("bar_ts")) - 1).cast("long"), "n": F.count("*").over(own)})
 
 
 def read_bars(spark: SparkSession, path: str, tickers: DataFrame | None = None, start: str | None = None, end: str | None = None, days: int | None = None) -> DataFrame:
@@ -48,18 +49,21 @@ def bars_from_events(events: DataFrame, every: str = "hour") -> DataFrame:
     """Bars of an event table: each event type is an instrument, its standardised log
     values are steps of a price walk, and every hour is a bar.
 
-    The walk is a running sum in two levels: within an hour, and over the totals of the
-    hours before, so no window holds more than an hour's events or a row per hour.
+    The walk is a running sum in two levels: within an hour, and over the hours before.
+    Mean, deviation and totals all come from one row per instrument and hour, so events are
+    read twice and no window holds more than an hour's events or a row per hour.
     """
-    value = F.log(1 + F.col("value"))
-    stats = events.groupBy("event_type").agg(F.avg(value).alias("mu"), F.stddev_pop(value).alias("sd"))
-    steps = events.select("event_type", "event_id", "ts", "value", F.date_trunc(every, "ts").cast("timestamp_ntz").alias("bar_ts")).join(stats, "event_type")
-    steps = steps.withColumn("step", 0.01 * ((value - F.col("mu")) / F.col("sd")))
-    hours = steps.groupBy("event_type", "bar_ts").agg(F.sum("step").alias("total"))
-    before = Window.partitionBy("event_type").orderBy("bar_ts").rowsBetween(Window.unboundedPreceding, -1)
-    hours = hours.select("event_type", "bar_ts", F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("level"))
+    ticks = events.select("event_type", "event_id", "ts", "value", F.log(1 + F.col("value")).alias("log"), F.date_trunc(every, "ts").cast("timestamp_ntz").alias("bar_ts"))
+    hours = ticks.groupBy("event_type", "bar_ts").agg(F.count("log").alias("n"), F.avg("log").alias("mean"), F.var_pop("log").alias("var"))
+    whole = Window.partitionBy("event_type")
+    hours = hours.withColumn("mu", F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole))
+    spread = F.col("n") * (F.col("var") + (F.col("mean") - F.col("mu")) * (F.col("mean") - F.col("mu")))
+    hours = hours.withColumn("sd", F.sqrt(F.sum(spread).over(whole) / F.sum("n").over(whole)))
+    step = lambda log: 0.01 * ((log - F.col("mu")) / F.col("sd"))
+    before = whole.orderBy("bar_ts").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("event_type", "bar_ts", "mu", "sd", F.coalesce(F.sum(F.col("n") * step(F.col("mean"))).over(before), F.lit(0.0)).alias("level"))
     inside = Window.partitionBy("event_type", "bar_ts").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    ticks = steps.join(hours, ["event_type", "bar_ts"]).withColumn("price", F.round(100 * F.exp(F.col("level") + F.sum("step").over(inside)), 2))
+    ticks = ticks.join(hours, ["event_type", "bar_ts"]).withColumn("price", F.round(100 * F.exp(F.col("level") + F.sum(step(F.col("log"))).over(inside)), 2))
     return bars_from_ticks(ticks, "price", F.struct("ts", "event_id"), "event_type")
 
 
