@@ -46,6 +46,30 @@ def daily_sections(title: str, cfg: StrategyConfig, selections: DataFrame, days:
     return days.select("date").distinct().join(lines, "date", "left").select("date", _section_text(title, cfg))
 
 
+#: Title of each daily scanner's section.
+SCANNERS = {"breakout": "Breakout: first close above 40 highs, recent MACD cross", "trend": "Trend: rising averages, moderate range, volume", "power": "Power: bullish bar on volume above 60 highs"}
+_STAGES = {"breakout": ("len_ok", "breakout_ok", "macd_ok", "final"), "trend": ("len_ok", "vol_ok", "ma_ok", "atr_ok", "final"), "power": ("len_ok", "vol_ok", "candle_ok", "breakout_ok", "final")}
+
+
+def scan_report(diagnosed: DataFrame, names: DataFrame | None = None, source: str = "bars", run_at: str | None = None) -> DataFrame:
+    """One row ``text``: the three scanners' hits on each instrument's last bar, a summary
+    and how many instruments reach each stage.  ``run_at`` is the time of the run, by
+    default now in the session's time zone."""
+    last = named(diagnosed.where(F.col("i") == F.col("n") - 1), names)
+    line = F.concat(F.lit("- "), "name", F.lit(" ("), "ticker", F.lit(") | "), F.format_number("close", 0))
+    hits = [F.array_sort(F.collect_list(F.when(F.col(f"{s}_final"), line))).alias(f"{s}_lines") for s in SCANNERS]
+    counts = [F.count_if(f"{s}_{x}").alias(f"{s}_{x}") for s, stages in _STAGES.items() for x in stages]
+    one = last.agg(*hits, *counts, F.count("*").alias("instruments"), F.date_format(F.max("bar_ts"), "yyyyMMdd").alias("latest"))
+    now = F.lit(run_at) if run_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss z")
+    section = lambda s: F.when(F.size(f"{s}_lines") > 0, F.concat(F.lit(f"[{SCANNERS[s]}]\n"), F.array_join(f"{s}_lines", "\n"), F.lit("\n\n"))).otherwise("")
+    nothing = F.when(F.greatest(*(F.size(f"{s}_lines") for s in SCANNERS)) == 0, "Nothing passed today.\n\n").otherwise("")
+    counted = lambda label, c: F.concat(F.lit(f"{label}="), F.col(c).cast("string"))
+    summary = F.concat_ws("\n", F.lit("[SUMMARY]"), counted("instruments", "instruments"), *(counted(s, f"{s}_final") for s in SCANNERS))
+    stages = [F.concat_ws("\n", F.lit(f"[DIAG - {s.title()}]"), *(counted(x, f"{s}_{x}") for x in xs)) for s, xs in _STAGES.items()]
+    head = F.concat(F.lit("Daily scan\n- run: "), now, F.lit(f"\n- instruments: {source}\n- data of: "), F.coalesce("latest", F.lit("N/A")), F.lit("\n\n"))
+    return one.select(F.concat(head, *(section(s) for s in SCANNERS), nothing, F.concat_ws("\n\n", summary, *stages)).alias("text"))
+
+
 def pick_messages(picks: DataFrame) -> DataFrame:
     """market, place, message: price, volume ratio, averages and a link of each pick."""
     dollars = F.col("market").isin("S&P500", "NASDAQ")
@@ -75,6 +99,30 @@ def split_message(text: str, most: int) -> list[str]:
     return [*out, current] if current else out
 
 
+def batch_items(items: list[str], most: int = 3000) -> list[str]:
+    """Items joined in order, each followed by a blank line; a batch ends before the item
+    that would take it above ``most`` characters."""
+    out, current = [], ""
+    for item in items:
+        if current and len(current) + len(item) > most:
+            out.append(current)
+            current = ""
+        current += item + "\n\n"
+    return [*out, current] if current else out
+
+
+def message_batches(items: DataFrame, most: int = 3000) -> DataFrame:
+    """ident, chunk, text for ``items(ident, place, message)``: a few picks per ident."""
+    lists = items.groupBy(F.col("ident").cast("string").alias("ident")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "message"))), lambda x: x["message"]).alias("items"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, k, part) for i, own in zip(b["ident"], b["items"], strict=True) for k, part in enumerate(batch_items(list(own), most))]
+            yield pd.DataFrame(rows, columns=["ident", "chunk", "text"])
+
+    return lists.mapInPandas(run, "ident string, chunk int, text string")
+
+
 def message_chunks(messages: DataFrame, most: int = 3500) -> DataFrame:
     """ident, chunk, text for ``messages(ident, text)``; null and empty texts give none."""
 

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import roll
+from barloom.operators import trades
+from barloom.operators.reports import named
+from barloom.sources.strategy import StrategyConfig, config_table
 
 #: Features and their conditions.
 FEATURES = {
@@ -55,8 +58,34 @@ def sample_rates(features: DataFrame) -> DataFrame:
     return features.where("valid").agg(F.count("*").alias("sample_count"), *rates)
 
 
-def analysis_document(features: DataFrame) -> DataFrame:
-    """The whole analysis as one JSON document (column ``json``)."""
-    lifts = feature_lift(features).groupBy("target").agg(F.sort_array(F.collect_list(F.struct("feature", "pos_rate_pct", "neg_rate_pct", "lift"))).alias("feature_lift"))  # 11 rows each
-    targets = lifts.agg(F.sort_array(F.collect_list(F.struct("target", "feature_lift"))).alias("targets"))
-    return sample_rates(features).crossJoin(targets).select(F.to_json(F.struct("*")).alias("json"))  # one row each
+#: Names of the targets in an analysis file.
+TARGET_NAMES = {"ret5_ge_8": "surge_5_8", "ret10_ge_12": "surge_10_12", "ret10_ge_15": "surge_10_15"}
+
+
+def analysis_document(features: DataFrame, validation: DataFrame | None = None) -> DataFrame:
+    """The whole analysis as one JSON document (column ``json``): sample_count, per target
+    its positive rate and the features' lifts in the order of FEATURES, and the strategy's
+    check (``validation``, one row)."""
+    lift = F.struct(F.array_position(F.array(*map(F.lit, FEATURES)), F.col("feature")).alias("order"), "feature", "pos_rate_pct", "neg_rate_pct", "lift")
+    per = feature_lift(features).groupBy("target").agg(F.sort_array(F.collect_list(lift)).alias("lifts"))  # 11 rows each
+    per = per.select("target", F.transform("lifts", lambda x: F.struct(x["feature"].alias("feature"), x["pos_rate_pct"].alias("pos_rate_pct"), x["neg_rate_pct"].alias("neg_rate_pct"), x["lift"].alias("lift"))).alias("lifts"))
+    lifts = per.agg(F.map_from_entries(F.collect_list(F.struct("target", "lifts"))).alias("lifts"))
+    one = sample_rates(features).crossJoin(lifts)  # one row each
+    targets = F.struct(*(F.struct(F.col(f"{t}_pct").alias("positive_rate_pct"), F.element_at("lifts", t).alias("feature_lift")).alias(name) for t, name in TARGET_NAMES.items()))
+    parts = [F.col("sample_count"), targets.alias("targets")]
+    if validation is not None:
+        one = one.crossJoin(validation.select(F.struct("*").alias("check")))
+        parts.append(F.col("check").alias("quant_surge_validation"))
+    return one.select(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def strategy_validation(frame: DataFrame, cfg: StrategyConfig, names: DataFrame | None = None) -> DataFrame:
+    """One row: the strategy, its summary (null without trades) and the names of the
+    instruments where it fires on the last bar."""
+    spark = frame.sparkSession
+    configs = config_table(spark, [cfg])
+    summary = trades.summarise(trades.evaluate_portfolio(trades.simulate(frame, [cfg])), configs).agg(F.first(F.struct(*trades.SUMMARY)).alias("backtest"))
+    # One day's signals.
+    live = named(trades.live_signals(frame, cfg), names).agg(F.sort_array(F.collect_list("name")).alias("live_candidates"))
+    strategy = configs.select(F.struct("entry_set", "stop_pct", "max_hold", "vol_mult", "entry", "macd_zero_filter", "market", "days", "fee_bp", "slip_bp", F.lit(cfg.score).cast("double").alias("score")).alias("strategy"))
+    return strategy.crossJoin(summary).crossJoin(live)  # one row each

@@ -138,10 +138,23 @@ def evaluate_portfolio(trades: DataFrame) -> DataFrame:
     return got.withColumn("profit_factor", _profit_factor()).withColumn("score", score()).drop("gross_profit", "gross_loss")
 
 
-def rank(evaluated: DataFrame, configs: DataFrame, min_trades: int = 8) -> DataFrame:
+#: The fields of a summary, and the decimals of those that are rounded.
+SUMMARY = ("market", "days", "entry_set", "entry", "macd_zero_filter", "vol_mult", "stop_pct", "max_hold", "fee_bp", "slip_bp", "active_tickers", "trade_count", "win_rate_pct", "avg_trade_return_pct", "cumulative_return_pct", "max_drawdown_pct", "profit_factor", "trailing_stop_count", "dead_cross_count", "max_hold_count", "score")
+DECIMALS = {"win_rate_pct": 2, "avg_trade_return_pct": 2, "cumulative_return_pct": 2, "max_drawdown_pct": 2, "profit_factor": 3, "score": 2}
+
+
+def summarise(evaluated: DataFrame, configs: DataFrame) -> DataFrame:
+    """config, grid_ord and the summary's fields of every configuration with trades."""
+    rows = configs.join(evaluated, "config")
+    shown = [(F.round(c, DECIMALS[c]) + F.lit(0.0)).alias(c) if c in DECIMALS else F.col(c) for c in SUMMARY]
+    return rows.select("config", "grid_ord", *shown)
+
+
+def rank(evaluated: DataFrame, configs: DataFrame | None = None, min_trades: int = 8) -> DataFrame:
     """Configurations with enough trades, best first: score, cumulative return and profit
     factor, missing values last, ties in the order of the grid."""
-    rows = configs.join(evaluated.where(F.col("trade_count") >= min_trades), "config")
+    rows = evaluated.where(F.col("trade_count") >= min_trades)
+    rows = rows if "grid_ord" in rows.columns else configs.join(rows, "config")
     return rows.orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("cumulative_return_pct"), F.desc_nulls_last("profit_factor"), "grid_ord")
 
 

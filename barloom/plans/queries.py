@@ -13,7 +13,7 @@ from barloom.operators.indicators import any_recent, indicator_frame, ma_cross,
 from barloom.operators.scanners import FLAGS, FUNNEL
 from barloom.plans import sql
 from barloom.sources import tickers
-from barloom.sources.bars import bars_from_events, event_bars
+from barloom.sources.bars import bars_from_events, event_bars, normalise, positioned
 from barloom.sources.strategy import QUANT, StrategyConfig, config_table, grid
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,13 +172,53 @@ def _message_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.message_chunks(_strategy_section(spark, sf_dir).select(F.concat(F.lit("quant "), "date").alias("ident"), "text"))
 
 
-def _pick_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = reports.named(_funnel(spark, sf_dir).where("funnel_volume_pass"), None).withColumn("market", F.lit("KOSPI"))
     return reports.pick_messages(scanners.top_picks(hit, "market"))
 
 
+def _pick_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.message_batches(_picks(spark, sf_dir).select(F.col("market").alias("ident"), "place", "message"))
+
+
 def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surge.analysis_document(_surge(spark, sf_dir))
+    frame = _frame(spark, sf_dir)
+    return surge.analysis_document(surge.feature_frame(frame), surge.strategy_validation(frame, QUANT))
+
+
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = trades.evaluate_portfolio(_simulated(spark, sf_dir))
+    done = done.withColumns({c: _r(c, 9) for c in trades.DECIMALS})  # ties of the last digit alike on any engine
+    return trades.summarise(done, config_table(spark, CONFIGS["next_open"])).drop("grid_ord")
+
+
+def _last_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = scanners.diagnose(_frame(spark, sf_dir))
+    last = flagged.where(F.col("i") == F.col("n") - 1)
+    return last.select("ticker", "i", "bar_ts", "close", *FLAGS)
+
+
+def _last_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule on every instrument's last bar, where the next open is not known."""
+    frame = _frame(spark, sf_dir)
+    fires = [F.when(F.col("n") >= trades.least_history(LIVE.max_hold), rule(p, VOL_MULT)).otherwise(False).alias(p) for p in PRESETS]
+    return frame.where(F.col("i") == F.col("n") - 1).select("ticker", "i", F.date_format("bar_ts", "yyyy-MM-dd").alias("date"), "close", *fires)
+
+
+def _nonfinite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over bars with planted NaN and infinite values."""
+    bars = event_bars(spark, sf_dir).withColumns({
+        "volume": F.when(F.col("i") % 23 == 7, float("nan")).otherwise(F.col("volume")),
+        "open": F.when(F.col("i") % 29 == 3, float("inf")).when(F.col("i") % 29 == 11, float("nan")).otherwise(F.col("open")),
+        "high": F.when(F.col("i") % 211 == 5, float("-inf")).otherwise(F.col("high")),
+    })
+    frame = indicator_frame(positioned(normalise(bars)))
+    fired = F.explode(F.array_compact(F.array(*(F.when(rule(p, VOL_MULT), F.lit(p)) for p in PRESETS))))
+    return frame.where(F.col("i") < F.col("n") - 2).select("ticker", "i", fired.alias("rule"))
+
+
+def _scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.scan_report(scanners.diagnose(_frame(spark, sf_dir)), source="events", run_at="2024-01-01 00:00:00 UTC")
 
 
 def _candle(bars: DataFrame) -> DataFrame:
@@ -235,5 +275,11 @@ QUERIES: dict[str, Query] = {
     "selection_log": _selection_log,
     "strategy_section": _strategy_section,
     "message_chunks": _message_chunks,
-    "pick_messages": _pick_messages,
+    "pick_messages": _picks,
+    "pick_batches": _pick_batches,
+    "strategy_summary": _summary,
+    "scan_last_bar": _last_hits,
+    "rules_last_bar": _last_signals,
+    "preset_nonfinite": _nonfinite,
+    "scan_report": _scan_report,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from barloom.functions.rules import NEEDS_CROSS, PRESETS, rule_sql
 from barloom.operators.scanners import FLAGS, FUNNEL
 from barloom.operators.surge import FEATURES, TARGETS, VALID
-from barloom.sources.strategy import StrategyConfig
+from barloom.sources.strategy import QUANT, StrategyConfig
 
 BARS = """
 st AS (SELECT event_type, event_id, ts, value, avg(ln(1+value)) OVER (PARTITION BY event_type) AS mu, stddev_pop(ln(1+value)) OVER (PARTITION BY event_type) AS sd FROM events),
@@ -174,6 +174,34 @@ def indicator_queries() -> dict[str, str]:
     }
 
 
+def reports_sql(quant: StrategyConfig, cfgs: list[StrategyConfig]) -> dict[str, str]:
+    """Texts and tables of the reports."""
+    head = f"[Quant] {quant.entry_set}\nentry={quant.entry} stop={quant.stop_pct} hold={quant.max_hold} vol={quant.vol_mult}\n\n"
+    fires = f"n >= {max(35, quant.max_hold + 2)} AND {rule_sql(quant.entry_set, quant.vol_mult)}"
+    sections = f"""WITH {FRAME}, q AS (SELECT strftime(bar_ts, '%Y-%m-%d') AS date, CASE WHEN {fires} THEN format('{{}} ({{}}) close={{:.0f}}', ticker, ticker, round(close)) END AS line FROM ind),
+s AS (SELECT date, '{head}' || coalesce(string_agg(line, '\n' ORDER BY line), 'No signal today.') AS text FROM q GROUP BY date)"""
+    money = lambda x: f"format('{{:,}}', CAST({x} AS BIGINT))"
+    picks = f"""WITH {FRAME}{FUN}, p AS (SELECT *, row_number() OVER (ORDER BY vol_ratio DESC, ticker_ord, i) AS place FROM fun WHERE funnel_volume_pass QUALIFY place <= 5),
+m AS (SELECT 'KOSPI' AS market, CAST(place AS INTEGER) AS place, concat_ws('\n', ticker || ' (' || ticker || ')', {money('round(close)')} || '원', format('x{{:.1f}} / RSI {{:.0f}}', round(vol_ratio, 1), round(rsi_legacy)), {money('floor(ma60)')} || ' / ' || {money('floor(ma20)')}, 'https://m.stock.naver.com/domestic/stock/' || ticker || '/total') AS message FROM p)"""
+    axes = {"entry_set": [c.entry_set for c in cfgs], "stop_pct": [c.stop_pct for c in cfgs], "max_hold": [c.max_hold for c in cfgs], "vol_mult": [c.vol_mult for c in cfgs], "entry": [c.entry for c in cfgs], "zero": [c.macd_zero_filter for c in cfgs]}
+    lists = {k: list(dict.fromkeys(v)) for k, v in axes.items()}
+    text = lambda v: f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else repr(v)
+    tables = " CROSS JOIN ".join(f"(VALUES {', '.join(f'({text(v)}, {k})' for k, v in enumerate(vs))}) AS t_{name}({name}, {name}_ord)" for name, vs in lists.items())
+    place = "0"
+    for name, vs in lists.items():
+        place = f"({place} * {len(vs)} + {name}_ord)"
+    grid = f"""SELECT format('{{}}|stop={{:g}}|hold={{}}|vol={{:g}}|{{}}|zero={{}}', entry_set, stop_pct::DOUBLE, max_hold, vol_mult::DOUBLE, entry, zero::INT) AS config, CAST({place} AS BIGINT) AS grid_ord, entry_set, stop_pct::DOUBLE AS stop_pct, max_hold, vol_mult::DOUBLE AS vol_mult, entry, zero AS macd_zero_filter,
+ '{cfgs[0].market}' AS market, {cfgs[0].days} AS days, {cfgs[0].fee_bp}::DOUBLE AS fee_bp, {cfgs[0].slip_bp}::DOUBLE AS slip_bp FROM {tables}"""
+    return {
+        "strategy_section": sections + " SELECT date, text FROM s",
+        # No section of these tables is longer than a message.
+        "message_chunks": sections + " SELECT 'quant ' || date AS ident, 0 AS chunk, text FROM s WHERE length(text) <= 3500",
+        "pick_messages": picks + " SELECT market, place, message FROM m",
+        "pick_batches": picks + " SELECT market AS ident, 0 AS chunk, string_agg(message || '\n\n', '' ORDER BY place) AS text FROM m GROUP BY market HAVING sum(length(message) + 2) <= 3000",
+        "grid_configs": grid,
+    }
+
+
 def oracle(configs: dict[str, list[StrategyConfig]], vol_mult: float, live: StrategyConfig, min_trades: int) -> dict[str, str]:
     out = indicator_queries() | {f"preset_{p}": preset(p, vol_mult) for p in PRESETS}
     assert NEEDS_CROSS <= set(PRESETS)
@@ -187,6 +215,18 @@ def oracle(configs: dict[str, list[StrategyConfig]], vol_mult: float, live: Stra
     fires = f"n >= {max(35, live.max_hold + 2)} AND {rule_sql(live.entry_set, live.vol_mult)}"
     out["live_signals"] = select({**_AT, "date": "strftime(bar_ts, '%Y-%m-%d')", "close": "close"}, fires)
     out["selection_log"] = select({"date": "strftime(bar_ts, '%Y-%m-%d')", "ticker": "ticker", "method": "'breakout'", "close": "format('{:.2f}', close)"}, "breakout_final", "diag", DIAG)
+    names = ", ".join(f"('{c.name}', '{c.market}', {c.days}, '{c.entry_set}', '{c.entry}', {str(c.macd_zero_filter).lower()}, {float(c.vol_mult)}::DOUBLE, {float(c.stop_pct)}::DOUBLE, {c.max_hold}, {float(c.fee_bp)}::DOUBLE, {float(c.slip_bp)}::DOUBLE)" for c in full)
+    shown = ", ".join(f"round(round({c}, 9), {k}) + 0.0 AS {c}" for c, k in (("win_rate_pct", 2), ("avg_trade_return_pct", 2), ("cumulative_return_pct", 2), ("max_drawdown_pct", 2), ("profit_factor", 3)))
+    out["strategy_summary"] = f"""WITH {FRAME}{trades(full)}{_curve('config', 'ticker_ord, i')}, m AS (SELECT config, count(DISTINCT ticker) AS active_tickers, {_METRICS} FROM c2 GROUP BY config),
+p(config, market, days, entry_set, entry, macd_zero_filter, vol_mult, stop_pct, max_hold, fee_bp, slip_bp) AS (VALUES {names})
+SELECT p.*, active_tickers, trade_count, trailing_stop_count, dead_cross_count, max_hold_count, {shown}, round(round({_SCORE}, 9), 2) + 0.0 AS score FROM m JOIN p USING (config)"""
+    out["scan_last_bar"] = select(["ticker", "i", "bar_ts", "close", *FLAGS], "i = n - 1", "diag", DIAG)
+    out["rules_last_bar"] = select({**_AT, "date": "strftime(bar_ts, '%Y-%m-%d')", "close": "close"} | {p: f"n >= {max(35, live.max_hold + 2)} AND {rule_sql(p, vol_mult)}" for p in PRESETS}, "i = n - 1")
+    planted = BARS.replace("bars AS (", "whole AS (") + """,
+bars AS (SELECT * REPLACE (CASE WHEN i % 23 = 7 THEN NULL ELSE volume END AS volume, CASE WHEN i % 29 IN (3, 11) THEN NULL ELSE open END AS open, CASE WHEN i % 211 = 5 THEN NULL ELSE high END AS high) FROM whole)"""
+    fired = " UNION ALL ".join(f"SELECT ticker, i, '{p}' AS rule FROM ind WHERE i < n - 2 AND {rule_sql(p, vol_mult)}" for p in PRESETS)
+    out["preset_nonfinite"] = f"WITH {FRAME.replace(BARS, planted)} {fired}"
+    out |= reports_sql(QUANT, configs["grid"])
     out["surge_labels"] = select(["ticker", "i", *TARGETS, "valid"], source="sf", more=_SURGE)
     out["surge_feature_frame"] = select(["ticker", "i", *FEATURES, "valid"], source="sf", more=_SURGE)
     out["surge_feature_lift"] = _lift()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import logging
 from collections.abc import Callable
 from pathlib import Path
@@ -15,9 +16,15 @@ def write_ranking(ranking: DataFrame, path: str) -> None:
     ranking.write.mode("overwrite").option("header", True).csv(path)
 
 
-def export_ranking(ranking: DataFrame, path: str, top_n: int = 1000) -> None:
-    """The first rows as one CSV file with a byte-order mark, for spreadsheets."""
-    ranking.limit(top_n).toPandas().to_csv(path, index=False, encoding="utf-8-sig")
+def export_ranking(ranking: DataFrame, path: str) -> None:
+    """All rows as one CSV file with a byte-order mark, for spreadsheets.
+
+    Rows arrive one partition at a time; there are as many as the grid was given.
+    """
+    with open(path, "w", encoding="utf-8-sig", newline="") as out:
+        writer = csv.writer(out)
+        writer.writerow(ranking.columns)
+        writer.writerows(ranking.toLocalIterator())
 
 
 def best_strategy(ranking: DataFrame) -> DataFrame:

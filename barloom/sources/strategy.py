@@ -90,8 +90,8 @@ def grid(**values: list) -> Iterator[StrategyConfig]:
 
 def config_table(spark: SparkSession, configs: list[StrategyConfig]) -> DataFrame:
     """config, grid_ord and the parameters of each configuration."""
-    rows = [(c.name, k, c.entry_set, float(c.stop_pct), c.max_hold, float(c.vol_mult), c.entry, c.macd_zero_filter) for k, c in enumerate(configs)]
-    return spark.createDataFrame(rows, "config string, grid_ord long, entry_set string, stop_pct double, max_hold int, vol_mult double, entry string, macd_zero_filter boolean")
+    rows = [(c.name, k, c.entry_set, float(c.stop_pct), c.max_hold, float(c.vol_mult), c.entry, c.macd_zero_filter, c.market, c.days, float(c.fee_bp), float(c.slip_bp)) for k, c in enumerate(configs)]
+    return spark.createDataFrame(rows, "config string, grid_ord long, entry_set string, stop_pct double, max_hold int, vol_mult double, entry string, macd_zero_filter boolean, market string, days int, fee_bp double, slip_bp double")
 
 
 def to_json(cfg: StrategyConfig) -> str:

@@ -53,6 +53,15 @@ def members_as_of(membership: DataFrame, asof: str, back_days: int = 14) -> Data
     return near.join(F.broadcast(near.agg(F.max("date").alias("date"))), "date")  # one row
 
 
+def resolve(membership: DataFrame, asof: str, fallback: DataFrame | None = None, limit: int | None = None, back_days: int = 14) -> DataFrame:
+    """date, ticker, ord: members as of a date; where no date has any, those of a ticker
+    file (``strict_tickers``), dated by the earliest day that was looked at."""
+    found = members_as_of(membership, asof, back_days).select("date", "ticker", F.col("ord").cast("long").alias("ord"))
+    if fallback is not None and not found.take(1):
+        found = fallback.select(F.date_sub(F.lit(asof).cast("date"), back_days).alias("date"), "ticker", "ord")
+    return found if limit is None else found.orderBy("ord", "ticker").limit(limit)
+
+
 def listing(listings: DataFrame, limits: dict[str, int]) -> DataFrame:
     """The first rows of each market by ``ord``; markets without a limit stay whole."""
     place = F.row_number().over(Window.partitionBy("market").orderBy("ord"))
