@@ -42,7 +42,9 @@ BLOCK_BYTES = 16 << 20
 #: Sets whose sizes differ by more than this factor (over 4/3) cannot link.
 BAND = 1.34
 #: Bytes of text per part of the count: a part's shingles are about as large.
-PART_BYTES = 6 << 20
+PART_BYTES = 16 << 20
+#: Slices of a part's hashes that are sorted one after the other.
+SLICES = 8
 
 
 def shingle_sets(texts: pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
@@ -139,11 +141,10 @@ def _fitting(token: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _unpacked(rows: pa.Table, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token, key and size of everything shipped to a range."""
+    """Tokens, runs and the run of each token, of everything shipped to a part."""
     runs = np.concatenate([np.zeros(0, _RUN), *(np.frombuffer(x, _RUN) for x in rows.column("runs").to_pylist())])
     tokens = np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in rows.column("tokens").to_pylist())])
-    at = np.repeat(np.arange(len(runs)), runs["count"])
-    return tokens, runs["key"][at], runs["n"][at]
+    return tokens, runs, np.repeat(np.arange(len(runs), dtype=np.int32), runs["count"])
 
 
 _COUNTED = "doc_id long, text_hash long, n long, k1 long, k2 long, found long, heavy binary"
@@ -152,16 +153,21 @@ _COUNTED = "doc_id long, text_hash long, n long, k1 long, k2 long, found long, h
 def _count(heavy: int):
     def run(rows: pa.Table) -> pa.Table:
         docs = np.concatenate([np.zeros(0, _DOC), *(np.frombuffer(x, _DOC) for x in rows.column("docs").to_pylist())])
-        token, key, size = _unpacked(rows, "<u4")
-        order = np.lexsort((key, size, token))
-        token, key, size = token[order], key[order], size[order]
-        same = np.zeros(len(token), bool)  # a set that several batches shipped
-        same[1:] = (token[1:] == token[:-1]) & (key[1:] == key[:-1]) & (size[1:] == size[:-1])
-        token, key, size = token[~same], key[~same], size[~same]
-        fits = _fitting(token, size)
-        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, int)
-        often = np.repeat(np.diff(np.r_[first, len(token)]), np.diff(np.r_[first, len(token)])) >= heavy
-        token, key, size, often = token[fits], key[fits], size[fits], often[fits]
+        tokens, runs, of = _unpacked(rows, "<u4")
+        parts = []
+        for k in range(SLICES):
+            at = np.flatnonzero(tokens % SLICES == k)
+            token, key, size = tokens[at], runs["key"][of[at]], runs["n"][of[at]]
+            order = np.lexsort((key, size, token))
+            token, key, size = token[order], key[order], size[order]
+            same = np.zeros(len(token), bool)  # a set that several batches shipped
+            same[1:] = (token[1:] == token[:-1]) & (key[1:] == key[:-1]) & (size[1:] == size[:-1])
+            token, key, size = token[~same], key[~same], size[~same]
+            fits = _fitting(token, size)
+            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, int)
+            often = np.repeat(np.diff(np.r_[first, len(token)]), np.diff(np.r_[first, len(token)])) >= heavy
+            parts.append((token[fits], key[fits], size[fits], often[fits]))
+        token, key, size, often = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((token, size, key))
         token, key, size, often = token[order], key[order], size[order], often[order]
         start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (size[1:] != size[:-1])]) if len(key) else np.zeros(0, int)
@@ -228,7 +234,8 @@ def _ship_prefixes(n_parts: int):
 
 def _edges(rows: pa.Table) -> pa.Table:
     """Sets of fitting sizes that follow each other under a shingle, as few as connect them."""
-    token, key, size = _unpacked(rows, "<u8")
+    token, runs, of = _unpacked(rows, "<u8")
+    key, size = runs["key"][of], runs["n"][of]
     order = np.lexsort((key, size, token))
     token, key, size = token[order], key[order], size[order].astype(np.int64)
     fits = (token[1:] == token[:-1]) & (4 * size[:-1] >= 3 * size[1:]) & (key[1:] != key[:-1])
