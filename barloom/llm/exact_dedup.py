@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import SPACE_CLASS, keep_rows, partitions, small_side, text_or_empty, written
+from barloom.llm.common import BROADCAST_ROWS, SPACE_CLASS, keep_rows, partitions, small_side, text_or_empty, written
 from barloom.llm.textarrays import buffer_of
 
 PRIMES = (2147483647, 2147483629)
@@ -151,11 +151,16 @@ def exact_duplicates(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, members_pe
     named = [F.col(c).alias(f"g_{c}") for c in key]
     members = entries.join(multi.select(*named, "first_id", "first_sha", "n_salts"), [F.col(c) == F.col(f"g_{c}") for c in key]).select("doc_id", "text_sha256", *key, "copies", "first_id", "first_sha", F.pmod(F.xxhash64("doc_id", "text_sha256"), "n_salts").cast("int").alias("salt"), "n_salts")
     members = written(members)
-    texts = normalised(docs).withColumn("sha", F.sha2(F.encode("norm", "UTF-8"), 256))
     wanted = members.select(F.col("doc_id").alias("m_id"), F.col("text_sha256").alias("m_sha"), *key, "salt", "n_salts", (F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_sha256") == F.col("first_sha"))).alias("is_first"))
-    wanted = small_side(written(wanted))
+    wanted = written(wanted)
+    some = docs
+    if wanted.count() <= BROADCAST_ROWS:  # few enough to leave other texts where they are, unread
+        ids = F.broadcast(wanted.select("m_id").distinct())
+        some = docs.join(ids, docs["doc_id"].eqNullSafe(ids["m_id"]), "left_semi")
+    texts = normalised(some).withColumn("sha", F.sha2(F.encode("norm", "UTF-8"), 256))
+    wanted = small_side(wanted)
     text_of = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["m_id"]) & (texts["sha"] == wanted["m_sha"]))
-    chunk_rows = _chunks(text_of, chunk_chars, "m_id", "m_sha", *key, "salt", "n_salts", "is_first")
+    chunk_rows = written(_chunks(text_of, chunk_chars, "m_id", "m_sha", *key, "salt", "n_salts", "is_first"))
     theirs = chunk_rows.where(~F.col("is_first"))
     firsts = chunk_rows.where("is_first").dropDuplicates([*key, "chunk_no"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)))
     firsts = firsts.select(*named, F.col("salt").alias("g_salt"), F.col("chunk_no").alias("g_chunk_no"), F.col("chunk").alias("g_chunk"))
