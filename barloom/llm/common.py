@@ -123,19 +123,15 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Parts that a task has on average: some more and some fewer even out.
-PARTS_PER_TASK = 4
-
-
 def count_parts(spark: SparkSession, total: int, part_bytes: int) -> int:
     """Parts of ``part_bytes``, so that a part is as large at any size of the input."""
     return max(partitions(spark), -(-total // part_bytes))
 
 
 def by_part(shipped: DataFrame, n_parts: int) -> GroupedData:
-    """Rows grouped by ``part``, in tasks of a few parts each."""
-    tasks = max(partitions(shipped.sparkSession), n_parts // PARTS_PER_TASK)
-    return shipped.repartition(tasks, "part").groupBy("part")
+    """Rows grouped by ``part``, a number below ``n_parts``: every part is a task of its
+    own, where a hash of the number would give some tasks several parts by chance."""
+    return shipped.repartitionById(n_parts, F.col("part")).groupBy("part")
 
 
 def ranged(df: DataFrame, *order: str) -> DataFrame:
