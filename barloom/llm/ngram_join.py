@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import by_part, count_parts, join_hubs, keep_rows, written
 from barloom.llm.components import components
-from barloom.llm.textarrays import LOWER, buffer_of, mix, prefix_sums, shingle_hashes, slices, span_hashes, words
+from barloom.llm.textarrays import LOWER, Key, buffer_of, draw_key, mix, prefix_sums, shingle_hashes, slices, span_hashes, words
 
 WORDS = 5
 #: Linked: DEN * intersection >= NUM * (size + size), which is 3/4 of the union.
@@ -47,13 +47,13 @@ PART_BYTES = 16 << 20
 SLICES = 8
 
 
-def shingle_sets(texts: pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, key: Key, n: int = WORDS) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     buf, offsets = buffer_of(texts)
     for i, j in slices(offsets):
         part, off = LOWER[buf[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
         start, end, doc = words(part, off)
-        h, owner = shingle_hashes(span_hashes(prefix_sums(part), start, end), doc, j - i, n)
+        h, owner = shingle_hashes(span_hashes(prefix_sums(part, key), start, end, key), doc, j - i, n)
         if len(owner) and (np.diff(owner) < 0).any():
             order = np.argsort(owner, kind="stable")
             h, owner = h[order], owner[order]
@@ -107,14 +107,14 @@ def _deal(keys: list[tuple[int, int]], sets: list[np.ndarray], n_parts: int, kin
         yield p, runs.tobytes(), tokens[lo:hi].astype(kind).tobytes()
 
 
-def _ship(n_parts: int, n: int):
+def _ship(n_parts: int, n: int, key: Key):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: dict[tuple[int, int, int], np.ndarray] = {}
             docs = np.zeros(b.num_rows, _DOC)
             ids = b.column("doc_id")
             docs["id"], docs["null"], docs["text"] = ids.fill_null(0).to_numpy(), np.asarray(ids.is_null()), b.column("text_hash").to_numpy()
-            for k, s in enumerate(shingle_sets(b.column("text"), n)):
+            for k, s in enumerate(shingle_sets(b.column("text"), key, n)):
                 k1, k2 = set_key(s)
                 docs["n"][k], docs["k1"][k], docs["k2"][k] = len(s), k1, k2
                 if len(s):
@@ -209,11 +209,11 @@ def prefix_length(n: int) -> int:
 _SET = "cid long, n long, copies long, shingles binary"
 
 
-def _ordered_sets(n_parts: int, n: int):
+def _ordered_sets(n_parts: int, n: int, key: Key):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             want, heavy = zip(b.column("k1").to_pylist(), b.column("n").to_pylist(), strict=True), b.column("heavy").to_pylist()
-            rows = [(k, _order(s, heavy[k], n_parts)) for k, (s, w) in enumerate(zip(shingle_sets(b.column("text"), n), want, strict=True)) if (set_key(s)[0], len(s)) == w]
+            rows = [(k, _order(s, heavy[k], n_parts)) for k, (s, w) in enumerate(zip(shingle_sets(b.column("text"), key, n), want, strict=True)) if (set_key(s)[0], len(s)) == w]
             at = pa.array([k for k, _ in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("cid").take(at), b.column("n").take(at), b.column("copies").take(at), pa.array([s.astype("<u8").tobytes() for _, s in rows], pa.binary())], names=["cid", "n", "copies", "shingles"])
 
@@ -421,11 +421,11 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, heavy: int = HEAVY, block:
     the row that stands for its component.  Texts may be of any length; an empty table gives
     no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
+    spark, key = docs.sparkSession, draw_key()
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = count_parts(spark, total, PART_BYTES)
-    shipped = texts.mapInArrow(_ship(n_parts, n), _SHIPPED)
+    shipped = texts.mapInArrow(_ship(n_parts, n, key), _SHIPPED)
     counted = written(by_part(shipped, n_parts).applyInArrow(_count(heavy), _COUNTED))
     rows = counted.where("found is null").select("doc_id", "text_hash", "n", "k1", "k2")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
@@ -434,7 +434,7 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, heavy: int = HEAVY, block:
     active = counted.where("found is not null").groupBy("k1", "n").agg(F.sum("found").alias("found"), F.collect_list("heavy").alias("heavy")).where("4 * found >= 3 * n").drop("found")
     wanted = classes.join(active, ["k1", "n"]).select("cid", "k1", "n", "copies", "heavy", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
     chosen = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["first_id"]) & (texts["text_hash"] == wanted["first_hash"])).drop("doc_id", "text_hash", "first_id", "first_hash")
-    sets = written(chosen.mapInArrow(_ordered_sets(n_parts, n), _SET).dropDuplicates(["cid"]))
+    sets = written(chosen.mapInArrow(_ordered_sets(n_parts, n, key), _SET).dropDuplicates(["cid"]))
     near = components(by_part(sets.mapInArrow(_ship_prefixes(n_parts), _SHIPPED), n_parts).applyInArrow(_edges, "a long, b long"))
     dealt = _blocks(near, sets, block)
     walked = written(dealt.groupBy("root", "band", "pair", "i", "j").applyInArrow(_walk_group, "cid long, root long, links long"))

@@ -5,7 +5,7 @@ A byte goes when a string of ``length`` bytes that covers it also starts earlier
 1.  A cover picks sample positions.  It is set by content (the least hash of ``GRAM`` bytes
     in a window of ``length`` bytes), so two equal windows have their sample at the same
     distance from the start, wherever they stand.
-2.  Samples get names, two hashes of the sample and of its context, the context being all
+2.  Samples get names, hashes of the sample and of its context, the context being all
     windows that hang on it.  Windows whose samples have one name are tied, and the first
     of them is kept, without a look at the bytes.
 3.  Only windows whose sample occurs in several contexts go on.  They are dealt to buckets
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import by_part, count_parts, written
-from barloom.llm.textarrays import buffer_of, gram_hashes, mix, pieces, prefix_sums, slices, span_hashes
+from barloom.llm.textarrays import Key, buffer_of, draw_key, gram_hashes, mix, pieces, prefix_sums, slices, span_hashes
 
 LENGTH = 100
 GRAM = 32
@@ -73,14 +73,14 @@ def _unpacked(blobs: list[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in parts]
 
 
-def cover(part: np.ndarray, off: np.ndarray, length: int, gram: int):
+def cover(part: np.ndarray, off: np.ndarray, length: int, gram: int, key: Key):
     """First and last window of each sample, the sample's hash, and that of its context."""
     n = len(part)
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    sums = prefix_sums(part)
-    grams = gram_hashes(sums, gram)
+    sums = prefix_sums(part, key)
+    grams = gram_hashes(sums, gram, key)
     least = grams >> np.uint64(32) << np.uint64(32) | np.arange(len(grams), dtype=np.uint64)
     wide, size = length - gram + 1, 1
     while size * 2 <= wide:
@@ -99,7 +99,7 @@ def cover(part: np.ndarray, off: np.ndarray, length: int, gram: int):
     lo, hi = at[new], at[np.r_[np.flatnonzero(new)[1:] - 1, len(at) - 1]]
     sample = sample[new]
     shape = (sample - lo).astype(np.uint64) << np.uint64(32) | (hi - lo).astype(np.uint64)
-    return lo, hi, span_hashes(sums, sample, sample + gram), mix(span_hashes(sums, lo, hi + length) ^ shape)
+    return lo, hi, span_hashes(sums, sample, sample + gram, key), mix(span_hashes(sums, lo, hi + length, key) ^ shape)
 
 
 def _first(row, high, low, start) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,7 +174,7 @@ def _gathered(table: pa.Table) -> pa.Table:
     return pa.table({"c_id": ids, "c_hash": hashes, "covered": pa.array([covered.get(r) for r in rows], pa.binary()), "asked": pa.array([asked.get(r) for r in rows], pa.binary())})
 
 
-def _ship_samples(n_parts: int, length: int, gram: int):
+def _ship_samples(n_parts: int, length: int, gram: int, key: Key):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (piece for batch in batches for piece in pieces(batch)):
             rows = _identity(b)
@@ -182,7 +182,7 @@ def _ship_samples(n_parts: int, length: int, gram: int):
             parts = []
             for i, j in slices(offsets):
                 off = offsets[i : j + 1] - offsets[i]
-                lo, hi, sample, context = cover(buf[offsets[i] : offsets[j]], off, length, gram)
+                lo, hi, sample, context = cover(buf[offsets[i] : offsets[j]], off, length, gram, key)
                 doc = np.searchsorted(off, lo, "right") - 1
                 parts.append((doc + i, sample, context, lo - off[doc], hi - lo))
             if not parts:
@@ -251,7 +251,7 @@ def _sorted_bucket(length: int, kinds: tuple[str, ...], n_parts: int, ask: bool)
     return run
 
 
-def _ship_suffixes(n_parts: int, length: int):
+def _ship_suffixes(n_parts: int, length: int, key: Key):
     """The asked windows of each text, as leading bytes and the rank of the whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +266,7 @@ def _ship_suffixes(n_parts: int, length: int):
                 lead = np.zeros(len(at), np.uint64)
                 for i in range(min(4, length)):
                     lead = lead << np.uint64(8) | part[at + i].astype(np.uint64)
-                parts.append((np.full(len(at), k), lead, span_hashes(prefix_sums(part), at, at + length), at))
+                parts.append((np.full(len(at), k), lead, span_hashes(prefix_sums(part, key), at, at + length, key), at))
             if not parts:
                 continue
             owner, lead, rank, start = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -317,18 +317,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     Null and empty texts, and texts shorter than ``length`` bytes, lose nothing.  Texts may
     be of any length below 4 GB.  Other columns are ignored; an empty table gives no rows.
     """
-    spark, gram = docs.sparkSession, min(gram, length)
+    spark, gram, key = docs.sparkSession, min(gram, length), draw_key()
     # Rows are known by what they hold, not by a number that another scan may give anew.
     texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     sizes = written(texts.groupBy(F.col("doc_id").alias("d_id"), F.col("hash").alias("d_hash")).agg(F.count("*").alias("copies"), F.sum(F.octet_length("text")).alias("bytes")))
     n_parts = count_parts(spark, sizes.agg(F.sum("bytes")).first()[0] or 0, PART_BYTES)
     row_spans = "c_id long, c_hash long, covered binary, asked binary"
-    samples = texts.mapInArrow(_ship_samples(n_parts, length, gram), _SHIPPED)
+    samples = texts.mapInArrow(_ship_samples(n_parts, length, gram, key), _SHIPPED)
     ranked = by_part(samples, n_parts).applyInArrow(_sorted_bucket(length, _SAMPLE, n_parts, True), _FOUND)
     found = written(by_part(ranked, n_parts).applyInArrow(_gathered, row_spans))
     this_row = texts["doc_id"].eqNullSafe(F.col("c_id")) & (texts["hash"] == F.col("c_hash"))
     asked = found.where("asked is not null").select("c_id", "c_hash", "asked")
-    suffixes = texts.join(asked, this_row).select("doc_id", "text", "hash", "asked").mapInArrow(_ship_suffixes(n_parts, length), _SHIPPED)
+    suffixes = texts.join(asked, this_row).select("doc_id", "text", "hash", "asked").mapInArrow(_ship_suffixes(n_parts, length, key), _SHIPPED)
     more = by_part(suffixes, n_parts).applyInArrow(_sorted_bucket(length, _SUFFIX, n_parts, False), _FOUND)
     more = by_part(more, n_parts).applyInArrow(_gathered, row_spans)
     both = found.unionByName(more).where("covered is not null")

@@ -4,18 +4,24 @@ A batch of texts is one ``uint8`` array and the offsets of its texts, so words,
 hashes and window hashes of all texts come from a few array operations.  A span's hash is
 a pair of polynomials modulo two 31-bit primes, followed by a mixing step.  (Modulo a power
 of two, any base gives the Thue-Morse word and its complement one hash.)
+
+The bases and the salt are a key that every run draws anew, so texts cannot be made to
+collide: two different spans of n bytes have one hash in a share of at most (n / 2**31)**2
+of all keys, whatever the spans are.
 """
 
 from __future__ import annotations
 
+import secrets
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 _SALT = 0x9E3779B97F4A7C15
 _PRIMES = (2147483647, 2147483629)
-_BASES = (1103515245, 69069069)
-_tables: dict[tuple[int, bool], np.ndarray] = {}
+_tables: dict[tuple[int, int, bool], np.ndarray] = {}
 #: Values of a sum whose terms are below 2**39.
 _UNREDUCED = 1 << 24
 
@@ -29,19 +35,33 @@ SLICE_BYTES = 1 << 20
 PIECE_BYTES = 1 << 23
 
 
-def _powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
+@dataclass(frozen=True)
+class Key:
+    """What hashes of one run depend on: a base per prime, and a salt."""
+
+    bases: tuple[int, int]
+    salt: int
+
+
+def draw_key() -> Key:
+    return Key(tuple(2 + secrets.randbelow(p - 3) for p in _PRIMES), secrets.randbits(64))
+
+
+def _powers(key: Key, which: int, n: int, inverse: bool = False) -> np.ndarray:
     """base**k (or base**-k) modulo a prime for k < n, kept and extended as longer texts come."""
-    t = _tables.get((which, inverse))
+    t = _tables.get((which, key.bases[which], inverse))
     if t is None or len(t) < n:
         prime = _PRIMES[which]
-        base = pow(_BASES[which], -1, prime) if inverse else _BASES[which]
+        base = pow(key.bases[which], -1, prime) if inverse else key.bases[which]
+        if len(_tables) >= 8:  # those of earlier runs in a worker that is used again
+            _tables.clear()
         t = np.ones(max(n, SLICE_BYTES + 1), np.uint64)
         have = 1
         while have < len(t):  # base**(have + k) = base**have * base**k
             more = min(have, len(t) - have)
             t[have : have + more] = t[:more] * np.uint64(pow(base, have, prime)) % np.uint64(prime)
             have += more
-        _tables[which, inverse] = t
+        _tables[which, key.bases[which], inverse] = t
     return t
 
 
@@ -102,12 +122,12 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def prefix_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def prefix_sums(values: np.ndarray, key: Key) -> tuple[np.ndarray, np.ndarray]:
     """Per prime P with P[e] - P[s] = sum of (values[k] + 1) * base**k for s <= k < e, not
     reduced: the differences fit into 64 bits."""
     out = []
     for which, prime in enumerate(_PRIMES):
-        terms = (values.astype(np.uint64) + np.uint64(1)) * _powers(which, len(values))[: len(values)]
+        terms = (values.astype(np.uint64) + np.uint64(1)) * _powers(key, which, len(values))[: len(values)]
         if len(values) > _UNREDUCED:
             terms %= np.uint64(prime)
         sums = np.zeros(len(values) + 1, np.uint64)
@@ -116,20 +136,21 @@ def prefix_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(out)
 
 
-def gram_hashes(sums: tuple[np.ndarray, np.ndarray], gram: int) -> np.ndarray:
+def gram_hashes(sums: tuple[np.ndarray, np.ndarray], gram: int, key: Key) -> np.ndarray:
     """A cheaper hash, of one polynomial, of the ``gram`` bytes at every place: enough to
     choose places by."""
     p, n = np.uint64(_PRIMES[0]), len(sums[0])
-    return mix((sums[0][gram:] - sums[0][:-gram]) % p * _powers(0, n, True)[: n - gram] % p + np.uint64(_SALT))
+    return mix((sums[0][gram:] - sums[0][:-gram]) % p * _powers(key, 0, n, True)[: n - gram] % p + np.uint64(_SALT))
 
 
-def span_hashes(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray, key: Key) -> np.ndarray:
     """A hash of each span, the same wherever the span stands."""
     parts = []
     for which, prime in enumerate(_PRIMES):
         p = np.uint64(prime)
-        parts.append((sums[which][end] - sums[which][start]) % p * _powers(which, len(sums[which]), True)[start] % p)
-    return mix((parts[0] << np.uint64(32) | parts[1]) + np.uint64(_SALT) * (end - start).astype(np.uint64))
+        parts.append((sums[which][end] - sums[which][start]) % p * _powers(key, which, len(sums[which]), True)[start] % p)
+    spread = mix((parts[0] << np.uint64(32) | parts[1]) + np.uint64(_SALT) * (end - start).astype(np.uint64))
+    return mix(spread ^ np.uint64(key.salt))
 
 
 def shingle_hashes(word: np.ndarray, doc: np.ndarray, n_docs: int, n: int) -> tuple[np.ndarray, np.ndarray]:

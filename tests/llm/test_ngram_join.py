@@ -3,10 +3,12 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from barloom.llm.components import components
-from barloom.llm.ngram_join import drop_near_duplicates, jaccard_classes
+from barloom.llm.ngram_join import drop_near_duplicates, jaccard_classes, shingle_sets
+from barloom.llm.textarrays import draw_key
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -92,3 +94,22 @@ def test_words_that_a_power_of_two_cannot_tell_apart(spark, n):
     rows = [(1, thue_morse(n)), (2, thue_morse(n).translate(swap)), (3, " ".join([thue_morse(n)] * 9)), (4, " ".join([thue_morse(n).translate(swap)] * 9))]
     got = jaccard_classes(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA))
     assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in got.collect()) == [(k, k, 0) for k in (1, 2, 3, 4)]
+
+
+#: Two words that had one hash while bases and primes were fixed.
+TWINS = ("mlonlmmnmlonlnlmmmolnonm", "nnlmonmmnnlmnlonmnlnlklm")
+
+
+def test_words_made_to_collide(spark):
+    long = [" ".join(chr(97 + k) + w for k in range(20)) for w in TWINS]
+    rows = [(1, TWINS[0]), (2, TWINS[1]), (3, long[0]), (4, long[1])]
+    got = jaccard_classes(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA))
+    assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in got.collect()) == [(k, k, 0) for k in (1, 2, 3, 4)]
+
+
+def test_hashes_depend_on_a_key_that_is_drawn():
+    texts = pa.array(["a", " ".join(TWINS), "one two three four five six"])
+    keys = [draw_key() for _ in range(2)]
+    seen = [[s.tolist() for s in shingle_sets(texts, key)] for key in keys]
+    assert seen[0] == [s.tolist() for s in shingle_sets(texts, keys[0])]
+    assert all(not set(a) & set(b) for a, b in zip(*seen))

@@ -96,3 +96,14 @@ def test_a_common_line_in_all_kinds_of_surroundings(spark):
     by_hash = {i: [t for _, t in sorted((h, t) for h, j, t in ((r["h"], r["doc_id"], r["text"]) for r in df.selectExpr("*", "xxhash64(text) as h").collect()) if j == i)] for i in (7,)}
     ordered = [r for r in rows if r[0] < 7] + [(7, t) for t in by_hash[7]] + [r for r in rows if r[0] > 7]
     assert got == sorted(brute(ordered, 40))
+
+
+def test_windows_made_to_collide_stay(spark):
+    """The two words in the middle had one hash while bases and primes were fixed."""
+    rng, rows = random.Random(4), []
+    noise = lambda: "".join(rng.choices("abcdefghij ", k=60))
+    for k in range(40):
+        before, after = noise(), noise()
+        rows += [(2 * k + j, before + w + after) for j, w in enumerate(("mlonlmmnmlonlnlmmmolnonm", "nnlmonmmnnlmnlonmnlnlklm"))]
+    assert run(spark.createDataFrame(rows, SCHEMA)) == sorted(brute(rows, 100))
+    assert all(not spans for _, _, spans, _ in brute(rows, 100))
