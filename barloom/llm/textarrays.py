@@ -105,9 +105,9 @@ def pieces(batch: pa.RecordBatch, name: str = "text", most: int = PIECE_BYTES):
         yield batch.slice(i, j - i)
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of every word; words end where their text ends."""
-    inside = ~IS_SPACE[buf]
+    inside = ~separator[buf]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cuts = offsets[1:-1]
@@ -122,6 +122,19 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+def distinct_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words among spans of ``buf``, and which of them each span is."""
+    if not len(start):
+        return [], np.zeros(0, np.int64)
+    edge = np.zeros(len(buf) + 1, np.int8)
+    edge[start] += 1
+    edge[end] -= 1
+    own = buf[np.cumsum(edge[:-1], dtype=np.int8) > 0]
+    off = np.r_[0, np.cumsum(end - start)].astype(np.int64)
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(own))]).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def prefix_sums(values: np.ndarray, key: Key) -> tuple[np.ndarray, np.ndarray]:
     """Per prime P with P[e] - P[s] = sum of (values[k] + 1) * base**k for s <= k < e, not
     reduced: the differences fit into 64 bits."""
