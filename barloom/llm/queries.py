@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, filter_audit, mixing, mpeg_audio, ngram_join, packing, quality, quote_links, resampling, secret_scan, suffix_dedup, url_rules
+from barloom.llm import exact_dedup, filter_audit, mixing, mpeg_audio, ngram_join, packing, pitman_yor, quality, quote_links, resampling, secret_scan, suffix_dedup, url_rules
 from barloom.llm.common import table
 
 
@@ -58,13 +58,17 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_texts(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_mpeg_audio, op4_ngram_join, op5_quote_links, op6_mixing, op7_url_rules, op8_packing, op9_quality, op10_secret_scan, op11_resampling, op12_filter_audit, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_mpeg_audio, op4_ngram_join, op5_quote_links, op6_mixing, op7_url_rules, op8_packing, op9_quality, op10_secret_scan, op11_resampling, op12_filter_audit, op13_language_model, pipeline)}
 
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
