@@ -41,11 +41,16 @@ def written(df: DataFrame, compression: str | None = None) -> DataFrame:
     joins with it need no runtime filters, broadcast what is small, and small files are
     read together.
     """
+    return written_at(df, compression)[1]
+
+
+def written_at(df: DataFrame, compression: str | None = None) -> tuple[str, DataFrame]:
+    """The table's path and its rows, for tables that go before the result is read."""
     path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     for open_block in _scratch:
         open_block.append(path)
     df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.parquet(path)
+    return path, df.sparkSession.read.parquet(path)
 
 
 @contextmanager
