@@ -2,7 +2,7 @@
 
 An exit depends on the entry bar, the stop and the longest hold only; a signal on the rule,
 the volume multiple and the zero-line filter only.  So a grid of configurations takes one
-flag per rule variant and one fold per stop over the longest hold's path, from which the
+flag per rule variant and one search per stop up to the longest hold, from which the
 shorter holds are read; configurations are expanded after the bars that nothing wants are
 gone.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.rules import rule
-from barloom.functions.windows import by_bar
+from barloom.operators.exits import search_exits
 from barloom.sources.strategy import StrategyConfig
 
 
@@ -29,14 +29,9 @@ def signal_flag(entry_set: str, vol_mult: float, macd_zero_filter: bool) -> Colu
     return flag & ~F.coalesce(F.col("macd") <= 0, F.lit(False)) if macd_zero_filter else flag
 
 
-def exit_path(max_hold: int, entry: int = 0) -> Column:
-    """The bars from an entry so many bars ahead to the end of its hold, as an array."""
-    bar = F.struct("i", "open", "high", "low", "close", F.coalesce(F.col("macd") < F.col("signal"), F.lit(False)).alias("dead"))
-    return F.collect_list(bar).over(by_bar().rowsBetween(entry, entry + max_hold))
-
-
 def exit_of(path: Column, stop_pct: float) -> Column:
-    """exit_i, exit_price and reason of an entry at the first bar of ``path``.
+    """exit_i, exit_price and reason of an entry at the first bar of ``path``, an array of
+    bars that is at hand; ``operators.exits`` finds the exits of a whole table.
 
     The peak takes in a bar's high before its low is tested; the stop comes before the dead
     cross, which does not count on the entry bar; a path's end is a maximum hold.
@@ -57,12 +52,6 @@ def exit_of(path: Column, stop_pct: float) -> Column:
     return F.aggregate(path, start, step)
 
 
-def exits(frame: DataFrame, stop_pct: float, max_hold: int) -> DataFrame:
-    """ticker, entry_i, exit_i, exit_price, reason for every bar as an entry."""
-    found = frame.select("ticker", F.col("i").alias("entry_i"), exit_of(exit_path(max_hold), stop_pct).alias("x"))
-    return found.select("ticker", "entry_i", "x.exit_i", "x.exit_price", "x.reason")
-
-
 def simulate(frame: DataFrame, configs: Iterable[StrategyConfig]) -> DataFrame:
     """One row per trade: config, ticker, i, entry_i, buy, exit_i, exit_price, reason, ret.
     Trades may overlap."""
@@ -70,16 +59,12 @@ def simulate(frame: DataFrame, configs: Iterable[StrategyConfig]) -> DataFrame:
     variants = sorted({(c.entry_set, float(c.vol_mult), c.macd_zero_filter) for c in configs})
     stops, holds = sorted({float(c.stop_pct) for c in configs}), sorted({c.max_hold for c in configs})
     # As many rows as the caller named configurations.
-    rows = [(c.name, variants.index((c.entry_set, float(c.vol_mult), c.macd_zero_filter)), stops.index(float(c.stop_pct)), c.max_hold, least_history(c.max_hold), c.entry, float(c.fee_bp + c.slip_bp)) for c in configs]
+    rows = [(c.name, variants.index((c.entry_set, float(c.vol_mult), c.macd_zero_filter)), stops.index(float(c.stop_pct)), holds.index(c.max_hold), least_history(c.max_hold), c.entry, float(c.fee_bp + c.slip_bp)) for c in configs]
     table = F.broadcast(frame.sparkSession.createDataFrame(rows, "config string, variant int, stop int, hold int, least long, entry string, cost double"))
     fired = F.array(*(F.when(signal_flag(*v), F.lit(k)) for k, v in enumerate(variants)))
-    # The path is a window over all bars, so it is gathered before any of them goes.
-    bars = frame.withColumns({"fired": F.filter(fired, lambda x: x.isNotNull()), "path": exit_path(holds[-1], 1)})
-    bars = bars.where((F.col("i") < F.col("n") - 2) & (F.size("fired") > 0))
-    bars = bars.select("ticker", "i", "n", "next_open", "next_close", "path", "fired", F.array(*(exit_of(F.col("path"), s) for s in stops)).alias("exits"))
+    bars = search_exits(frame.withColumn("fired", F.filter(fired, lambda x: x.isNotNull())), stops, holds)
     wanted = bars.select("*", F.explode("fired").alias("variant")).join(table, "variant").where(F.col("n") >= F.col("least"))
-    x = F.get("exits", F.col("stop"))
-    ends = F.get("path", F.least("hold", F.size("path") - 1))  # where a shorter hold ends
+    x, ends = F.get("exits", F.col("stop")), F.get("ends", F.col("hold"))  # where a shorter hold ends
     early = x["exit_i"] <= ends["i"]
     ended = F.struct(ends["i"].alias("exit_i"), ends["close"].alias("exit_price"), F.lit("max_hold").alias("reason"))
     found = F.when(early, F.struct(x["exit_i"].alias("exit_i"), x["exit_price"].alias("exit_price"), x["reason"].alias("reason"))).otherwise(ended)
@@ -107,23 +92,69 @@ def equity_curve(trades: DataFrame) -> DataFrame:
     return rows.drop("local", "local_peak", "level", "peak_before")
 
 
-def _metrics() -> list[Column]:
+#: Bars of an instrument in a segment, and segments that are merged at once.
+SEGMENT, MERGED = 256, 256
+_SUMS = ("trade_count", "wins", "total", "gross_profit", "gross_loss", "trailing_stop_count", "dead_cross_count", "max_hold_count")
+
+
+def _fold(trades_of: Column) -> Column:
+    """The curve of a segment's trades in order: its end, its highest and lowest point, and
+    the worst ratio to the peak before."""
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(1.0).alias("curve"), none.alias("peak"), none.alias("low"), none.alias("fall"))
+
+    def step(s: Column, x: Column) -> Column:
+        curve = s["curve"] * (1 + x["ret"])
+        peak = F.greatest(s["peak"], curve)
+        return F.struct(curve.alias("curve"), peak.alias("peak"), F.least(s["low"], curve).alias("low"), F.least(s["fall"], curve / peak).alias("fall"))
+
+    return F.aggregate(F.array_sort(trades_of), start, step)
+
+
+def _merge(states: Column) -> Column:
+    """The curve of segments one after another, each given by its own curve from 1 on: the
+    merge is associative, so any grouping of neighbours gives the same."""
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(1.0).alias("curve"), none.alias("peak"), none.alias("low"), none.alias("fall"))
+
+    def step(s: Column, x: Column) -> Column:
+        x, level = x["state"], s["curve"]
+        peak, low = F.greatest(s["peak"], level * x["peak"]), F.least(s["low"], level * x["low"])
+        return F.struct((level * x["curve"]).alias("curve"), peak.alias("peak"), low.alias("low"), F.least(s["fall"], x["fall"], level * x["low"] / s["peak"]).alias("fall"))
+
+    return F.aggregate(F.array_sort(states), start, step)
+
+
+def _merged(states: DataFrame, keys: list[str], order: str, *more: Column) -> DataFrame:
+    """States of neighbours merged by ``keys``, in the ``order`` of a column."""
+    got = states.groupBy(*keys).agg(F.collect_list(F.struct(F.col(order).alias("at"), "state")).alias("states"), *(F.sum(c).alias(c) for c in _SUMS), *more)
+    return got.withColumn("state", _merge(F.col("states"))).drop("states")
+
+
+def _ticker_states(trades: DataFrame) -> DataFrame:
+    """Sums and the curve's state per configuration and instrument, merged over a tree of
+    segments, so that trades of one instrument are folded in many tasks.  Returns are above
+    -1, so curves stay positive."""
     r = F.col("ret")
-    gross = F.sum(F.when(r > 0, r).otherwise(0.0)), -F.sum(F.when(r < 0, r).otherwise(0.0))
-    reasons = [F.count_if(F.col("reason") == x).alias(f"{x}_count") for x in ("trailing_stop", "dead_cross", "max_hold")]
-    return [F.count("*").alias("trade_count"), (F.avg((r > 0).cast("double")) * 100).alias("win_rate_pct"), (F.avg(r) * 100).alias("avg_trade_return_pct"), ((F.product(1 + r) - 1) * 100).alias("cumulative_return_pct"), gross[0].alias("gross_profit"), gross[1].alias("gross_loss"), *reasons]
+    part = F.floor(F.col("i") / SEGMENT)
+    sums = [F.count("*").alias("trade_count"), F.count_if(r > 0).alias("wins"), F.sum(r).alias("total"), F.sum(F.when(r > 0, r).otherwise(0.0)).alias("gross_profit"), (-F.sum(F.when(r < 0, r).otherwise(0.0))).alias("gross_loss")]
+    sums += [F.count_if(F.col("reason") == x).alias(f"{x}_count") for x in ("trailing_stop", "dead_cross", "max_hold")]
+    # At most SEGMENT trades of a configuration and instrument.
+    leaves = trades.groupBy("config", "ticker", part.alias("segment")).agg(F.collect_list(F.struct("i", "ret")).alias("trades"), *sums)
+    leaves = leaves.withColumn("state", _fold(F.col("trades"))).drop("trades")
+    joined = _merged(leaves.withColumn("branch", F.floor(F.col("segment") / MERGED)), ["config", "ticker", "branch"], "segment")
+    return _merged(joined, ["config", "ticker"], "branch")
 
 
-def _profit_factor() -> Column:
-    return F.expr("gross_profit / nullif(gross_loss, 0)")
+def _metrics(states: DataFrame, *keys: str) -> DataFrame:
+    shown = [(100 * F.col("wins") / F.col("trade_count")).alias("win_rate_pct"), (100 * F.col("total") / F.col("trade_count")).alias("avg_trade_return_pct"), ((F.col("state.curve") - 1) * 100).alias("cumulative_return_pct")]
+    shown += [((F.col("state.fall") - 1) * 100).alias("max_drawdown_pct"), F.expr("gross_profit / nullif(gross_loss, 0)").alias("profit_factor")]
+    return states.select(*keys, "trade_count", "trailing_stop_count", "dead_cross_count", "max_hold_count", *shown)
 
 
 def evaluate_tickers(trades: DataFrame) -> DataFrame:
     """Metrics per configuration and instrument; drawdown by the instrument's own curve."""
-    own = Window.partitionBy("config", "ticker").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    rows = trades.withColumn("curve", F.product(1 + F.col("ret")).over(own)).withColumn("fall", F.col("curve") / F.max("curve").over(own) - 1)
-    got = rows.groupBy("config", "ticker").agg(*_metrics(), (F.min("fall") * 100).alias("max_drawdown_pct"))
-    return got.withColumn("profit_factor", _profit_factor()).drop("gross_profit", "gross_loss")
+    return _metrics(_ticker_states(trades), "config", "ticker")
 
 
 def score() -> Column:
@@ -132,10 +163,10 @@ def score() -> Column:
 
 
 def evaluate_portfolio(trades: DataFrame) -> DataFrame:
-    """Metrics and score per configuration; configurations without trades have no row."""
-    rows = equity_curve(trades)
-    got = rows.groupBy("config").agg(*_metrics(), (F.min("drawdown") * 100).alias("max_drawdown_pct"), F.countDistinct("ticker").alias("active_tickers"))
-    return got.withColumn("profit_factor", _profit_factor()).withColumn("score", score()).drop("gross_profit", "gross_loss")
+    """Metrics and score per configuration; configurations without trades have no row.  The
+    curve runs over instruments by name; one state an instrument is merged in a row."""
+    whole = _merged(_ticker_states(trades), ["config"], "ticker", F.count("*").alias("active_tickers"))
+    return _metrics(whole, "config", "active_tickers").withColumn("score", score())
 
 
 #: The fields of a summary, and the decimals of those that are rounded.

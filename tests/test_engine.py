@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barloom.functions.rules import NEEDS_CROSS, PRESETS, require, rule
 from barloom.functions.windows import with_ewm
 from barloom.operators import surge, trades
+from barloom.operators.exits import first_events, search_exits
 from barloom.operators.indicators import indicator_frame, with_legacy_rsi
 from barloom.sources.bars import normalise, positioned
 from barloom.sources.strategy import QUANT, StrategyConfig, grid, load_strategy, load_strategy_or_none, parse_list, to_json
@@ -235,3 +236,51 @@ def test_empty_bars(spark, frame):
     assert trades.simulate(frame.limit(0), [QUANT]).count() == 0
     with pytest.raises(ValueError):
         normalise(spark.range(1))
+
+
+def test_exits_of_long_holds_by_search():
+    """Ranges of runs against a walk bar by bar, with missing values and gaps."""
+    rng = np.random.default_rng(11)
+    n = 3000
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.004, n)))
+    high, low = close * (1 + rng.random(n) * 0.01), close * (1 - rng.random(n) * 0.01)
+    high[rng.random(n) < 0.02], low[rng.random(n) < 0.02] = np.nan, np.nan
+    for share in (0.0, 0.002, 0.2):
+        dead = rng.random(n) < share
+        for hold, stop in ((1, 0.01), (7, 0.02), (1000, 0.08), (1000, 0.2), (5000, 0.5)):
+            entry = np.sort(rng.choice(n, 60, replace=False))
+            entry[-1] = n - 1
+            at, price, why = first_events(high, low, dead, entry, hold, stop)
+            for k, e in enumerate(entry):
+                peak, want = -math.inf, None
+                for j in range(e, min(n - 1, e + hold) + 1):
+                    peak = max(peak, -math.inf if np.isnan(high[j]) else high[j])
+                    if low[j] <= peak * (1 - stop):
+                        want = (j, peak * (1 - stop), 2)
+                        break
+                    if dead[j] and j > e:
+                        want = (j, math.nan, 1)
+                        break
+                want = want or (min(n - 1, e + hold), math.nan, 0)
+                assert (at[k], why[k]) == (want[0], want[2])
+                assert np.isclose(price[k], want[1], equal_nan=True)
+
+
+def test_exits_across_ranges(frame, data):
+    wanted = frame.withColumn("fired", F.array(F.lit(0)))
+    got = [{(r["ticker"], r["i"]): (r["exits"], r["ends"]) for r in search_exits(wanted, [0.05, 0.2], [3, 40], span).collect()} for span in (16, 4096)]
+    assert got[0] == got[1] and len(got[0]) == sum(max(0, len(d) - 2) for d in data.values())
+
+
+def test_curves_merge_in_any_grouping(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [("c", t, int(i), "max_hold", float(r)) for t in ("A", "B", "C") for i, r in enumerate(rng.normal(0, 0.05, 700)) if rng.random() < 0.7]
+    found = spark.createDataFrame(rows, "config string, ticker string, i long, reason string, ret double").repartition(7)
+    for segment, merged in ((256, 256), (3, 2), (1, 5)):
+        monkeypatch.setattr(trades, "SEGMENT", segment)
+        monkeypatch.setattr(trades, "MERGED", merged)
+        s = trades.evaluate_portfolio(found).first()
+        curve = np.cumprod(1 + np.array([r[4] for r in rows]))
+        assert s["max_drawdown_pct"] == pytest.approx(100 * (curve / np.maximum.accumulate(curve) - 1).min())
+        assert s["cumulative_return_pct"] == pytest.approx(100 * (curve[-1] - 1)) and s["active_tickers"] == 3
+    assert "Window" not in trades.evaluate_portfolio(found)._jdf.queryExecution().executedPlan().toString()
