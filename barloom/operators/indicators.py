@@ -1,20 +1,28 @@
 """The indicator frame: every column the rules, labels and scanners read.
 
-All windows share one partitioning by instrument, so bars are shuffled once.
+All windows share one partitioning by instrument, so bars are shuffled once.  For
+instruments too long for a task, ``ranged_frame`` computes the same by ranges.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.ranges import backfilled, with_halo, with_ranged_ewm, with_ranges, without_halo
 from barloom.functions.windows import by_bar, lag, lead, roll, with_ewm
 
 
 def with_macd(bars: DataFrame, fast: int = 12, slow: int = 26, smooth: int = 9) -> DataFrame:
     """ema_fast, ema_slow, macd, signal, and the strict golden cross gc."""
     df = with_ewm(bars, {"ema12": ("close", fast), "ema26": ("close", slow)}).withColumn("macd", F.col("ema12") - F.col("ema26"))
-    df = with_ewm(df, {"signal": ("macd", smooth)}).withColumns({"macd_1": lag("macd"), "signal_1": lag("signal")})
+    return _crossed(with_ewm(df, {"signal": ("macd", smooth)}))
+
+
+def _crossed(df: DataFrame) -> DataFrame:
+    df = df.withColumns({"macd_1": lag("macd"), "signal_1": lag("signal")})
     return df.withColumn("gc", F.coalesce((F.col("macd_1") < F.col("signal_1")) & (F.col("macd") > F.col("signal")), F.lit(False)))
 
 
@@ -52,7 +60,23 @@ def with_legacy_rsi(bars: DataFrame, n: int = 14) -> DataFrame:
 
 def indicator_frame(bars: DataFrame) -> DataFrame:
     """Bars with all indicators."""
-    df = with_rsi(with_macd(bars))
+    return _rolled(with_rsi(with_macd(bars)))
+
+
+def ranged_frame(bars: DataFrame, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The same frame for instruments of any length: windows run by ranges of bars, so one
+    instrument spreads over many tasks.  Adds ``range``.
+
+    ``then`` may add columns by further windows by instrument that look back at most one
+    bar beyond the longest mean and five more; ``rsi14`` is not filled yet there.
+    """
+    df = with_ranged_ewm(with_ranges(bars), {"ema12": ("close", 12), "ema26": ("close", 26)})
+    df = with_ranged_ewm(df.withColumn("macd", F.col("ema12") - F.col("ema26")), {"signal": ("macd", 9)})
+    df = _rolled(with_rsi(_crossed(with_halo(df)), backfill=False))
+    return backfilled(without_halo(then(df) if then else df), "rsi14")
+
+
+def _rolled(df: DataFrame) -> DataFrame:
     df = df.withColumns({
         "ma5": roll(F.avg, "close", -4, 0), "ma10": roll(F.avg, "close", -9, 0), "ma20": roll(F.avg, "close", -19, 0), "ma60": roll(F.avg, "close", -59, 0),
         "vol20": roll(F.avg, "volume", -19, 0), "vol20_prev": roll(F.avg, "volume", -20, -1),

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.ranges import positioned_by_days
 from barloom.functions.rules import PRESETS, rule
 from barloom.operators import reports, scanners, surge, trades
-from barloom.operators.indicators import any_recent, indicator_frame, ma_cross, recent_cross, with_legacy_rsi, with_macd, with_rsi
+from barloom.operators.indicators import any_recent, indicator_frame, ma_cross, ranged_frame, recent_cross, with_legacy_rsi, with_macd, with_rsi
 from barloom.operators.scanners import FLAGS, FUNNEL
 from barloom.plans import sql
 from barloom.sources import tickers
@@ -221,6 +222,24 @@ def _scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.scan_report(scanners.diagnose(_frame(spark, sf_dir)), source="events", run_at="2024-01-01 00:00:00 UTC")
 
 
+def _ranged_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positioned_by_days(bars_from_events(spark.read.parquet(f"{sf_dir}/events.parquet")))
+
+
+def _ranged(*columns: str) -> Query:
+    return lambda spark, sf_dir: ranged_frame(_ranged_bars(spark, sf_dir)).select("ticker", "i", *_rounded(*columns))
+
+
+def _ranged_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over ranges: one row per rule that fires."""
+    fired = F.explode(F.array_compact(F.array(*(F.when(rule(p, VOL_MULT), F.lit(p)) for p in PRESETS))))
+    return ranged_frame(_ranged_bars(spark, sf_dir)).where(F.col("i") < F.col("n") - 2).select("ticker", "i", fired.alias("rule"))
+
+
+def _ranged_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanners.diagnostic_counts(ranged_frame(_ranged_bars(spark, sf_dir), scanners.diagnose), "ticker").select("ticker", *FLAGS)
+
+
 def _candle(bars: DataFrame) -> DataFrame:
     return bars.withColumns({"body_pct": F.col("close") / F.col("open") - 1, "close_pos": (F.col("close") - F.col("low")) / F.expr("nullif(high - low, 0)")})
 
@@ -282,4 +301,9 @@ QUERIES: dict[str, Query] = {
     "rules_last_bar": _last_signals,
     "preset_nonfinite": _nonfinite,
     "scan_report": _scan_report,
+    "ranged_macd_signal": _ranged("macd", "signal"),
+    "ranged_ma": _ranged("ma5", "ma10", "ma20", "ma60"),
+    "ranged_rsi_engine": _ranged("rsi14"),
+    "ranged_rules": _ranged_rules,
+    "ranged_diag_counts": _ranged_diag,
 }

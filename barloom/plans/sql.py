@@ -225,6 +225,9 @@ SELECT p.*, active_tickers, trade_count, trailing_stop_count, dead_cross_count,
     planted = BARS.replace("bars AS (", "whole AS (") + """,
 bars AS (SELECT * REPLACE (CASE WHEN i % 23 = 7 THEN NULL ELSE volume END AS volume, CASE WHEN i % 29 IN (3, 11) THEN NULL ELSE open END AS open, CASE WHEN i % 211 = 5 THEN NULL ELSE high END AS high) FROM whole)"""
     fired = " UNION ALL ".join(f"SELECT ticker, i, '{p}' AS rule FROM ind WHERE i < n - 2 AND {rule_sql(p, vol_mult)}" for p in PRESETS)
+    for name in ("macd_signal", "ma", "rsi_engine"):
+        out[f"ranged_{name}"] = out[f"ind_{name}"]
+    out["ranged_rules"] = f"WITH {FRAME} {fired}"
     out["preset_nonfinite"] = f"WITH {FRAME.replace(BARS, planted)} {fired}"
     out |= reports_sql(QUANT, configs["grid"])
     out["surge_labels"] = select(["ticker", "i", *TARGETS, "valid"], source="sf", more=_SURGE)
@@ -235,6 +238,7 @@ bars AS (SELECT * REPLACE (CASE WHEN i % 23 = 7 THEN NULL ELSE volume END AS vol
     for s in ("breakout", "trend", "power"):
         out[f"scan_{s}"] = select(["ticker", "i", "bar_ts", "close"], f"{s}_final", "diag", DIAG)
     out["scan_diag_counts"] = f"WITH {FRAME}{DIAG} SELECT ticker, " + ", ".join(f"count(*) FILTER (WHERE {f}) AS {f}" for f in FLAGS) + " FROM diag GROUP BY ticker"
+    out["ranged_diag_counts"] = out["scan_diag_counts"]
     out["scan_legacy_funnel"] = select(["ticker", "i", *FUNNEL, "green"], source="fun", more=FUN) .replace("green AS green", "CAST(green AS BIGINT) AS green")
     out["scan_legacy_counts"] = f"WITH {FRAME}{FUN} SELECT count(*) AS scanned, " + ", ".join(f"count(*) FILTER (WHERE {f}) AS {f}" for f in FUNNEL) + " FROM fun"
     out["scan_legacy_top5"] = f"WITH {FRAME}{FUN} SELECT ticker, i, round(vol_ratio, 6) AS vol_ratio, row_number() OVER (PARTITION BY ticker ORDER BY vol_ratio DESC, ticker_ord, i) AS place FROM fun WHERE funnel_volume_pass QUALIFY place <= 5"
