@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import by_part, count_parts, join_hubs, keep_rows, written
 from barloom.llm.components import components
-from barloom.llm.textarrays import LOWER, Key, buffer_of, draw_key, mix, prefix_sums, shingle_hashes, slices, span_hashes, words
+from barloom.llm.textarrays import LOWER, Key, buffer_of, draw_key, mix, pieces, prefix_sums, shingle_hashes, slices, span_hashes, words
 
 WORDS = 5
 #: Linked: DEN * intersection >= NUM * (size + size), which is 3/4 of the union.
@@ -109,7 +109,7 @@ def _deal(keys: list[tuple[int, int]], sets: list[np.ndarray], n_parts: int, kin
 
 def _ship(n_parts: int, n: int, key: Key):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (piece for batch in batches for piece in pieces(batch)):
             seen: dict[tuple[int, int, int], np.ndarray] = {}
             docs = np.zeros(b.num_rows, _DOC)
             ids = b.column("doc_id")
@@ -118,7 +118,7 @@ def _ship(n_parts: int, n: int, key: Key):
                 k1, k2 = set_key(s)
                 docs["n"][k], docs["k1"][k], docs["k2"][k] = len(s), k1, k2
                 if len(s):
-                    seen[k1, k2, len(s)] = s  # copies within a batch ship once
+                    seen[k1, k2, len(s)] = s  # copies within a piece ship once
             home = np.mod(docs["k1"] ^ docs["text"], n_parts)
             out = [_pack(int(p), docs=docs[home == p].tobytes()) for p in np.unique(home)]
             # 32 bits of a hash besides its range: a clash only makes a candidate more.
@@ -211,7 +211,7 @@ _SET = "cid long, n long, copies long, shingles binary"
 
 def _ordered_sets(n_parts: int, n: int, key: Key):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (piece for batch in batches for piece in pieces(batch)):
             want, heavy = zip(b.column("k1").to_pylist(), b.column("n").to_pylist(), strict=True), b.column("heavy").to_pylist()
             rows = [(k, _order(s, heavy[k], n_parts)) for k, (s, w) in enumerate(zip(shingle_sets(b.column("text"), key, n), want, strict=True)) if (set_key(s)[0], len(s)) == w]
             at = pa.array([k for k, _ in rows], pa.int64())

@@ -53,7 +53,7 @@ def _powers(key: Key, which: int, n: int, inverse: bool = False) -> np.ndarray:
     if t is None or len(t) < n:
         prime = _PRIMES[which]
         base = pow(key.bases[which], -1, prime) if inverse else key.bases[which]
-        if len(_tables) >= 8:  # those of earlier runs in a worker that is used again
+        if t is None and len(_tables) >= 4:  # those of an earlier run in a worker that is used again
             _tables.clear()
         t = np.ones(max(n, SLICE_BYTES + 1), np.uint64)
         have = 1
