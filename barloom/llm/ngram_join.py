@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import by_part, count_parts, join_hubs, keep_rows, written
 from barloom.llm.components import components
-from barloom.llm.textarrays import LOWER, Key, buffer_of, draw_key, mix, pieces, prefix_sums, shingle_hashes, slices, span_hashes, words
+from barloom.llm.textarrays import LOWER, Key, buffer_of, draw_key, mix, pieces, prefix_sums, release_memory, shingle_hashes, slices, span_hashes, words
 
 WORDS = 5
 #: Linked: DEN * intersection >= NUM * (size + size), which is 3/4 of the union.
@@ -38,11 +38,13 @@ NUM, DEN = 3, 7
 HEAVY = 32
 #: Sets, and bytes of shingles, in a block of a candidate group.
 BLOCK = 256
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Sets whose sizes differ by more than this factor (over 4/3) cannot link.
 BAND = 1.34
 #: Bytes of text per part of the count: a part's shingles are about as large.
 PART_BYTES = 16 << 20
+#: Bytes of text whose shingles are made at once.
+PIECE = 4 << 20
 #: Slices of a part's hashes that are sorted one after the other.
 SLICES = 8
 
@@ -109,7 +111,7 @@ def _deal(keys: list[tuple[int, int]], sets: list[np.ndarray], n_parts: int, kin
 
 def _ship(n_parts: int, n: int, key: Key):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (piece for batch in batches for piece in pieces(batch)):
+        for b in (piece for batch in batches for piece in pieces(batch, most=PIECE)):
             seen: dict[tuple[int, int, int], np.ndarray] = {}
             docs = np.zeros(b.num_rows, _DOC)
             ids = b.column("doc_id")
@@ -125,6 +127,8 @@ def _ship(n_parts: int, n: int, key: Key):
             out += [_pack(p, r, t) for p, r, t in _deal([(k1, n) for k1, _, n in seen], list(seen.values()), n_parts, "<u4")]
             if out:
                 yield _rows(out)
+            del out, seen
+            release_memory()
 
     return run
 
@@ -183,6 +187,8 @@ def _count(heavy: int):
 
     def with_part(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         out = run(rows)
+        del rows
+        release_memory()
         # A blob of heavy shingles starts with its range.
         mark = np.array([key[0].as_py()], "<u4").tobytes()
         return out.set_column(6, "heavy", pa.array([None if x is None else mark + x if x else b"" for x in out.column("heavy").to_pylist()], pa.binary()))
@@ -211,11 +217,13 @@ _SET = "cid long, n long, copies long, shingles binary"
 
 def _ordered_sets(n_parts: int, n: int, key: Key):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (piece for batch in batches for piece in pieces(batch)):
+        for b in (piece for batch in batches for piece in pieces(batch, most=PIECE)):
             want, heavy = zip(b.column("k1").to_pylist(), b.column("n").to_pylist(), strict=True), b.column("heavy").to_pylist()
             rows = [(k, _order(s, heavy[k], n_parts)) for k, (s, w) in enumerate(zip(shingle_sets(b.column("text"), key, n), want, strict=True)) if (set_key(s)[0], len(s)) == w]
             at = pa.array([k for k, _ in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("cid").take(at), b.column("n").take(at), b.column("copies").take(at), pa.array([s.astype("<u8").tobytes() for _, s in rows], pa.binary())], names=["cid", "n", "copies", "shingles"])
+            del rows
+            release_memory()
 
     return run
 
