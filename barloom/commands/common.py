@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from barloom.operators.indicators import indicator_frame
 from barloom.sources import tickers
-from barloom.sources.bars import bars_from_events, positioned, read_bars
+from barloom.sources.bars import bars_from_events, last_days, positioned, read_bars
 
 
 def parser(about: str, limit: int) -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(description=about)
+    # Names and defaults of flags.
     out.add_argument("--input", required=True, help="Parquet bars, or with --events an event table")
     out.add_argument("--events", action="store_true", help="make hourly bars of events")
     out.add_argument("--market", default="KOSPI")
@@ -53,12 +54,12 @@ def frame(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     end = f"{end} 23:59:59.999999" if end and len(end) == 10 else end
     if args.events:
         bars = bars_from_events(spark.read.parquet(args.input))
-        bars = bars if end is None else bars.where(F.col("bar_ts") <= F.lit(end).cast("timestamp_ntz"))
+        bars = last_days(bars if end is None else bars.where(F.col("bar_ts") <= F.lit(end).cast("timestamp_ntz")), args.days)
         bars = bars if wanted is None else bars.join(wanted.select("ticker"), "ticker", "left_semi")
     else:
         bars = read_bars(spark, args.input, wanted, end=end, days=args.days)
     if not bars.take(1):
-        raise SystemExit("No market data loaded.")
+        raise SystemExit(f"{args.input}: no bars for these instruments and days")
     return indicator_frame(positioned(bars))
 
 

@@ -9,6 +9,7 @@ from barloom.operators import trades
 from barloom.sources import sinks
 from barloom.sources.strategy import GRID, config_table, grid, parse_list
 
+#: Names of flags, and what they vary.
 _AXES = (("entry-sets", "entry_set", str), ("stop-pcts", "stop_pct", float), ("max-holds", "max_hold", int), ("vol-mults", "vol_mult", float), ("entries", "entry", str), ("macd-zero-filters", "macd_zero_filter", bool))
 
 
@@ -28,8 +29,8 @@ def main(argv: list[str] | None = None) -> None:
     evaluated = trades.evaluate_portfolio(trades.simulate(common.frame(spark, args), configs))
     ranking = trades.rank(trades.summarise(evaluated, config_table(spark, configs)), min_trades=args.min_trades).select(*trades.SUMMARY).cache()
     if not ranking.take(1):
-        raise SystemExit("No strategy combination passed the filters.")
-    out = Path(args.output_dir)
+        raise SystemExit(f"none of {len(configs)} configurations has {args.min_trades} trades or more")
+    out = Path(args.output_dir)  # fixed values: the names of its two files
     out.mkdir(parents=True, exist_ok=True)
     sinks.export_ranking(ranking, str(out / "strategy_ranking.csv"))
     sinks.write_text(sinks.best_strategy(ranking), str(out / "best_strategy.json"))

@@ -20,7 +20,7 @@ def main(argv: list[str] | None = None) -> None:
     path = Path(args.output)
     path.parent.mkdir(parents=True, exist_ok=True)
     sinks.write_text(surge.analysis_document(surge.feature_frame(frame), check), str(path))
-    print(f"Saved analysis to {path}")
+    print(f"{path}: features and the strategy's check are written")
 
 
 if __name__ == "__main__":

@@ -92,7 +92,19 @@ def _equity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return config_table(spark, list(grid()))
+    """The default grid, and how many instruments have bars enough for each of its holds."""
+    sizes = bars_from_events(spark.read.parquet(f"{sf_dir}/events.parquet")).groupBy("ticker").agg(F.count("*").alias("n"))
+    holds = sorted({c.max_hold for c in CONFIGS["grid"]})
+    fit = sizes.agg(*(F.count_if(F.col("n") >= trades.least_history(h)).alias(str(h)) for h in holds))
+    fit = fit.select(F.explode(F.create_map(*(x for h in holds for x in (F.lit(h), F.col(f"`{h}`"))))).alias("max_hold", "instruments"))
+    return config_table(spark, CONFIGS["grid"]).join(fit, "max_hold")
+
+
+def _members_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members on every day with orders, of lists that are dated twice a month."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"))
+    dated = orders.where(F.dayofmonth("day").isin(3, 9)).groupBy(F.col("day").alias("date"), F.lpad(F.col("o_custkey").cast("string"), 6, "0").alias("ticker")).agg(F.min("o_orderkey").alias("ord"))
+    return tickers.members_by_day(dated, orders.select("day"), _strict(spark, sf_dir))
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,6 +303,7 @@ QUERIES: dict[str, Query] = {
     "scan_script": _script,
     "tickers_strict": _strict,
     "tickers_lenient": _lenient,
+    "members_by_day": _members_by_day,
     "selection_log": _selection_log,
     "strategy_section": _strategy_section,
     "message_chunks": _message_chunks,

@@ -190,7 +190,8 @@ m AS (SELECT 'KOSPI' AS market, CAST(place AS INTEGER) AS place, concat_ws('\n',
     place = "0"
     for name, vs in lists.items():
         place = f"({place} * {len(vs)} + {name}_ord)"
-    grid = f"""SELECT format('{{}}|stop={{:g}}|hold={{}}|vol={{:g}}|{{}}|zero={{}}', entry_set, stop_pct::DOUBLE, max_hold, vol_mult::DOUBLE, entry, zero::INT) AS config, CAST({place} AS BIGINT) AS grid_ord, entry_set, stop_pct::DOUBLE AS stop_pct, max_hold, vol_mult::DOUBLE AS vol_mult, entry, zero AS macd_zero_filter,
+    grid = f"""WITH {BARS}, sizes AS (SELECT count(*) AS n FROM bars GROUP BY ticker)
+SELECT (SELECT count(*) FROM sizes WHERE n >= greatest(35, max_hold + 2)) AS instruments, format('{{}}|stop={{:g}}|hold={{}}|vol={{:g}}|{{}}|zero={{}}', entry_set, stop_pct::DOUBLE, max_hold, vol_mult::DOUBLE, entry, zero::INT) AS config, CAST({place} AS BIGINT) AS grid_ord, entry_set, stop_pct::DOUBLE AS stop_pct, max_hold, vol_mult::DOUBLE AS vol_mult, entry, zero AS macd_zero_filter,
  '{cfgs[0].market}' AS market, {cfgs[0].days} AS days, {cfgs[0].fee_bp}::DOUBLE AS fee_bp, {cfgs[0].slip_bp}::DOUBLE AS slip_bp FROM {tables}"""
     return {
         "strategy_section": sections + " SELECT date, text FROM s",
@@ -250,4 +251,11 @@ c AS (SELECT p_partkey, regexp_replace(trim(coalesce(code, '')), '\.0$', '') AS
 z AS (SELECT p_partkey, CASE WHEN regexp_full_match(code, '[0-9]+') AND length(code) < 6 THEN lpad(code, 6, '0') ELSE code END AS ticker FROM c)
 SELECT ticker, min(p_partkey) AS ord FROM z WHERE regexp_full_match(ticker, '[0-9]{6}') GROUP BY ticker"""
     out["tickers_lenient"] = out["tickers_strict"].replace("SELECT ticker, min(p_partkey) AS ord FROM z WHERE regexp_full_match(ticker, '[0-9]{6}') GROUP BY ticker", "SELECT ticker, ticker AS name, min(p_partkey) AS ord FROM z WHERE ticker <> '' GROUP BY ticker")
+    out["members_by_day"] = f"""
+WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders),
+m AS (SELECT CAST(o_orderdate AS DATE) AS date, lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS ticker, min(o_orderkey) AS ord FROM orders WHERE day(o_orderdate) IN (3, 9) GROUP BY 1, 2),
+dates AS (SELECT DISTINCT date FROM m),
+r AS (SELECT day, CASE WHEN day - date <= 14 THEN date END AS date FROM d ASOF LEFT JOIN dates ON d.day >= dates.date),
+f AS ({out['tickers_strict']})
+SELECT day, m.date, ticker, ord FROM r JOIN m ON r.date = m.date UNION ALL SELECT day, CAST(day - 14 AS DATE) AS date, ticker, ord FROM r, f WHERE r.date IS NULL"""
     return out

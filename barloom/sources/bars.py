@@ -38,13 +38,18 @@ def read_bars(spark: SparkSession, path: str, tickers: DataFrame | None = None,
     if end is not None:
         bars = bars.where(F.col("bar_ts") <= F.lit(end).cast("timestamp_ntz"))
     if days is not None:
-        last = bars.agg(F.max("bar_ts").alias("last"))
-        bars = bars.crossJoin(F.broadcast(last)).where(F.col("bar_ts") >= F.col("last") - F.expr(f"INTERVAL {int(days)} DAYS")).drop("last")  # one row
+        bars = last_days(bars, days)
     if start is not None:
         bars = bars.where(F.col("bar_ts") >= F.lit(start).cast("timestamp_ntz"))
     return bars if tickers is None else bars.join(tickers.select("ticker").distinct(), "ticker", "left_semi")
 
 
+def last_days(bars: DataFrame, days: int) -> DataFrame:
+    """The bars of so many days back from the latest one."""
+    last = bars.agg(F.max("bar_ts").alias("last"))
+    return bars.crossJoin(F.broadcast(last)).where(F.col("bar_ts") >= F.col("last") - F.expr(f"INTERVAL {int(days)} DAYS")).drop("last")  # one row
+
+
 def bars_from_events(events: DataFrame, every: str = "hour") -> DataFrame:
     """Bars of an event table: each event type is an instrument, its standardised log
     values are steps of a price walk, and every hour is a bar.

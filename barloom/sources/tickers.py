@@ -62,6 +62,27 @@ def resolve(membership: DataFrame, asof: str, fallback: DataFrame | None = None,
     return found if limit is None else found.orderBy("ord", "ticker").limit(limit)
 
 
+def members_by_day(membership: DataFrame, days: DataFrame, fallback: DataFrame | None = None, back_days: int = 14) -> DataFrame:
+    """day, date, ticker, ord: the members as of every ``day`` of ``days``.
+
+    A day's members are those of the latest date on or before it that has any, at most
+    ``back_days`` before; a day without such a date has the ``fallback``'s instruments,
+    dated by the earliest date looked at.  The look back is a join by equality with the few
+    dates that a day may take, so any number of days and members spreads over all tasks.
+    """
+    members = membership.select(F.col("date").cast("date").alias("date"), "ticker", F.col("ord").cast("long").alias("ord")).where("date is not null")
+    asked = days.select(F.col("day").cast("date").alias("day")).where("day is not null").distinct()
+    looks = asked.select("day", F.explode(F.sequence(F.date_sub("day", back_days), F.col("day"))).alias("date"))
+    taken = looks.join(members.select("date").distinct(), "date").groupBy("day").agg(F.max("date").alias("date"))
+    found = taken.join(members, "date").select("day", "date", "ticker", "ord")
+    if fallback is None:
+        return found
+    # A ticker file is of the size of a file.
+    listed = F.broadcast(fallback.agg(F.collect_list(F.struct("ticker", "ord")).alias("listed")))
+    rest = asked.join(taken, "day", "left_anti").crossJoin(listed).select("day", F.date_sub("day", back_days).alias("date"), F.inline("listed"))  # one row
+    return found.unionByName(rest.select("day", "date", "ticker", F.col("ord").cast("long").alias("ord")))
+
+
 def listing(listings: DataFrame, limits: dict[str, int]) -> DataFrame:
     """The first rows of each market by ``ord``; markets without a limit stay whole."""
     place = F.row_number().over(Window.partitionBy("market").orderBy("ord"))

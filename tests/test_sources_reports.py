@@ -102,3 +102,28 @@ def test_a_section_for_every_day(spark):
     queries = __spark_entry__.queries()
     n = queries["strategy_section"](spark, SF).count()
     assert n > 1 and queries["message_chunks"](spark, SF).select("ident").distinct().count() == n
+
+
+def test_members_on_many_days(spark):
+    membership = spark.createDataFrame([("2024-01-01", "A", 1), ("2024-01-01", "B", 2), ("2024-01-10", "C", 1), (None, "X", 9)], "date string, ticker string, ord long").withColumn("date", F.to_date("date"))
+    days = spark.createDataFrame([("2023-12-31",), ("2024-01-01",), ("2024-01-09",), ("2024-01-10",), ("2024-01-24",), ("2024-01-25",), (None,), ("2024-01-10",)], "day string")
+    listed = spark.createDataFrame([("F", 7)], "ticker string, ord long")
+    got = sorted((str(r["day"]), str(r["date"]), r["ticker"], r["ord"]) for r in tickers.members_by_day(membership, days, listed).collect())
+    first, second = [("2024-01-01", "A", 1), ("2024-01-01", "B", 2)], [("2024-01-10", "C", 1)]
+    want = [("2023-12-31", "2023-12-17", "F", 7), *((d, *m) for d in ("2024-01-01", "2024-01-09") for m in first), *((d, *m) for d in ("2024-01-10", "2024-01-24") for m in second), ("2024-01-25", "2024-01-11", "F", 7)]
+    assert got == sorted(want)
+    for day in ("2024-01-09", "2024-01-24", "2024-01-25"):  # as for one day at a time
+        one = sorted((str(r["date"]), r["ticker"], r["ord"]) for r in tickers.resolve(membership, day, listed).collect())
+        assert one == [g[1:] for g in got if g[0] == day]
+    assert tickers.members_by_day(membership.limit(0), days).count() == 0
+
+
+def test_last_days_of_events(spark):
+    from argparse import Namespace
+
+    from barloom.commands import common
+
+    args = Namespace(input=f"{SF}/events.parquet", events=True, days=5, limit=0, as_of_date="", tickers_csv="", membership="")
+    got = common.frame(spark, args).agg(F.min("bar_ts"), F.max("bar_ts")).first()
+    whole = event_bars(spark, SF).agg(F.min("bar_ts"), F.max("bar_ts")).first()
+    assert got[1] == whole[1] and (got[1] - got[0]).days <= 5 and got[0] > whole[0]
