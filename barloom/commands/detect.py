@@ -1,10 +1,12 @@
 """The day's signals: of the best strategy and the surge strategy, else of the three scanners.
 
-Messages are written as Parquet (ident, chunk, text); the selections are appended to a log.
+Messages are written as Parquet (ident, chunk, text); the selections go to a log, once per run.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ def main(argv: list[str] | None = None) -> None:
     parser.set_defaults(days=500)
     parser.add_argument("--strategy", default="reports/best_strategy.json")
     parser.add_argument("--output", default="reports/messages")
-    parser.add_argument("--log", default="", help="Parquet folder that selections are appended to")
+    parser.add_argument("--log", default="", help="Parquet folder of selections by run")
+    parser.add_argument("--run", default="", help="key of the run in the log, by default the day of the latest bar; the same key replaces its rows")
     args = parser.parse_args(argv)
     spark = common.session("detect")
     frame, names = common.frame(spark, args).cache(), common.names(spark, args)
@@ -40,8 +43,8 @@ def main(argv: list[str] | None = None) -> None:
         logs = [reports.selection_log(scanners.hits(flagged, s), s) for s in reports.SCANNERS]
     reports.message_chunks(text.select(F.lit("daily").alias("ident"), "text")).write.mode("overwrite").parquet(args.output)
     if args.log:
-        for log in logs:
-            sinks.best_effort(lambda log=log: sinks.append_log(log, args.log), "the selection log")
+        run = args.run or str(frame.agg(F.max("bar_ts")).first()[0].date())
+        sinks.best_effort(lambda: sinks.replace_log(reduce(DataFrame.unionByName, logs), args.log, run), "the selection log")
     print(f"Saved messages to {args.output}")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,10 @@ from barloom.operators.indicators import any_recent, indicator_frame, ma_cross,
 from barloom.operators.scanners import FLAGS, FUNNEL
 from barloom.plans import sql
 from barloom.sources import tickers
-from barloom.sources.bars import bars_from_events, event_bars, normalise, positioned
-from barloom.sources.strategy import QUANT, StrategyConfig, config_table, grid
+from barloom.sources.bars import bars_from_events, event_bars, normalise, positioned, read_bars
+from barloom.sources.store import shared_folder, write_store
+from barloom.sources.strategy import QUANT, StrategyConfig, config_table, grid, parse_strategies
+from barloom.streaming.last_bar import current, latest_indicators, latest_rules, run_latest
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOL_MULT = 1.5
@@ -252,6 +255,61 @@ def _ranged_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanners.diagnostic_counts(ranged_frame(_ranged_bars(spark, sf_dir), scanners.diagnose), "ticker").select("ticker", *FLAGS)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/bars-{uuid.uuid4().hex}"
+
+
+def _stream_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars arrive in two steps, the later ones after the stream was stopped."""
+    folder = _own_folder(spark)
+    bars_from_events(spark.read.parquet(f"{sf_dir}/events.parquet")).write.parquet(f"{folder}/all")
+    bars = spark.read.parquet(f"{folder}/all")
+    first, last = bars.agg(F.min("bar_ts"), F.max("bar_ts")).first()
+    if first is not None:
+        cut = F.lit(first + (last - first) * 0.8).cast("timestamp_ntz")
+        for part in (F.col("bar_ts") <= cut, F.col("bar_ts") > cut):
+            bars.where(part).write.mode("append").parquet(f"{folder}/in")
+            latest = latest_indicators(spark.readStream.schema(bars.schema).parquet(f"{folder}/in"))
+            run_latest(latest, f"{folder}/out", f"{folder}/state").awaitTermination()
+        found = current(spark, f"{folder}/out")
+    else:
+        found = indicator_frame(positioned(bars))
+    return latest_rules(found, VOL_MULT, LIVE.max_hold).select("ticker", "i", F.date_format("bar_ts", "yyyy-MM-dd").alias("date"), "close", *PRESETS)
+
+
+def _stored_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MACD over a bucketed table: no shuffle after the table is written."""
+    folder = _own_folder(spark)
+    bars = bars_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return with_macd(positioned(write_store(bars, f"bars_{uuid.uuid4().hex}", folder, buckets=16))).select("ticker", "i", *_rounded("macd", "signal"))
+
+
+def _bar_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten days of two instruments up to a date, or the last one with bars, from a table of
+    bars under their foreign names."""
+    folder = _own_folder(spark)
+    bars = bars_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    named = bars.withColumnsRenamed({"bar_ts": "날짜", "open": "시가", "high": "고가", "low": "저가", "close": "종가", "volume": "거래량"})
+    named.repartitionByRange("ticker").sortWithinPartitions("ticker", "날짜").write.parquet(folder)
+    wanted = spark.createDataFrame([("click",), ("view",)], "ticker string")
+    return read_bars(spark, folder, wanted, end="2024-01-25", days=10)
+
+
+def _strategy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strategies, partial and broken ones among them, one for each part."""
+    texts = [
+        F.format_string('{"entry_set": "strict_union", "max_hold": %d, "stop_pct": 0.05}', "p_size"),
+        F.format_string('{"max_hold": "%d", "macd_zero_filter": false}', "p_size"),
+        F.format_string('{"entry_set": "%s"}', "p_brand"),
+        F.format_string('{"macd_zero_filter": "%s"}', "p_type"),
+        F.format_string('{"days": %d', "p_size"),
+        F.concat(F.lit('{"vol_mult": '), "p_retailprice", F.lit(', "note": [1]}')),
+    ]
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    text = F.coalesce(*(F.when(F.col("p_partkey") % len(texts) == k, t) for k, t in enumerate(texts)))
+    return parse_strategies(parts.select(F.col("p_partkey").cast("string").alias("path"), text.alias("json")))
+
+
 def _candle(bars: DataFrame) -> DataFrame:
     return bars.withColumns({"body_pct": F.col("close") / F.col("open") - 1, "close_pos": (F.col("close") - F.col("low")) / F.expr("nullif(high - low, 0)")})
 
@@ -314,6 +372,10 @@ QUERIES: dict[str, Query] = {
     "rules_last_bar": _last_signals,
     "preset_nonfinite": _nonfinite,
     "scan_report": _scan_report,
+    "stream_rules_last_bar": _stream_rules,
+    "stored_macd_signal": _stored_macd,
+    "bar_scan": _bar_scan,
+    "strategy_files": _strategy_files,
     "ranged_macd_signal": _ranged("macd", "signal"),
     "ranged_ma": _ranged("ma5", "ma10", "ma20", "ma60"),
     "ranged_rsi_engine": _ranged("rsi14"),

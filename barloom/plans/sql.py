@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from barloom.functions.rules import NEEDS_CROSS, PRESETS, rule_sql
+from barloom.operators.reports import SCANNERS
 from barloom.operators.scanners import FLAGS, FUNNEL
-from barloom.operators.surge import FEATURES, TARGETS, VALID
+from barloom.operators.surge import FEATURES, TARGET_NAMES, TARGETS, VALID
+from barloom.operators.trades import DECIMALS, SUMMARY
 from barloom.sources.strategy import QUANT, StrategyConfig
 
 BARS = """
@@ -138,12 +142,19 @@ _SURGE = (
 )
 
 
-def _lift() -> str:
+_LIFT = "SELECT target, feature, round(p, 2) AS pos_rate_pct, round(q, 2) AS neg_rate_pct, round((p + 1e-9) / (q + 1e-9), 3) AS lift FROM r"
+
+
+def _lift_rows() -> str:
     rows = []
     for t in TARGETS:
         for f in FEATURES:
             rows.append(f"SELECT '{t}' AS target, '{f}' AS feature, coalesce(avg({f}::INT::DOUBLE) FILTER (WHERE {t}), 0.0) * 100 AS p, coalesce(avg({f}::INT::DOUBLE) FILTER (WHERE NOT {t}), 0.0) * 100 AS q FROM sf WHERE valid")
-    return f"WITH {FRAME}{_SURGE}, r AS ({' UNION ALL '.join(rows)}) SELECT target, feature, round(p, 2) AS pos_rate_pct, round(q, 2) AS neg_rate_pct, round((p + 1e-9) / (q + 1e-9), 3) AS lift FROM r"
+    return " UNION ALL ".join(rows)
+
+
+def _lift() -> str:
+    return f"WITH {FRAME}{_SURGE}, r AS ({_lift_rows()}) {_LIFT}"
 
 
 def preset(name: str, vol_mult: float) -> str:
@@ -203,6 +214,42 @@ SELECT (SELECT count(*) FROM sizes WHERE n >= greatest(35, max_hold + 2)) AS ins
     }
 
 
+def scan_report() -> str:
+    """The report of the last bars as one text."""
+    stages = {s: [f.removeprefix(f"{s}_") for f in FLAGS if f.startswith(f"{s}_")] for s in SCANNERS}
+    line = "'- ' || ticker || ' (' || ticker || ') | ' || format('{:,}', CAST(round_even(close, 0) AS BIGINT))"
+    lines = ", ".join(f"string_agg({line}, '\n' ORDER BY {line}) FILTER (WHERE {s}_final) AS {s}_lines" for s in SCANNERS)
+    counts = ", ".join(f"count(*) FILTER (WHERE {f}) AS {f}" for f in FLAGS)
+    sections = " || ".join(f"coalesce('[{title}]\n' || {s}_lines || '\n\n', '')" for s, title in SCANNERS.items())
+    nothing = f"CASE WHEN coalesce({', '.join(f'{s}_lines' for s in SCANNERS)}) IS NULL THEN 'Nothing passed today.\n\n' ELSE '' END"
+    summary = " || ".join(["'[SUMMARY]\ninstruments=' || instruments", *(f"'\n{s}=' || {s}_final" for s in SCANNERS)])
+    diag = [f"'[DIAG - {s.title()}]' || " + " || ".join(f"'\n{x}=' || {s}_{x}" for x in xs) for s, xs in stages.items()]
+    text = f"'Daily scan\n- run: 2024-01-01 00:00:00 UTC\n- instruments: events\n- data of: ' || coalesce(latest, 'N/A') || '\n\n' || {sections} || {nothing} || concat_ws('\n\n', {', '.join([summary, *diag])})"
+    return f"WITH {FRAME}{DIAG}, one AS (SELECT {lines}, {counts}, count(*) AS instruments, strftime(max(bar_ts), '%Y%m%d') AS latest FROM diag WHERE i = n - 1) SELECT {text} AS text FROM one"
+
+
+def _number(x: str) -> str:
+    """A double as JSON writes it: from 10 million on with an exponent."""
+    digits = f"rtrim(replace(({x})::VARCHAR, '.', ''), '0')"
+    return f"CASE WHEN abs({x}) >= 1e7 THEN left({digits}, 1) || '.' || coalesce(nullif(substr({digits}, 2), ''), '0') || 'E' || (strpos(({x})::VARCHAR, '.') - 2) ELSE coalesce(({x})::VARCHAR, 'null') END"
+
+
+def surge_analysis(cfg: StrategyConfig) -> str:
+    """The analysis of rises and the strategy's check as one JSON text."""
+    order = ", ".join(f"('{f}', {k})" for k, f in enumerate(FEATURES))
+    lifts = f"SELECT target, string_agg('{{\"feature\":\"' || feature || '\",\"pos_rate_pct\":' || {_number('pos_rate_pct')} || ',\"neg_rate_pct\":' || {_number('neg_rate_pct')} || ',\"lift\":' || {_number('lift')} || '}}', ',' ORDER BY k) AS rows FROM lift JOIN (VALUES {order}) AS o(feature, k) USING (feature) GROUP BY target"
+    rates = ", ".join(f"round(coalesce(avg({t}::INT::DOUBLE), 0.0) * 100, 2) AS {t}" for t in TARGETS)
+    target = lambda t: f"'\"{TARGET_NAMES[t]}\":{{\"positive_rate_pct\":' || {_number(t)} || ',\"feature_lift\":[' || (SELECT rows FROM lifts WHERE target = '{t}') || ']}}'"
+    known = {"market", "days", "entry_set", "entry", "macd_zero_filter", "vol_mult", "stop_pct", "max_hold", "fee_bp", "slip_bp"}
+    shown = lambda f: f"'\"{f}\":' || " + (f"'{json.dumps(getattr(cfg, f))}'" if f in known else _number(f"round({_SCORE if f == 'score' else f}, {DECIMALS[f]}) + 0.0") if f in DECIMALS else f)
+    strategy = json.dumps({f: getattr(cfg, f) for f in ("entry_set", "stop_pct", "max_hold", "vol_mult", "entry", "macd_zero_filter", "market", "days", "fee_bp", "slip_bp", "score")}, separators=(",", ":"))
+    backtest = " || ',' || ".join(shown(f) for f in SUMMARY)
+    fires = f"i = n - 1 AND n >= {max(35, cfg.max_hold + 2)} AND {rule_sql(cfg.entry_set, cfg.vol_mult)}"
+    return f"""WITH {FRAME}{_SURGE}{trades([cfg])}{_curve('config', 'ticker_ord, i')}, m AS (SELECT count(DISTINCT ticker) AS active_tickers, {_METRICS} FROM c2 GROUP BY config),
+r AS ({_lift_rows()}), lift AS ({_LIFT}), lifts AS ({lifts}), rates AS (SELECT count(*) AS sample_count, {rates} FROM sf WHERE valid), live AS (SELECT string_agg('"' || ticker || '"', ',' ORDER BY ticker) AS names FROM ind WHERE {fires})
+SELECT '{{"sample_count":' || sample_count || ',"targets":{{' || concat_ws(',', {', '.join(target(t) for t in TARGETS)}) || '}},"quant_surge_validation":{{"strategy":{strategy},"backtest":' || coalesce((SELECT '{{' || {backtest} || '}}' FROM m), 'null') || ',"live_candidates":[' || coalesce(names, '') || ']}}}}' AS json FROM rates, live"""
+
+
 def oracle(configs: dict[str, list[StrategyConfig]], vol_mult: float, live: StrategyConfig, min_trades: int) -> dict[str, str]:
     out = indicator_queries() | {f"preset_{p}": preset(p, vol_mult) for p in PRESETS}
     assert NEEDS_CROSS <= set(PRESETS)
@@ -223,6 +270,16 @@ p(config, market, days, entry_set, entry, macd_zero_filter, vol_mult, stop_pct,
 SELECT p.*, active_tickers, trade_count, trailing_stop_count, dead_cross_count, max_hold_count, {shown}, round(round({_SCORE}, 9), 2) + 0.0 AS score FROM m JOIN p USING (config)"""
     out["scan_last_bar"] = select(["ticker", "i", "bar_ts", "close", *FLAGS], "i = n - 1", "diag", DIAG)
     out["rules_last_bar"] = select({**_AT, "date": "strftime(bar_ts, '%Y-%m-%d')", "close": "close"} | {p: f"n >= {max(35, live.max_hold + 2)} AND {rule_sql(p, vol_mult)}" for p in PRESETS}, "i = n - 1")
+    out["stream_rules_last_bar"] = out["rules_last_bar"]
+    out["scan_report"], out["surge_analysis_json"] = scan_report(), surge_analysis(QUANT)
+    out["stored_macd_signal"] = out["ind_macd_signal"]
+    out["bar_scan"] = f"WITH {BARS}, upto AS (SELECT * FROM bars WHERE bar_ts <= '2024-01-25') SELECT ticker, bar_ts, open, high, low, close, volume FROM upto WHERE ticker IN ('click', 'view') AND bar_ts >= (SELECT max(bar_ts) - INTERVAL 10 DAYS FROM upto)"
+    d = StrategyConfig()
+    out["strategy_files"] = f"""
+WITH p AS (SELECT *, p_partkey % 6 AS k FROM part), r AS (SELECT *, CASE k WHEN 2 THEN 'unknown rule' WHEN 3 THEN 'bad field macd_zero_filter' WHEN 4 THEN 'no JSON object' END AS reason FROM p)
+SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN reason IS NULL THEN CASE k WHEN 0 THEN 'strict_union' ELSE '{d.entry_set}' END END AS entry_set, CASE WHEN reason IS NULL THEN CASE k WHEN 0 THEN 0.05::DOUBLE ELSE {d.stop_pct}::DOUBLE END END AS stop_pct,
+ CASE WHEN reason IS NULL THEN CASE WHEN k < 2 THEN p_size ELSE {d.max_hold} END END AS max_hold, CASE WHEN reason IS NULL THEN CASE k WHEN 5 THEN p_retailprice ELSE {d.vol_mult}::DOUBLE END END AS vol_mult, CASE WHEN reason IS NULL THEN '{d.entry}' END AS entry,
+ CASE WHEN reason IS NULL THEN k <> 1 END AS macd_zero_filter, CASE WHEN reason IS NULL THEN '{d.market}' END AS market, CASE WHEN reason IS NULL THEN {d.days} END AS days, CASE WHEN reason IS NULL THEN {d.fee_bp}::DOUBLE END AS fee_bp, CASE WHEN reason IS NULL THEN {d.slip_bp}::DOUBLE END AS slip_bp, NULL::DOUBLE AS score, reason FROM r"""
     planted = BARS.replace("bars AS (", "whole AS (") + """,
 bars AS (SELECT * REPLACE (CASE WHEN i % 23 = 7 THEN NULL ELSE volume END AS volume, CASE WHEN i % 29 IN (3, 11) THEN NULL ELSE open END AS open, CASE WHEN i % 211 = 5 THEN NULL ELSE high END AS high) FROM whole)"""
     fired = " UNION ALL ".join(f"SELECT ticker, i, '{p}' AS rule FROM ind WHERE i < n - 2 AND {rule_sql(p, vol_mult)}" for p in PRESETS)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import logging
+import re
 from collections.abc import Callable
 from pathlib import Path
 
@@ -41,6 +42,17 @@ def append_log(log: DataFrame, path: str) -> None:
     log.write.mode("append").parquet(path)
 
 
+def replace_log(log: DataFrame, path: str, run: str) -> None:
+    """The log's rows of one run, in place of those that the run wrote before.
+
+    A run is a folder ``run=...`` of the log: one job writes it and files appear when that
+    job commits, so a run that dies leaves no rows, and one that runs again no second set.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", run):
+        raise ValueError(f"not a run's key: {run!r}")
+    log.write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
 def best_effort(write: Callable[[], None], what: str) -> bool:
     """Runs a writer whose failure must not stop the job; tells whether it worked."""
     try:

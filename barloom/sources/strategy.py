@@ -8,9 +8,10 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, fields
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.functions.rules import require
+from barloom.functions.rules import PRESETS, require
 
 
 @dataclass(frozen=True)
@@ -57,6 +58,39 @@ def load_strategy_or_none(path: str) -> StrategyConfig | None:
         return None
 
 
+def parse_strategies(files: DataFrame) -> DataFrame:
+    """``files(path, json)`` as strategies: path, a column per field, ``reason``.
+
+    Fields that a file lacks take their defaults; numbers may be texts of numbers, flags
+    have to be booleans; unknown keys are ignored.  A bad file has a ``reason`` (no JSON
+    object, then the first field that is wrong, then an unknown rule) and null fields.  A
+    null or empty file is no JSON object; of a key that is there twice, the file is none.
+    """
+    kinds = {"str": "string", "float": "double", "int": "int", "bool": "boolean", "float | None": "double"}
+    types = {f.name: (kinds[f.type], f.default) for f in fields(StrategyConfig)}
+    read = files.withColumn("v", F.try_parse_json("json"))
+    read = read.withColumn("v", F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v")))
+    given = {name: F.try_variant_get("v", f"$.{name}", "variant") for name in types}
+    values, wrong = {}, []
+    for name, (kind, default) in types.items():
+        there = given[name].isNotNull() & ~F.is_variant_null(given[name])
+        value = F.try_variant_get("v", f"$.{name}", kind)
+        if kind == "boolean":
+            value = F.when(F.schema_of_variant(given[name]) == "BOOLEAN", value)
+        null = F.lit(False) if default is None else given[name].isNotNull() & F.is_variant_null(given[name])
+        wrong.append(F.when((there & value.isNull()) | null, F.lit(f"bad field {name}")))
+        values[name] = F.when(there, value).otherwise(F.lit(default).cast(kind))
+    rule_unknown = F.when(~values["entry_set"].isin(*PRESETS), F.lit("unknown rule"))
+    reason: Column = F.coalesce(F.when(F.col("v").isNull(), F.lit("no JSON object")), *wrong, rule_unknown)
+    read = read.select("path", "v", reason.alias("reason"))
+    return read.select("path", *(F.when(F.col("reason").isNull(), c).alias(name) for name, c in values.items()), "reason")
+
+
+def read_strategies(spark: SparkSession, path: str) -> DataFrame:
+    """All JSON files of a folder by ``parse_strategies``, one row per file."""
+    return parse_strategies(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json")))
+
+
 def parse_list(text: str, kind=str) -> list:
     """Values of a comma-separated list; flags are true/false, 1/0, yes/no."""
     parts = [p.strip() for p in text.split(",") if p.strip()]
