@@ -2,18 +2,22 @@
 
 Candidate tokens are runs of at least 20 letters, digits and ``+/_-``; ``=`` ends a run, and
 up to two at its end belong to it.  For each the encoding is inferred (the smallest alphabet that holds its symbols),
-and three statistics are taken: chi-squared of the symbol counts against a uniform
-alphabet, a runs test of symbols above and below the alphabet's middle, and the lag-one
-serial correlation.  Without digits, names in one case look much like random letters, so
-there the share of upper case is a fourth.  Their p-values under "random" are exact up to
-64 symbols (the serial correlation's by its exact moments), since 20 symbols over 64 cells
-are far from any limit, and are combined by Bonferroni.
-
-Words and identifiers are far from random, and long ones more visibly so.  Within each
-length class (a power of two) Benjamini-Hochberg decides which tokens are non-random at
-level ``q``; what remains, has enough distinct symbols, and is long enough for the test to
-have power, is reported.  The cut uses counts over all documents, kept as a histogram of
-fixed size, so nothing grows on the driver.
+and four statistics are taken: chi-squared of the symbol counts against a uniform
+alphabet, a runs test of symbols above and below the alphabet's middle, one of runs of
+upper case, lower case, digits and others (names have few), and the lag-one serial
+correlation.  Without digits the share of upper case is a fifth.  Their p-values under
+"random" are exact up to 64 symbols (the serial correlation's by its exact moments), since
+20 symbols over 64 cells are far from any limit, and are combined by Bonferroni.
+
+What is reported is decided per encoding and length class (a power of two) from the
+histogram of -log10 of the combined p-values of all different tokens, kept at a fixed size.
+Random tokens have small values, names large ones, and the fewer the smaller: below the
+mode of names their density rises.  So the names among tokens up to a cut are at most as
+dense as the tokens in a window behind it, and (1 + tokens in the window) / (widths of the
+window over the cut's) bounds them.  The last cut at which this is at most ``q`` of the
+tokens up to it decides; windows are 1, 2, 4, 8, 16 and 20 times as wide.  So the share of
+names among *reported* tokens is controlled; where names look as random as secrets do,
+nothing is reported.  A lone token can be reported, since the widest window may be empty.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -128,6 +133,47 @@ def runs_test(n1: int, n2: int, runs: int) -> float:
     return min(1.0, 2 * min(low, high))
 
 
+_GROUPS = (str.isupper, str.islower, str.isdigit)
+
+
+def _group(c: str) -> int:
+    return next((k for k, of in enumerate(_GROUPS) if of(c)), len(_GROUPS))
+
+
+@lru_cache(maxsize=4096)
+def few_changes(n: int, shares: tuple[float, ...]) -> np.ndarray:
+    """P(at most c places where the group changes), for n symbols of groups with these
+    shares, by c."""
+    share = np.array(shares)
+    at = np.zeros((len(share), n))  # by the last symbol's group and the changes so far
+    at[:, 0] = share
+    for _ in range(n - 1):
+        moved = np.zeros_like(at)
+        moved[:, 1:] = (at.sum(axis=0) - at)[:, :-1]
+        at = share[:, None] * (at + moved)
+    return np.cumsum(at.sum(axis=0))
+
+
+def change_test(token: str, alphabet: str) -> float:
+    """The p-value of so few changes between upper case, lower case, digits and others."""
+    groups = [_group(c) for c in token]
+    own = Counter(map(_group, alphabet))
+    if len(own) > 2 and 2 not in groups:  # letters alone
+        own.pop(2)
+    if len(own) < 2:
+        return 1.0
+    shares = tuple(own[g] / sum(own.values()) for g in sorted(own))
+    changes = sum(a != b for a, b in zip(groups, groups[1:], strict=False))
+    if len(token) <= 4 * EXACT:
+        return float(min(1.0, max(LEAST_P, few_changes(len(token), shares)[changes])))
+    # Changes at neighbouring places depend on each other.
+    two, three = sum(x**2 for x in shares), sum(x**3 for x in shares)
+    n = len(token) - 1
+    var = n * two * (1 - two) + 2 * (n - 1) * (three - two**2)
+    z = (changes + 0.5 - n * (1 - two)) / math.sqrt(var)
+    return max(LEAST_P, 0.5 * math.erfc(-z / math.sqrt(2)))
+
+
 @lru_cache(maxsize=65536)
 def binomial_test(k: int, n: int, share: float) -> float:
     """The two-sided p-value of k out of n."""
@@ -158,7 +204,7 @@ def battery(token: str) -> tuple[str, float, bool] | None:
     codes = np.array([at[c] for c in token])
     n, a = len(codes), len(alphabet)
     high = codes >= a / 2
-    p = [uniformity(np.bincount(codes, minlength=a)), runs_test(int(high.sum()), int((~high).sum()), 1 + int((high[1:] != high[:-1]).sum())), serial_test(codes.astype(float))]
+    p = [uniformity(np.bincount(codes, minlength=a)), runs_test(int(high.sum()), int((~high).sum()), 1 + int((high[1:] != high[:-1]).sum())), serial_test(codes.astype(float)), change_test(token, alphabet)]
     if a >= 62 and not any(c.isdigit() for c in token):
         p.append(binomial_test(sum(c.isupper() for c in token), n, 26 / (a - 10)))
     return name, max(1e-20, min(1.0, len(p) * min(p))), n >= least and len(set(token)) >= min(10, a // 2)
@@ -180,11 +226,23 @@ def _join(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, k, e in spans)
 
 
-_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base string, base_sha256 string, candidates array<struct<start:int,stop:int,encoding:string,length_class:int,bin:int,power:boolean>>"
+def _class(length: int) -> int:
+    return length.bit_length()
+
+
+def _number(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def _bin(p: float) -> int:
+    return min(BINS - 1, int(-math.log10(p) / BIN))
+
+
+_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base string, base_sha256 string, candidates array<struct<start:int,stop:int,encoding:string,length_class:int,bin:int,power:boolean,token:long>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("encoding", pa.string()), ("length_class", pa.int32()), ("bin", pa.int32()), ("power", pa.bool_())]))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("encoding", pa.string()), ("length_class", pa.int32()), ("bin", pa.int32()), ("power", pa.bool_()), ("token", pa.int64())]))
     for b in batches:
         rows = []
         for text in b.column("text").to_pylist():
@@ -194,7 +252,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for m in RUN.finditer(text):
                 s, e = m.span()
                 if not any(s < y and x < e for x, _, y in spans) and (got := battery(m[0])):
-                    found.append({"start": s, "stop": e, "encoding": got[0], "length_class": (e - s).bit_length(), "bin": min(BINS - 1, int(-math.log10(got[1]) / BIN)), "power": got[2]})
+                    found.append({"start": s, "stop": e, "encoding": got[0], "length_class": _class(len(m[0].rstrip("="))), "bin": _bin(got[1]), "power": got[2], "token": _number(m[0])})
             n = [sum(k == kind for _, k, _ in spans) for kind in KINDS[:3]]
             base = _join(spans)
             rows.append((*n, base, hashlib.sha256(base.encode()).hexdigest(), found))
@@ -202,21 +260,30 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in rows], kinds[k]) for k in range(6))], names=[c.split()[0] for c in _SCHEMA.split(", ")])
 
 
-def cuts(histogram: list[tuple[int, int, int]], q: float) -> dict[int, int]:
-    """Per length class the least bin that Benjamini-Hochberg rejects.
+#: Widths of the windows behind a cut, in widths of the cut.
+WINDOWS = (1, 2, 4, 8, 16, 20)
+#: The last cut that is tried: p-values of 0.05 and more.  Beyond it lie at most a twentieth
+#: of random tokens, and more and more names.
+LAST_CUT = 26
+
+
+def cuts(tokens: dict[tuple[str, int, int], int], q: float) -> dict[tuple[str, int], int]:
+    """Per encoding and length class how many bins are reported, where there are some.
 
-    ``histogram``: (length class, bin, count).  A bin's p-value is its upper end, so the
-    control holds for every token in it.
+    ``tokens`` counts different tokens by (encoding, length class, bin); bin 0 is the most
+    random.
     """
-    out: dict[int, int] = {}
-    for cls in {c for c, _, _ in histogram}:
-        own = sorted(((b, n) for c, b, n in histogram if c == cls), reverse=True)
-        total, so_far, cut = sum(n for _, n in own), 0, BINS
-        for b, n in own:
-            so_far += n
-            if 10 ** (-b * BIN) <= q * so_far / total:
-                cut = b
-        out[cls] = cut
+    groups: dict[tuple[str, int], np.ndarray] = {}
+    for (encoding, cls, b), n in tokens.items():
+        groups.setdefault((encoding, cls), np.zeros(BINS, np.int64))[b] += n
+    out = {}
+    for group, counts in groups.items():
+        upto = np.append(0, np.cumsum(counts))
+        for cut in range(LAST_CUT, 0, -1):
+            behind = [(1 + upto[cut + k * cut] - upto[cut]) / k for k in WINDOWS if cut + k * cut <= BINS]
+            if min(behind) <= q * upto[cut]:
+                out[group] = cut
+                break
     return out
 
 
@@ -229,14 +296,14 @@ def scan_secrets(docs: DataFrame, q: float = 0.05) -> DataFrame:
     columns are ignored; an empty table gives no rows.
     """
     rows = written(docs.select("doc_id", "text").mapInArrow(_scan, _SCHEMA))
-    each = rows.select(F.explode("candidates").alias("c"))
-    # At most one row per length class (32) and bin (400), whatever the input.
-    histogram = each.groupBy("c.length_class", "c.bin").count().collect()
-    limit = cuts([tuple(r) for r in histogram], q)
-    chosen = F.col("candidates")
+    # At most one row per encoding (8), length class (32) and bin (400), whatever the input.
+    tokens = rows.select(F.explode("candidates").alias("c")).where("c.power").select("c.encoding", "c.length_class", "c.bin", "c.token").distinct().groupBy("encoding", "length_class", "bin").count().collect()
+    limit = cuts({tuple(r)[:3]: r[3] for r in tokens}, q)
+    chosen = F.filter("candidates", lambda c: F.lit(False))
     if limit:
-        table = F.create_map(*[F.lit(x) for pair in sorted(limit.items()) for x in pair])
-        chosen = F.filter("candidates", lambda c: c["power"] & (c["bin"] < F.element_at(table, c["length_class"])))
+        table = F.create_map(*[F.lit(x) for (encoding, cls), b in sorted(limit.items()) for x in (f"{encoding}:{cls}", b)])
+        last = lambda c: F.element_at(table, F.concat(c["encoding"], F.lit(":"), c["length_class"].cast("string")))
+        chosen = F.filter("candidates", lambda c: c["power"] & F.coalesce(c["bin"] < last(c), F.lit(False)))
     base = F.transform(F.filter(F.split("base", ","), lambda s: s != ""), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), F.split(s, ":")[0]).cast("int").alias("kind"), F.split(s, ":")[2].cast("int").alias("stop")))
     more = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), c["stop"].alias("stop")))
     spans = F.transform(F.array_sort(F.concat(base, more)), lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"]), s["start"].cast("string"), s["stop"].cast("string")))

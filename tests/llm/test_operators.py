@@ -523,6 +523,61 @@ def test_exact_null_distributions():
         assert abs(secret_scan.runs_test(3, 4, r) - min(1, 2 * min(np.mean([q <= r for q in runs]), np.mean([q >= r for q in runs])))) < 1e-12
 
 
+def test_changes_of_groups_exactly():
+    import itertools
+
+    alphabet = "ABab1"
+    shares = tuple(sum(secret_scan._group(c) == g for c in alphabet) / 5 for g in range(3))
+    changes = [sum(secret_scan._group(x) != secret_scan._group(y) for x, y in zip(t, t[1:])) for t in itertools.product(alphabet, repeat=6)]
+    got = secret_scan.few_changes(6, shares)
+    assert all(abs(got[c] - np.mean([x <= c for x in changes])) < 1e-12 for c in range(6))
+    rng = random.Random(3)
+    b62 = secret_scan.ALPHABETS[5][1]
+    long = np.array([secret_scan.change_test("".join(rng.choice(b62) for _ in range(400)), b62) for _ in range(2000)])
+    assert all(abs((long <= level).mean() - level) < 4 * (level / 2000) ** 0.5 for level in (0.05, 0.2, 0.5))
+
+
+def test_cuts_against_their_definition():
+    rng = random.Random(4)
+    for trial in range(300):
+        bins = [rng.randrange(rng.choice((12, 60, 400))) for _ in range(rng.choice((0, 1, 3, 40, 400)))]
+        bins += [int(-np.log10(rng.random() + 1e-12) / 0.05) % 400 for _ in range(rng.choice((0, 1, 30, 200)))]
+        want = 0
+        for cut in range(1, secret_scan.LAST_CUT + 1):
+            reported = sum(b < cut for b in bins)
+            bounds = [(1 + sum(cut <= b < cut + k * cut for b in bins)) / k for k in (1, 2, 4, 8, 16, 20) if cut * (1 + k) <= 400]
+            want = cut if min(bounds) <= 0.05 * reported else want
+        tokens = {("base62", 5, b): bins.count(b) for b in bins} | {("hex", 6, 399): 5}
+        assert secret_scan.cuts(tokens, 0.05).get(("base62", 5), 0) == want and ("hex", 6) not in secret_scan.cuts(tokens, 0.05)
+
+
+def test_few_names_among_reported_tokens(spark):
+    """Names of three forms with random tokens of four lengths among them: of what is
+    reported at most a twentieth are names, over all mixtures and in nearly all of each."""
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice(c) for c in ("bcdfglmnprst", "aeiou", "lmnrst", "aeiou", "cdknt")[: rng.choice((3, 4, 5))]) + rng.choice(("", "er", "ing", "or")) for _ in range(600)})
+    b62 = secret_scan.ALPHABETS[5][1]
+    some = lambda: rng.sample(words, rng.randint(4, 7))
+    forms = {
+        "camel": lambda: "".join(w.title() for w in some()) + str(rng.randrange(1, 999)),
+        "snake": lambda: "_".join(some()),
+        "path": lambda: "/".join(some()),
+    }
+    found, wrong, recall = 0, 0, {}
+    for name, form in forms.items():
+        for size in (24, 32, 40, 64):
+            names = [x for x in (form() for _ in range(1500)) if len(x) >= 20]
+            secrets = ["".join(rng.choice(b62) for _ in range(size)) for _ in range(30)]
+            rows = list(enumerate(names + secrets))
+            got = {r["doc_id"] for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).where("spans like '%random%'").collect()}
+            bad = sum(k < len(names) for k in got)
+            found, wrong = found + len(got), wrong + bad
+            recall[name, size] = (len(got) - bad) / 30
+            assert bad <= 0.1 * max(10, len(got)), (name, size, bad, len(got))
+    assert found and wrong <= 0.05 * found
+    assert all(recall[name, size] >= 0.8 for name in ("snake", "path") for size in (24, 32, 40, 64)) and recall["camel", 64] >= 0.8, recall
+
+
 def plain_base(text):
     found = []
     for kind, pattern, flags in (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), ("access", r"AKIA[A-Z0-9]+", 0), ("hex", r"[0-9a-f]+", 0)):
