@@ -6,7 +6,7 @@ look back reads them all.  Stages of the trend, power and funnel scans are cumul
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import by_bar
@@ -74,6 +74,20 @@ def hits(diagnosed: DataFrame, scanner: str, last_only: bool = True) -> DataFram
     return rows.select("ticker", "i", "bar_ts", "close")
 
 
+def observed_hits(diagnosed: DataFrame, last_only: bool = True) -> tuple[DataFrame, Observation]:
+    """scanner, ticker, i, bar_ts, close of all scanners' hits, and the counts of bars and
+    of each stage, which the job that writes the hits takes on its way.
+
+    Counts are there (``Observation.get``) once an action on the hits is over.  They are
+    taken behind the last shuffle, where each task's result is counted once.
+    """
+    rows = diagnosed.where(F.col("i") == F.col("n") - 1) if last_only else diagnosed
+    seen = Observation("stages")
+    rows = rows.observe(seen, F.count("*").alias("bars"), *(F.count_if(f).alias(f) for f in FLAGS))
+    fired = F.explode(F.array_compact(F.array(*(F.when(F.col(f"{s}_final"), F.lit(s)) for s in ("breakout", "trend", "power")))))
+    return rows.select(fired.alias("scanner"), "ticker", "i", "bar_ts", "close"), seen
+
+
 def funnel(frame: DataFrame) -> DataFrame:
     """Cumulative stages of the legacy funnel, its volume ratio and rsi, for every bar."""
     df = with_legacy_rsi(frame)

@@ -295,6 +295,15 @@ def _bar_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bars(spark, folder, wanted, end="2024-01-25", days=10)
 
 
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits by scanner and all stage counts, of one job over all bars."""
+    folder = _own_folder(spark)
+    found, seen = scanners.observed_hits(scanners.diagnose(_frame(spark, sf_dir)), last_only=False)
+    found.write.parquet(folder)
+    counts = spark.createDataFrame([(k, v) for k, v in seen.get.items()], "name string, n long")  # 15 numbers
+    return counts.unionByName(spark.read.parquet(folder).groupBy(F.concat("scanner", F.lit("_hits")).alias("name")).agg(F.count("*").alias("n")))
+
+
 def _strategy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strategies, partial and broken ones among them, one for each part."""
     texts = [
@@ -376,6 +385,7 @@ QUERIES: dict[str, Query] = {
     "stored_macd_signal": _stored_macd,
     "bar_scan": _bar_scan,
     "strategy_files": _strategy_files,
+    "scan_observed": _observed,
     "ranged_macd_signal": _ranged("macd", "signal"),
     "ranged_ma": _ranged("ma5", "ma10", "ma20", "ma60"),
     "ranged_rsi_engine": _ranged("rsi14"),

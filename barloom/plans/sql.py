@@ -272,6 +272,8 @@ SELECT p.*, active_tickers, trade_count, trailing_stop_count, dead_cross_count,
     out["rules_last_bar"] = select({**_AT, "date": "strftime(bar_ts, '%Y-%m-%d')", "close": "close"} | {p: f"n >= {max(35, live.max_hold + 2)} AND {rule_sql(p, vol_mult)}" for p in PRESETS}, "i = n - 1")
     out["stream_rules_last_bar"] = out["rules_last_bar"]
     out["scan_report"], out["surge_analysis_json"] = scan_report(), surge_analysis(QUANT)
+    named = " UNION ALL ".join([f"SELECT '{f}' AS name, count(*) FILTER (WHERE {f}) AS n FROM diag" for f in FLAGS] + [f"SELECT '{s}_hits', count(*) FROM diag WHERE {s}_final HAVING count(*) > 0" for s in SCANNERS])
+    out["scan_observed"] = f"WITH {FRAME}{DIAG} SELECT 'bars' AS name, count(*) AS n FROM diag UNION ALL {named}"
     out["stored_macd_signal"] = out["ind_macd_signal"]
     out["bar_scan"] = f"WITH {BARS}, upto AS (SELECT * FROM bars WHERE bar_ts <= '2024-01-25') SELECT ticker, bar_ts, open, high, low, close, volume FROM upto WHERE ticker IN ('click', 'view') AND bar_ts >= (SELECT max(bar_ts) - INTERVAL 10 DAYS FROM upto)"
     d = StrategyConfig()

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.commands import detect
+from barloom.operators import scanners
 from barloom.operators.indicators import indicator_frame
 from barloom.sources import sinks
 from barloom.sources.bars import bars_from_events, positioned
@@ -75,3 +76,17 @@ def test_a_run_that_runs_again_leaves_one_set_of_rows(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/own").count() == 1
     with pytest.raises(ValueError):
         sinks.replace_log(log, f"{tmp_path}/own", "../x")
+
+
+def test_counts_of_the_job_that_writes_the_hits(spark, tmp_path):
+    flagged = scanners.diagnose(indicator_frame(positioned(bars_from_events(spark.read.parquet("/root/testdata/sf0.01/events.parquet")))))
+    for last_only in (True, False):
+        found, seen = scanners.observed_hits(flagged, last_only)
+        found.write.parquet(f"{tmp_path}/hits-{last_only}")
+        rows = flagged.where("i = n - 1") if last_only else flagged
+        want = scanners.diagnostic_counts(rows).first().asDict() | {"bars": rows.count()}
+        assert seen.get == want
+        for s in ("breakout", "trend", "power"):
+            assert spark.read.parquet(f"{tmp_path}/hits-{last_only}").where(f"scanner = '{s}'").count() == want[f"{s}_final"]
+    found, seen = scanners.observed_hits(flagged.where("false"))
+    assert found.count() == 0 and seen.get["bars"] == 0
