@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from barloom.functions.ranges import positioned_by_days
 from barloom.functions.rules import PRESETS, rule
+from barloom.functions.tables import register, register_messages
 from barloom.operators import reports, scanners, surge, trades
 from barloom.operators.indicators import any_recent, indicator_frame, ma_cross, ranged_frame, recent_cross, with_legacy_rsi, with_macd, with_rsi
 from barloom.operators.scanners import FLAGS, FUNNEL
 from barloom.plans import sql
 from barloom.sources import tickers
 from barloom.sources.bars import bars_from_events, event_bars, normalise, positioned, read_bars
+from barloom.sources.daily import read_daily
 from barloom.sources.store import shared_folder, write_store
 from barloom.sources.strategy import QUANT, StrategyConfig, config_table, grid, parse_strategies
 from barloom.streaming.last_bar import current, latest_indicators, latest_rules, run_latest
@@ -319,6 +321,45 @@ def _strategy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_strategies(parts.select(F.col("p_partkey").cast("string").alias("path"), text.alias("json")))
 
 
+def _daily_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per instrument and day, some of them empty or broken: all bars, and a reason
+    for each bad file."""
+    folder = _own_folder(spark)
+    bars = bars_from_events(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("day", F.to_date("bar_ts"))
+    line = F.concat_ws(",", *(F.col(c).cast("string") for c in ("bar_ts", "open", "high", "low", "close", "volume")))
+    lines = bars.groupBy("ticker", "day").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bar_ts", line.alias("line")))), lambda x: x["line"]), "\n").alias("rows"))  # a day's bars
+    head = "날짜,시가,고가,저가,종가,거래량"
+    date = F.dayofmonth("day")
+    text = F.when(date == 7, "no bars").when(date == 14, head).when(date == 21, "").when(date == 25, f"{head}\n2024-01-01 00:00:00,1,1,1,x,1").otherwise(F.concat(F.lit(head + "\n"), "rows"))
+    lines.select("ticker", "day", text.alias("value")).write.partitionBy("ticker", "day").text(folder)
+    return read_daily(spark, folder).drop("path")
+
+
+def _sql_preset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = _frame(spark, sf_dir)
+    register(spark, frame.schema)
+    return spark.sql("SELECT ticker, i, close FROM {f} WHERE i < n - 2 AND fires('strict_union', :v, struct(*))", {"v": VOL_MULT}, f=frame)
+
+
+def _sql_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = _frame(spark, sf_dir)
+    register(spark, frame.schema)
+    return spark.sql("SELECT ticker, i, explode(rules) AS rule FROM (SELECT ticker, i, fired_rules(:v, struct(*)) AS rules FROM {f} WHERE i < n - 2)", {"v": VOL_MULT}, f=frame)
+
+
+def _sql_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_messages(spark)
+    sections = _strategy_section(spark, sf_dir).select(F.concat(F.lit("quant "), "date").alias("ident"), "text")
+    return spark.sql("SELECT * FROM split_message(TABLE({m}), 3500)", m=sections)
+
+
+def _sql_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day's sections, in batches by month."""
+    register_messages(spark)
+    items = _strategy_section(spark, sf_dir).select(F.substring("date", 1, 7).alias("ident"), F.col("date").alias("place"), F.col("text").alias("message"))
+    return spark.sql("SELECT * FROM batch_messages(TABLE({m}), 3000)", m=items)
+
+
 def _candle(bars: DataFrame) -> DataFrame:
     return bars.withColumns({"body_pct": F.col("close") / F.col("open") - 1, "close_pos": (F.col("close") - F.col("low")) / F.expr("nullif(high - low, 0)")})
 
@@ -386,6 +427,11 @@ QUERIES: dict[str, Query] = {
     "bar_scan": _bar_scan,
     "strategy_files": _strategy_files,
     "scan_observed": _observed,
+    "daily_file_scan": _daily_files,
+    "sql_preset_strict_union": _sql_preset,
+    "sql_fired_rules": _sql_rules,
+    "sql_message_chunks": _sql_chunks,
+    "sql_section_batches": _sql_batches,
     "ranged_macd_signal": _ranged("macd", "signal"),
     "ranged_ma": _ranged("ma5", "ma10", "ma20", "ma60"),
     "ranged_rsi_engine": _ranged("rsi14"),

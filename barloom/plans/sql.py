@@ -208,6 +208,11 @@ SELECT (SELECT count(*) FROM sizes WHERE n >= greatest(35, max_hold + 2)) AS ins
         "strategy_section": sections + " SELECT date, text FROM s",
         # No section of these tables is longer than a message.
         "message_chunks": sections + " SELECT 'quant ' || date AS ident, 0 AS chunk, text FROM s WHERE length(text) <= 3500",
+        "sql_section_batches": sections.replace("WITH", "WITH RECURSIVE", 1) + """,
+it AS (SELECT date[:7] AS ident, text AS m, row_number() OVER (PARTITION BY date[:7] ORDER BY date) AS k FROM s),
+r AS (SELECT ident, k, m, 0 AS chunk, length(m) + 2 AS size FROM it WHERE k = 1
+  UNION ALL SELECT it.ident, it.k, it.m, CASE WHEN size + length(it.m) > 3000 THEN chunk + 1 ELSE chunk END, CASE WHEN size + length(it.m) > 3000 THEN 0 ELSE size END + length(it.m) + 2 FROM r JOIN it ON it.ident = r.ident AND it.k = r.k + 1)
+SELECT ident, chunk, string_agg(m || '\n\n', '' ORDER BY k) AS text FROM r GROUP BY ident, chunk""",
         "pick_messages": picks + " SELECT market, place, message FROM m",
         "pick_batches": picks + " SELECT market AS ident, 0 AS chunk, string_agg(message || '\n\n', '' ORDER BY place) AS text FROM m GROUP BY market HAVING sum(length(message) + 2) <= 3000",
         "grid_configs": grid,
@@ -276,6 +281,10 @@ SELECT p.*, active_tickers, trade_count, trailing_stop_count, dead_cross_count,
     out["scan_observed"] = f"WITH {FRAME}{DIAG} SELECT 'bars' AS name, count(*) AS n FROM diag UNION ALL {named}"
     out["stored_macd_signal"] = out["ind_macd_signal"]
     out["bar_scan"] = f"WITH {BARS}, upto AS (SELECT * FROM bars WHERE bar_ts <= '2024-01-25') SELECT ticker, bar_ts, open, high, low, close, volume FROM upto WHERE ticker IN ('click', 'view') AND bar_ts >= (SELECT max(bar_ts) - INTERVAL 10 DAYS FROM upto)"
+    prices = ", ".join(f"CASE WHEN reason IS NULL THEN {c} END AS {c}" for c in ("bar_ts", "open", "high", "low", "close", "volume"))
+    out["daily_file_scan"] = f"""
+WITH {BARS}, d AS (SELECT *, CAST(bar_ts AS DATE) AS day, CASE day(bar_ts) WHEN 7 THEN 'lacks bar_ts, open, high, low, close, volume' WHEN 14 THEN 'empty' WHEN 21 THEN 'empty' WHEN 25 THEN 'a value has the wrong type' END AS reason FROM bars)
+SELECT DISTINCT ticker, day, {prices}, reason FROM d"""
     d = StrategyConfig()
     out["strategy_files"] = f"""
 WITH p AS (SELECT *, p_partkey % 6 AS k FROM part), r AS (SELECT *, CASE k WHEN 2 THEN 'unknown rule' WHEN 3 THEN 'bad field macd_zero_filter' WHEN 4 THEN 'no JSON object' END AS reason FROM p)
@@ -288,8 +297,11 @@ bars AS (SELECT * REPLACE (CASE WHEN i % 23 = 7 THEN NULL ELSE volume END AS vol
     for name in ("macd_signal", "ma", "rsi_engine"):
         out[f"ranged_{name}"] = out[f"ind_{name}"]
     out["ranged_rules"] = f"WITH {FRAME} {fired}"
+    out["sql_fired_rules"] = out["ranged_rules"]
+    out["sql_preset_strict_union"] = out["preset_strict_union"]
     out["preset_nonfinite"] = f"WITH {FRAME.replace(BARS, planted)} {fired}"
     out |= reports_sql(QUANT, configs["grid"])
+    out["sql_message_chunks"] = out["message_chunks"]
     out["surge_labels"] = select(["ticker", "i", *TARGETS, "valid"], source="sf", more=_SURGE)
     out["surge_feature_frame"] = select(["ticker", "i", *FEATURES, "valid"], source="sf", more=_SURGE)
     out["surge_feature_lift"] = _lift()
