@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -31,7 +32,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-_scratch: list[list[str]] = []
+#: The open blocks of ``scratch``, for each thread its own: queries may run side by side.
+_scratch = threading.local()
+
+
+def _blocks() -> list[list[str]]:
+    if not hasattr(_scratch, "blocks"):
+        _scratch.blocks = []
+    return _scratch.blocks
 
 
 def written(df: DataFrame, compression: str | None = None) -> DataFrame:
@@ -47,7 +55,7 @@ def written(df: DataFrame, compression: str | None = None) -> DataFrame:
 def written_at(df: DataFrame, compression: str | None = None) -> tuple[str, DataFrame]:
     """The table's path and its rows, for tables that go before the result is read."""
     path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    for open_block in _scratch:
+    for open_block in _blocks():
         open_block.append(path)
     df.write.parquet(path, compression=compression)
     return path, df.sparkSession.read.parquet(path)
@@ -55,15 +63,15 @@ def written_at(df: DataFrame, compression: str | None = None) -> tuple[str, Data
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables that ``written`` made inside the block when it ends.
+    """Deletes the tables that this thread made by ``written`` inside the block when it ends.
 
     A result has to be stored before that: its plan reads them.
     """
-    _scratch.append([])
+    _blocks().append([])
     try:
         yield
     finally:
-        for path in _scratch.pop():
+        for path in _blocks().pop():
             delete_table(spark, path)
 
 

@@ -6,9 +6,12 @@ repeats the one before).  Each indicator is scaled by the log ratio of its smoot
 in the two classes; rows are scaled to length one; a linear hinge-loss model is fitted by
 dual coordinate descent; a sigmoid fitted on cross-validated margins gives scores.
 
-The model is fitted on at most ``train_rows`` labelled rows, those with the smallest hash
-of their doc_id, in one task.  It has a fixed size (two numbers a feature), so scoring is
-one pass over the documents without a shuffle.
+The model is fitted in one task on a bounded sample of the labelled rows: those with the
+smallest hash of their doc_id, at most ``train_rows`` of them and, in that order, up to
+``train_bytes`` of their features (four bytes each, so that neither many nor very long texts
+outgrow the task).  The model has a fixed size (two numbers a feature), so scoring is one
+pass over the documents without a shuffle.  A word's shape names its first six runs of
+kinds; what follows them is not part of the feature.
 """
 
 from __future__ import annotations
@@ -19,14 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.common import delete_table, written_at
 from barloom.llm.textarrays import buffer_of, mix, slices, words
 
 BITS = 18
 #: Most labelled rows that the model is fitted on.
 TRAIN_ROWS = 12000
+#: Most bytes of features that the model is fitted on; the fit holds about five times as much.
+TRAIN_BYTES = 128 << 20
 THRESHOLD = 0.3
 SMOOTHING = 1.0
 COST = 4.0
@@ -194,11 +200,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, cost: float = C
     return Model(model.weights, model.squares, slope, offset)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS, bits: int = BITS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS, bits: int = BITS, train_bytes: int = TRAIN_BYTES) -> Model:
     """The model of ``docs`` (doc_id, text) and ``labels`` (doc_id and 0 or 1).
 
     Rows without a doc_id or label, held-out rows, and documents that are labelled both
-    ways teach nothing; repeated rows of a document teach once.
+    ways teach nothing; repeated rows of a document teach once.  The first document in order
+    of hashes that would take the features above ``train_bytes`` teaches nothing, nor do
+    those after it.  Without documents or labels the model is that of no rows.
     """
     ids = labels.select("doc_id", F.col(label).alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out(F.col("doc_id")))
     ids = ids.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").drop("y2")
@@ -218,14 +226,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
         return pa.table({"weights": pa.array([m.weights.tobytes()], pa.binary()), "squares": pa.array([m.squares.tobytes()], pa.binary()), "slope": [m.slope], "offset": [m.offset]})
 
     taught = rows.mapInArrow(extract, "doc_id long, y int, x binary").groupBy("doc_id").agg(F.max(F.struct("x", "y")).alias("r"))
+    at, taught = written_at(taught)
+    # Two numbers of each of at most train_rows rows: one task holds them all.
+    sizes = taught.select("doc_id", F.sum(F.octet_length("r.x")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")).alias("until"))
+    taught = taught.join(F.broadcast(sizes.where(F.col("until") <= train_bytes).select("doc_id")), "doc_id", "left_semi")
     learned = taught.select("doc_id", "r.x", "r.y").groupBy(F.lit(0).alias("all")).applyInArrow(learn, "weights binary, squares binary, slope double, offset double").first()
+    delete_table(docs.sparkSession, at)
     if learned is None:
         return fit([], np.zeros(0, int), bits)
     return Model(np.frombuffer(bytes(learned["weights"]), np.float32), np.frombuffer(bytes(learned["squares"]), np.float32), learned["slope"], learned["offset"])
 
 
 def score_texts(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
-    """doc_id and score of every row; null and empty texts have the score of no features."""
+    """doc_id and score of every row; null and empty texts have the score of no features.
+
+    Texts may be of any length: features are taken of whole texts, and a text has at most
+    ``2 ** bits`` of them.  Equal texts have equal scores, repeated rows each their own; other
+    columns are ignored; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,14 +257,22 @@ def score_texts(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
-    Only doc_id and text are read of ``docs``, and only the text is scored.
+    Only doc_id and text are read of ``docs``, and only the text is scored: columns of
+    ``docs`` that are called like those of the result do not matter.  Null and empty texts
+    have the score of no features, very long ones that of the whole text; repeated rows stay
+    repeated, and a null doc_id is held out; an empty table gives no rows.
     """
     scored = score_texts(docs, train(docs, labels, **how))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with all their columns."""
+    """The rows of ``docs`` that the classifier does not reject, with all their columns,
+    whatever their names.
+
+    Rows are judged one by one by their whole text, null like empty: repeated rows stay or go
+    together, rows without a doc_id are judged too, and an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **how))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

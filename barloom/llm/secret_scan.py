@@ -25,9 +25,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -249,9 +251,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text or ""
             spans = base_spans(text)
             found = []
+            # Of all base spans that start before a run ends, whether the furthest reaches it.
+            starts = sorted(x for x, _, _ in spans)
+            reach = list(accumulate((y for _, y in sorted((x, y) for x, _, y in spans)), max, initial=-1))
             for m in RUN.finditer(text):
                 s, e = m.span()
-                if not any(s < y and x < e for x, _, y in spans) and (got := battery(m[0])):
+                if reach[bisect_left(starts, e)] <= s and (got := battery(m[0])):
                     found.append({"start": s, "stop": e, "encoding": got[0], "length_class": _class(len(m[0].rstrip("="))), "bin": _bin(got[1]), "power": got[2], "token": _number(m[0])})
             n = [sum(k == kind for _, k, _ in spans) for kind in KINDS[:3]]
             base = _join(spans)
