@@ -31,7 +31,7 @@ from barloom.llm.textarrays import buffer_of, mix, slices, words
 BITS = 18
 #: Most labelled rows that the model is fitted on.
 TRAIN_ROWS = 12000
-#: Most bytes of features that the model is fitted on; the fit holds about five times as much.
+#: Most bytes of features that the model is fitted on; by estimate the fit holds five times as much.
 TRAIN_BYTES = 128 << 20
 THRESHOLD = 0.3
 SMOOTHING = 1.0
