@@ -18,7 +18,7 @@ from barloom.sources.strategy import QUANT, StrategyConfig, load_strategy_or_non
 
 def _strategy(frame: DataFrame, title: str, tag: str, cfg: StrategyConfig, names: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     found = reports.named(trades.live_signals(frame, cfg), names)
-    log = found.select("date", "ticker", F.lit(f"{tag}:{cfg.entry_set}").alias("method"), F.format_string("%.2f", "close").alias("close"))
+    log = found.select("date", "ticker", F.lit(f"{tag}:{cfg.entry_set}").alias("method"), reports.two_decimals("close").alias("close"))
     return reports.section(title, cfg, found), log
 
 

@@ -21,9 +21,15 @@ def named(rows: DataFrame, names: DataFrame | None) -> DataFrame:
     return rows.join(known, "ticker", "left").withColumn("name", F.coalesce(own, "known_name", "ticker")).drop("known_name")
 
 
+def two_decimals(c: Column | str) -> Column:
+    """The number's own digits, as C writes them: Java's format fills up with zeros behind 17
+    digits, rounds the shortest text instead of the number, and writes a null as a word."""
+    return F.udf(lambda x: None if x is None else f"{x:.2f}", "string", useArrow=True)(c)
+
+
 def selection_log(selections: DataFrame, method: str) -> DataFrame:
     """date, ticker, method and the price as text with two decimals."""
-    return selections.select(F.date_format("bar_ts", "yyyy-MM-dd").alias("date"), "ticker", F.lit(method).alias("method"), F.format_string("%.2f", "close").alias("close"))
+    return selections.select(F.date_format("bar_ts", "yyyy-MM-dd").alias("date"), "ticker", F.lit(method).alias("method"), two_decimals("close").alias("close"))
 
 
 def _line() -> Column:

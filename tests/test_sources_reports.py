@@ -1,7 +1,9 @@
 """Instrument lists, logs, messages, streams, and the entry module."""
 
+import datetime as dt
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,13 @@ def test_sections_logs_and_sinks(spark, tmp_path):
     assert not sinks.best_effort(lambda: 1 / 0, "it") and sinks.best_effort(lambda: None, "it")
 
 
+def test_log_prices_as_sql_writes_them(spark):
+    prices = [1128165082568768895320064.0, 4503599627370497.5, 209046551853.36, 0.125, 1.005, 2.675, 0.0, -0.001, None]
+    rows = spark.createDataFrame([(str(k), dt.datetime(2024, 1, 2), p) for k, p in enumerate(prices)], "ticker string, bar_ts timestamp_ntz, close double")
+    got = [r["close"] for r in reports.selection_log(rows, "m").orderBy("ticker").collect()]
+    assert got == [duckdb.execute("SELECT format('{:.2f}', ?::DOUBLE)", [p]).fetchone()[0] for p in prices]
+
+
 def test_reader_falls_back_to_the_last_bars(spark, tmp_path):
     bars = event_bars(spark, SF).withColumnsRenamed({"bar_ts": "날짜", "close": "종가"})
     bars.write.parquet(str(tmp_path / "b"))
