@@ -167,6 +167,38 @@ def test_rare_contexts_are_scored_by_their_own_totals(spark):
         assert np.allclose([got[i] for i, _ in rows], want, rtol=1e-9)
 
 
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_rare_contexts_are_drawn_beside_the_tables_of_the_last_sweep(spark, broadcast):
+    rows = corpus(5, 600)
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    parts_of = lambda model: sorted(((r["part"], lm._read(r.asDict())) for r in model.state.collect()), key=lambda x: x[0])
+    how = {"samples": 1, "part_pairs": 800, "top_contexts": 0}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        one, two = (lm.train(df, burn_in=k, **how) for k in (0, 1))
+        last, got = parts_of(one), parts_of(two)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(last) > 1 and one.rare > 1
+    tables, more = Counter(), 0
+    for _, p in last:
+        assert (p.code >= 0).all()
+        for ctx, t in zip(p.code.tolist(), p.t3.tolist(), strict=True):
+            tables[ctx] += t
+    for (part, p), (same, drawn) in zip(last, got, strict=True):
+        # By brute force: all tables of the context but the dish's own.
+        others = np.array([tables[ctx] for ctx in p.code.tolist()]) - p.t3
+        many = p.n > 1
+        more += (others[many] > p.d[many] - 1).sum()
+        p.d = np.where(many, others + 1, 0)
+        want = lm.sweep(p, one.totals[-1], np.random.default_rng([1, part]), False)
+        assert part == same and (want.code == drawn.code).all()
+        for level in ("t3", "t2", "t1", "t0"):
+            assert (getattr(want, level) == getattr(drawn, level)).all(), level
+    assert more > 100
+
+
 def test_the_result_reads_only_sums(spark):
     # Tokens and the model are gone from the disk when their sums are there.
     rng = random.Random(6)
